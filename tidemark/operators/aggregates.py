@@ -21,11 +21,13 @@ DEFAULT_MANAGERS = (
 )
 
 
-def _day(flows: DataFrame, as_of: str | None) -> Column:
+def _day(flows: DataFrame, as_of: str | Column | None) -> Column:
+    if isinstance(as_of, Column):
+        return as_of
     return F.lit(as_of).cast("date") if as_of is not None else flows.agg(F.max("as_of")).scalar()
 
 
-def flow_summary(flows: DataFrame, as_of: str | None = None) -> DataFrame:
+def flow_summary(flows: DataFrame, as_of: str | Column | None = None) -> DataFrame:
     """One row: inflow, outflow and net of the day, with the funds listed by size. No rows at all is an error."""
     today = flows.filter(F.col("as_of") == _day(flows, as_of))
     flow = F.col("net_flow")
@@ -48,7 +50,7 @@ def flow_summary(flows: DataFrame, as_of: str | None = None) -> DataFrame:
     return summary.filter(F.when(F.col("_n") == 0, empty).otherwise(F.lit(True))).drop("_n")
 
 
-def sector_flows_tagged(flows: DataFrame, as_of: str | None = None) -> DataFrame:
+def sector_flows_tagged(flows: DataFrame, as_of: str | Column | None = None) -> DataFrame:
     """Flow per explicitly tagged sector on the day."""
     today = flows.filter(
         (F.col("as_of") == _day(flows, as_of)) & F.col("sector").isNotNull() & (F.col("sector") != "")

@@ -17,9 +17,9 @@ LAYER_COLUMNS = ("smart_money_score", "consensus_score", "research_score", "fund
 WATCH_FEATURES = ("technical_watch_score", "target_upside_pct", "stop_downside_pct", "risk_reward")
 
 
-def _latest_day(flows: DataFrame, holdings: DataFrame, as_of: str | None) -> Column:
+def _latest_day(flows: DataFrame, holdings: DataFrame, as_of: str | Column | None) -> Column:
     if as_of is not None:
-        return F.lit(as_of).cast("date")
+        return as_of if isinstance(as_of, Column) else F.lit(as_of).cast("date")
     return F.greatest(flows.agg(F.max("as_of")).scalar(), holdings.agg(F.max("as_of")).scalar())
 
 
@@ -44,13 +44,13 @@ def _per_key(allocated: DataFrame, key: str) -> DataFrame:
     )
 
 
-def stock_flows(flows: DataFrame, holdings: DataFrame, as_of: str | None = None, order: str | None = None) -> DataFrame:
+def stock_flows(flows: DataFrame, holdings: DataFrame, as_of: str | Column | None = None, order: str | None = None) -> DataFrame:
     """Fund flows allocated to symbols by that day's portfolio weights. `order` ranks repeated flows of a fund."""
     return _per_key(_allocated(flows, holdings, _latest_day(flows, holdings, as_of), order), "symbol")
 
 
 def sector_flows_est(
-    flows: DataFrame, holdings: DataFrame, as_of: str | None = None, order: str | None = None
+    flows: DataFrame, holdings: DataFrame, as_of: str | Column | None = None, order: str | None = None
 ) -> DataFrame:
     tagged = holdings.filter(F.col("sector").isNotNull() & (F.col("sector") != ""))
     return _per_key(_allocated(flows, tagged, _latest_day(flows, holdings, as_of), order), "sector")

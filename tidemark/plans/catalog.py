@@ -1,6 +1,6 @@
 """All registered queries; importing this module fills the registry."""
 
-from . import queries_features, queries_ingest, queries_quality  # noqa: F401
+from . import queries_features, queries_ingest, queries_news, queries_quality, queries_scoring  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
