@@ -1,6 +1,14 @@
 """All registered queries; importing this module fills the registry."""
 
-from . import queries_features, queries_ingest, queries_news, queries_quality, queries_scoring  # noqa: F401
+from . import (  # noqa: F401
+    queries_features,
+    queries_ingest,
+    queries_quality,
+    queries_news,
+    queries_scoring,
+    queries_joins,
+    queries_evaluation,
+)
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

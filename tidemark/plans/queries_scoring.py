@@ -10,6 +10,7 @@ from ..operators import scoring as ops
 from ..operators.features import feature_snapshot, ranker_features
 from ..sources import sample
 from .domain_sql import day, r6
+from . import queries_features  # noqa: F401  (its SQL is reused below)
 from .registry import SQL, query
 
 # Candidate dimensions of every bar, on the scales the scores expect.
