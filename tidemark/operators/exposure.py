@@ -117,11 +117,11 @@ def attach_watchlist(base: DataFrame, watch: DataFrame, mode: str = "fail") -> D
 
 
 def attach_layers(base: DataFrame, layers: dict[str, DataFrame]) -> DataFrame:
-    """Left join one (symbol, score) table per layer column, by upper-case symbol."""
+    """Left join one (symbol, score) table per layer column, by upper-case symbol (unique per layer)."""
     out = base.withColumn("_key", F.upper("symbol"))
     for column, scores in layers.items():
         value = next(c for c in scores.columns if c != "symbol")
-        side = scores.select(F.col("symbol").alias("_key"), F.col(value).alias(column))
+        side = scores.select(F.upper("symbol").alias("_key"), F.col(value).alias(column))
         out = out.drop(column).join(side, "_key", "left")
     return out.drop("_key")
 

@@ -8,6 +8,9 @@ from . import (  # noqa: F401
     queries_scoring,
     queries_joins,
     queries_evaluation,
+    queries_ranking,
+    queries_modeling,
+    queries_streaming,
 )
 from .registry import QUERIES, SQL
 

@@ -14,7 +14,7 @@ from .registry import query
 _RANKER = ["ret_1", "ret_5", "vol_mean_20", "volume_ratio", "high_20_prev", "breakout", "score"]
 
 
-@query("feature_snapshot", tables=("bars",), sql=f"""
+SNAPSHOT_SQL = f"""
 , t AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY timestamp DESC) AS b,
                count(*) OVER (PARTITION BY symbol) AS n,
                CASE WHEN lag(close) OVER s = 0 THEN 0.0 ELSE close / lag(close) OVER s END - 1 AS r
@@ -33,7 +33,10 @@ SELECT symbol, {day('timestamp')} AS timestamp,
        {r6('CASE WHEN high <> low THEN (close - low) / (high - low) ELSE 0.5 END')} AS close_location,
        {r6('coalesce(close / nullif(a20, 0), 0) - 1')} AS return_20, {r6('coalesce(close / nullif(ma20, 0), 0) - 1')} AS distance_ma20,
        {r6('coalesce(close / nullif(high20, 0), 0)')} AS breakout_20, {r6('volatility_20')} AS volatility_20
-FROM a WHERE n >= 2""")
+FROM a WHERE n >= 2"""
+
+
+@query("feature_snapshot", tables=("bars",), sql=SNAPSHOT_SQL)
 def feature_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return ops.feature_snapshot(sample.bars(spark, d))
 

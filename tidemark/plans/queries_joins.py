@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import clip
 from ..operators import aggregates as agg
 from ..operators import exposure as ops
 from ..operators import news as news_ops
-from ..operators.features import latest_per_symbol
+from ..operators.features import estimate_revisions, latest_per_symbol
 from ..sources import sample
 from .domain_sql import day, r6
 from .queries_scoring import _RR
@@ -105,9 +106,6 @@ LAYER_TABLES = ("holdings", "fund_flows", "news", "estimates")
 
 def layers(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     """Score layers per symbol from flows, research documents and estimate revisions."""
-    from ..functions.numeric import clip
-    from ..operators.features import estimate_revisions
-
     flows = sample.fund_flows(spark, d).select("as_of", "fund_code", "net_flow")
     allocated = sample.holdings(spark, d).join(flows, ["as_of", "fund_code"])
     total = F.sum(F.col("net_flow") * F.col("portfolio_weight"))
@@ -127,10 +125,9 @@ SELECT b.symbol, {day('timestamp')} AS timestamp, {r6('close')} AS close, {r6('s
        research_score, fundamental_score
 FROM bars b LEFT JOIN flow_l USING (symbol) LEFT JOIN res_l USING (symbol) LEFT JOIN fund_l USING (symbol)""")
 def attach_layers(spark: SparkSession, d: str) -> DataFrame:
-    # The base keys are lower case on purpose: layers join on the upper-case symbol.
-    side = {k: v.withColumn("symbol", F.upper("symbol")) for k, v in layers(spark, d).items()}
+    # The base symbols are lower case on purpose: the join ignores case.
     bars = sample.bars(spark, d).withColumn("symbol", F.lower("symbol"))
-    out = ops.attach_layers(bars, side).withColumn("symbol", F.initcap("symbol"))
+    out = ops.attach_layers(bars, layers(spark, d)).withColumn("symbol", F.initcap("symbol"))
     return out.select("symbol", "timestamp", "close", "smart_money_score", "research_score", "fundamental_score")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +11,9 @@ from ..functions.numeric import clip_or
 from ..operators import scoring as ops
 from ..operators.features import feature_snapshot, ranker_features
 from ..sources import sample
-from .domain_sql import day, r6
-from . import queries_features  # noqa: F401  (its SQL is reused below)
-from .registry import SQL, query
+from .domain_sql import day, r6, with_tables
+from . import queries_features
+from .registry import query
 
 # Candidate dimensions of every bar, on the scales the scores expect.
 _DIMENSIONS = {
@@ -229,14 +231,11 @@ _SNAP = """round_even(least(100.0, greatest(0.0, 50 + least(10.0, greatest(-10.0
   + least(8.0, greatest(-8.0, (breakout_20 - 1) * 80)) + least(5.0, greatest(-5.0, (close_location - 0.5) * 10)))), 2)"""
 
 
-def snapshot_ctes() -> str:
-    """The feature_snapshot SQL with unrounded values, as CTE `snap`."""
-    import re
-
-    full = SQL["feature_snapshot"]
-    head, tail = full.rsplit("\nSELECT symbol,", 1)
-    tail = re.sub(r"round_even\(CAST\((.*?) AS DOUBLE\), 6\) AS", r"(\1) AS", "SELECT symbol," + tail)
-    return f"{head}, snap AS ({tail})"
+def snapshot_ctes(also: tuple[str, ...] = ()) -> str:
+    """The feature_snapshot SQL with unrounded values as CTE `snap`, after any further tables."""
+    ctes, select = queries_features.SNAPSHOT_SQL.rsplit("\nSELECT symbol,", 1)
+    exact = re.sub(r"round_even\(CAST\((.*?) AS DOUBLE\), 6\) AS", r"(\1) AS", "SELECT symbol," + select)
+    return with_tables(f"{ctes}, snap AS ({exact})", ("bars", *also))
 
 
 @query("snapshot_score", sql=snapshot_ctes() + f" SELECT symbol, {_SNAP} AS snapshot_score FROM snap")
