@@ -40,8 +40,9 @@ def headline(c: str | Column, unicode_form: bool = True) -> Column:
     """Comparable form of a headline: folded, without links and punctuation, single-spaced."""
     text = casefold(nfkc(col(c)) if unicode_form else col(c))
     text = F.regexp_replace(text, r"(?U)https?://\S+", " ")
-    text = F.regexp_replace(text, r"(?U)[^\w\s]", " ")
-    return strip(F.regexp_replace(text, r"(?U)\s+", " "))
+    # Letters, numbers and underscore only: the JVM's \w would also keep combining marks.
+    text = F.regexp_replace(text, r"(?U)[^\p{L}\p{N}_\s\x1c-\x1f]", " ")
+    return strip(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def digest(*parts: str | Column) -> Column:

@@ -135,22 +135,40 @@ def topk_metrics(predictions: DataFrame, top_k: int = 5, event_threshold: float
     )
 
 
-def exact_median(df: DataFrame, column: str, bucket_width: float = 0.001) -> DataFrame:
-    """One row (median, n): equal values are counted, positions come from a two-level running count."""
-    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    bucket = F.floor(F.col("v") / F.lit(bucket_width))
-    placed = running(counts, [], ["v"], bucket, {"upto": ("count", "c")})
-    total = counts.agg(F.sum("c")).scalar()
-    low, high = F.floor((total + 1) / 2), F.floor(total / 2) + 1
-    middle = lambda k: (F.col("upto") - F.col("c") < k) & (F.col("upto") >= k)
-    picked = placed.filter(middle(low) | middle(high))
-    return picked.agg(((F.min("v") + F.max("v")) / 2.0).alias("median"))
+def exact_median(df: DataFrame, column: str, width: float = 0.01, refine: int = 4096, levels: int = 2) -> float | None:
+    """Exact median without sorting the column or grouping all its distinct values.
+
+    Each level counts rows per value bucket (combined on the map side) and keeps only the buckets that hold the
+    middle ranks; the last step counts equal values inside them. One row per level reaches the driver, and its bounds
+    become filters of the next scan.
+    """
+    v = F.col("v")
+    rows = df.select(F.col(column).alias("v")).filter(v.isNotNull())
+    low = high = None
+    for level in range(levels + 1):
+        key = F.floor(v / F.lit(width / refine**level)) if level < levels else v
+        counts = rows.groupBy(key.alias("b")).agg(F.count(F.lit(1)).alias("c"))
+        if low is None:
+            total = counts.agg(F.sum("c")).first()[0]
+            if not total:
+                return None
+            low, high = (total + 1) // 2, total // 2 + 1
+        placed = running(counts, [], ["b"], F.floor(F.col("b") / 4096), {"upto": ("count", "c")})
+        covers = (F.col("upto") >= low) & (F.col("upto") - F.col("c") < high)
+        first, last, below = placed.filter(covers).agg(
+            F.min("b"), F.max("b"), F.min(F.col("upto") - F.col("c"))
+        ).first()
+        if level == levels:
+            return (first + last) / 2.0
+        rows = rows.filter(key.between(first, last))
+        low, high = low - below, high - below
+    return None
 
 
 def learning_report(outcomes: DataFrame, hit_threshold: float = 0.10) -> DataFrame:
     """One row of statistics over closed signals, with the recommended next step."""
     closed = outcomes.filter(F.col("outcome_return").isNotNull())
-    median = exact_median(closed, "outcome_return").scalar()
+    median = exact_median(closed, "outcome_return")
     r = F.col("outcome_return")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     ready = F.col("closed_signals") >= 30
@@ -160,7 +178,7 @@ def learning_report(outcomes: DataFrame, hit_threshold: float = 0.10) -> DataFra
         rounded(ratio(F.count_if(r >= hit_threshold), F.count(F.lit(1))), 4).alias("hit_rate"),
         rounded(zero(F.avg(r)), 6).alias("mean_return"),
         rounded(zero(F.stddev_samp(r)), 6).alias("return_std"),
-    ).withColumn("median_return", rounded(zero(median), 6))
+    ).withColumn("median_return", rounded(F.lit(median or 0.0), 6))
     action = F.when(ready, "READY_FOR_RESEARCH").otherwise("COLLECT_MORE_OUTCOMES")
     steps = (
         F.when(~ready, F.array(F.lit("COLLECT_MORE_OUTCOMES")))

@@ -11,7 +11,7 @@ from .domain_sql import day, fold_sql, moment, r6, strip_sql
 from .registry import query
 
 _HEAD = strip_sql(
-    "regexp_replace(regexp_replace(regexp_replace({0}, 'https?://[^\\s]+', ' ', 'g'), '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')"
+    "regexp_replace(regexp_replace(regexp_replace({0}, 'https?://[^\\s]+', ' ', 'g'), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')"
 ).format(fold_sql("title"))
 _KEY = f"{strip_sql(fold_sql('title'))}, trim(url)"
 
