@@ -66,3 +66,13 @@ def test_no_task_sees_a_whole_key(series):
     )._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
     assert "hashpartitioning(symbol" in plan and "_chunk" in plan
+
+
+@pytest.mark.parametrize(("before", "after"), [(1, 0), (0, 1), (1, 1)])
+def test_single_row_rims(series, before, after):
+    def near(df, w):
+        return df.withColumns({"lagged": F.lag("x").over(w) if before else F.lit(0), "ahead": F.lead("x").over(w) if after else F.lit(0)})
+
+    split = over_chunks(series, ["symbol"], ["timestamp"], F.trunc("timestamp", "month"), near, before=before, after=after)
+    plain = near(series, Window.partitionBy("symbol").orderBy("timestamp"))
+    assert {tuple(r) for r in split.select(*plain.columns).collect()} == {tuple(r) for r in plain.collect()}

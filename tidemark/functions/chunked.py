@@ -34,6 +34,8 @@ _RUNNING = {
 
 def _rim(base: DataFrame, keys: list[str], order: list[str], n: int, leading: bool) -> DataFrame:
     """Copies of the n rows that precede (leading) or follow each chunk, tagged with that chunk."""
+    if n == 1:
+        return _rim_of_one(base, keys, order, leading)
     direction = [F.col(o).desc() if leading else F.col(o).asc() for o in order]
     edge = Window.partitionBy(*keys, CHUNK).orderBy(*direction)
     rest = [c for c in base.columns if c not in {*keys, CHUNK, *order}]
@@ -52,6 +54,18 @@ def _rim(base: DataFrame, keys: list[str], order: list[str], n: int, leading: bo
     return rows.select(*keys, CHUNK, F.inline(kept))
 
 
+def _rim_of_one(base: DataFrame, keys: list[str], order: list[str], leading: bool) -> DataFrame:
+    """The single-row rim needs no sort: an aggregate picks each chunk's last or first row."""
+    at = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    pick = F.max_by if leading else F.min_by
+    rest = [c for c in base.columns if c not in {*keys, CHUNK}]
+    rows = base.groupBy(*keys, CHUNK).agg(*[pick(c, at).alias(c) for c in rest])
+    w = Window.partitionBy(*keys).orderBy(CHUNK)
+    beside = (lambda c: F.lag(c).over(w)) if leading else (lambda c: F.lead(c).over(w))
+    shifted = rows.select(*keys, CHUNK, *[beside(c).alias(c) for c in rest])
+    return shifted.filter(F.col(order[0]).isNotNull())
+
+
 def over_chunks(
     df: DataFrame,
     keys: list[str],

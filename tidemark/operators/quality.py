@@ -28,10 +28,12 @@ def enforce(df: DataFrame, rules: Mapping[str, Column], mode: str = "fail", what
         return df.withColumn("violations", violations(rules))
     if mode != "fail":
         raise ValueError("mode is 'fail' or 'quarantine'")
-    found = violations(rules)
-    message = F.concat(F.lit(f"invalid {what}: "), F.array_join(found, ", "))
-    # A filter, not a projected column: no later column pruning can drop the check.
-    return df.filter(F.when(F.size(found) > 0, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
+    broken = F.lit(False)
+    for rule in rules.values():
+        broken = broken | F.coalesce(rule, F.lit(False))
+    # The message is built only for a bad row. A filter, not a projected column: pruning cannot drop the check.
+    message = F.concat(F.lit(f"invalid {what}: "), F.array_join(violations(rules), ", "))
+    return df.filter(F.when(broken, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
 
 
 def bar_rules() -> dict[str, Column]:

@@ -78,7 +78,7 @@ def _last_two(held: DataFrame) -> tuple[DataFrame, DataFrame]:
 SELECT manager, symbol, {r6('previous_weight')} AS previous_weight, {r6('current_weight')} AS current_weight,
        {r6('change')} AS change, status FROM changes""")
 def position_changes(spark: SparkSession, d: str) -> DataFrame:
-    return ops.position_changes(*_last_two(sample.holdings(spark, d)))
+    return ops.position_changes(*_last_two(sample.stored_holdings(spark, d)))
 
 
 @query("attach_watchlist", tables=("bars", "watchlist"), sql=_LEVELS + _RR + f"""
@@ -189,7 +189,7 @@ SELECT s.symbol, manager_count, fund_count, round_even(w, 6) AS total_weight, ro
          + 0.10::DOUBLE * least(100.0, 100.0 * nw / n))), 2) AS score, managers
 FROM s JOIN f USING (symbol), u""")
 def consensus_recency(spark: SparkSession, d: str) -> DataFrame:
-    held = sample.holdings(spark, d)
+    held = sample.stored_holdings(spark, d)
     changes = ops.position_changes(*_last_two(held))
     managers = sample.table(spark, d, "region").select("r_name")
     return agg.consensus_recency(held, changes, managers)

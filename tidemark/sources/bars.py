@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import number
@@ -50,9 +50,10 @@ def read_bars(
 
 
 def keep_last(df: DataFrame, keys: list[str], seq: list[str]) -> DataFrame:
-    """Last row per key in ingest order; all but one row per key and input split go before the shuffle."""
-    newest = Window.partitionBy(*keys).orderBy(*[F.col(s).desc() for s in seq])
-    return df.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") == 1).drop("_n")
+    """Last row per key in ingest order, as an aggregate that combines before the shuffle; `seq` must be unique."""
+    order = F.col(seq[0]) if len(seq) == 1 else F.struct(*seq)
+    rest = [c for c in df.columns if c not in {*keys, *seq}]
+    return df.groupBy(*keys).agg(*[F.max_by(c, order).alias(c) for c in rest])
 
 
 def normalize_ohlcv(rows: DataFrame, seq: list[str]) -> DataFrame:

@@ -40,11 +40,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def line_key() -> Column:
-    """Unique order of line items as one fixed-width number, so that min_by/max_by stay hash aggregates."""
-    digits = lambda c, shift: F.col(c).cast("decimal(38,0)") * F.lit(str(10**shift)).cast("decimal(38,0)")
-    return (
-        digits("l_orderkey", 26) + digits("l_linenumber", 24) + digits("l_partkey", 12) + digits("l_suppkey", 0)
-    ).cast("decimal(38,0)")
+    """Unique order of line items as one fixed-width number, so that min_by/max_by stay hash aggregates.
+
+    A struct of the four keys would order alike but turn them into sort aggregates. Line numbers are 1 to 7.
+    """
+    wide = "decimal(38,0)"
+    line = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast(wide) * F.lit(str(10**22)).cast("decimal(23,0)")
+    part = F.col("l_partkey").cast("decimal(12,0)") * F.lit(str(10**11)).cast("decimal(12,0)")
+    return (line.cast(wide) + (part + F.col("l_suppkey")).cast(wide)).cast(wide)
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -334,3 +337,8 @@ def outcomes(predictions_df: DataFrame) -> DataFrame:
         F.concat_ws("@", "symbol", F.col("timestamp").cast("string")).alias("signal_id"),
         F.col("future_return").alias("outcome_return"),
     )
+
+
+def stored_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holdings as a written table, for plans that read them several times."""
+    return written(holdings(spark, sf_dir))
