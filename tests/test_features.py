@@ -59,6 +59,13 @@ def test_latest_features_equal_full_history(random_bars):
     pd.testing.assert_frame_equal(full[tail.columns], tail, rtol=1e-12)
 
 
+def test_finer_chunks_change_nothing(random_bars):
+    fine = F.trunc("timestamp", "month")
+    for operator in (ops.ranker_features, ops.limit_up_dataset, ops.forward_labels, ops.limit_up_events):
+        a, b = operator(random_bars), operator(random_bars, chunk=fine)
+        assert {tuple(r) for r in a.na.fill(-9.0).collect()} == {tuple(r) for r in b.select(*a.columns).na.fill(-9.0).collect()}
+
+
 def test_limit_up_dataset_matches_pandas(random_bars):
     got = _sorted(ops.limit_up_dataset(random_bars))
     src = _sorted(random_bars)

@@ -25,7 +25,7 @@ def _latest_day(flows: DataFrame, holdings: DataFrame, as_of: str | Column | Non
 
 def _allocated(flows: DataFrame, holdings: DataFrame, day: Column, order: str | None) -> DataFrame:
     on_day = flows.filter(F.col("as_of") == day)
-    flow = F.max_by("net_flow", order) if order else F.first("net_flow")
+    flow = F.max_by("net_flow", order) if order else F.max("net_flow")
     per_fund = on_day.groupBy("fund_code").agg(flow.alias("net_flow"))
     held = holdings.filter(F.col("as_of") == day)
     return held.join(per_fund, "fund_code").withColumn("allocated", F.col("net_flow") * F.col("portfolio_weight"))
@@ -45,7 +45,10 @@ def _per_key(allocated: DataFrame, key: str) -> DataFrame:
 
 
 def stock_flows(flows: DataFrame, holdings: DataFrame, as_of: str | Column | None = None, order: str | None = None) -> DataFrame:
-    """Fund flows allocated to symbols by that day's portfolio weights. `order` ranks repeated flows of a fund."""
+    """Fund flows allocated to symbols by that day's portfolio weights.
+
+    `order` ranks repeated flows of a fund, of which the last counts; without it flows must be unique per fund and day.
+    """
     return _per_key(_allocated(flows, holdings, _latest_day(flows, holdings, as_of), order), "symbol")
 
 

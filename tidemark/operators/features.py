@@ -24,8 +24,9 @@ MODEL_FEATURES = (
 )
 
 
-def yearly(order: str = "timestamp") -> Column:
-    return F.year(order)
+def by_year(chunk: Column | None, order: str = "timestamp") -> Column:
+    """The caller's chunk, else the calendar year: at most 366 daily rows. Give a finer one for intraday rows."""
+    return F.year(order) if chunk is None else chunk
 
 
 def tail_rows(df: DataFrame, n: int, key: str = "symbol", order: str = "timestamp") -> DataFrame:
@@ -115,11 +116,11 @@ def market_score() -> Column:
     return clip_or(raw, 50.0, 0.0, 100.0)
 
 
-def ranker_features(bars: DataFrame) -> DataFrame:
+def ranker_features(bars: DataFrame, chunk: Column | None = None) -> DataFrame:
     """Momentum, volume and breakout features with their 0-100 score for every bar."""
     require(bars, BAR_COLUMNS, "bars")
     needs = ["close", "high", "volume"]
-    return over_chunks(bars, ["symbol"], ["timestamp"], yearly(), ranker_columns, before=20, needs=needs)
+    return over_chunks(bars, ["symbol"], ["timestamp"], by_year(chunk), ranker_columns, before=20, needs=needs)
 
 
 def latest_ranker_features(bars: DataFrame) -> DataFrame:
@@ -149,12 +150,12 @@ def _model_columns(df: DataFrame, w: WindowSpec) -> DataFrame:
     return moved.withColumn("volatility_20", min_obs(F.stddev_samp("ret1"), F.col("ret1"), last20, 10))
 
 
-def limit_up_dataset(bars: DataFrame, limit_pct: float = 0.10) -> DataFrame:
+def limit_up_dataset(bars: DataFrame, limit_pct: float = 0.10, chunk: Column | None = None) -> DataFrame:
     """Training rows: eight features per bar and whether the next high reaches the upper limit."""
     require(bars, BAR_COLUMNS, "bars")
     # 21 rows back: the oldest of 20 trailing returns needs the close before it.
     needs = ["open", "high", "low", "close", "volume"]
-    rows = over_chunks(bars, ["symbol"], ["timestamp"], yearly(), _model_columns, before=21, after=1, needs=needs)
+    rows = over_chunks(bars, ["symbol"], ["timestamp"], by_year(chunk), _model_columns, before=21, after=1, needs=needs)
     target = (F.col("next_high") >= F.col("close") * F.lit(1 + limit_pct)).cast("double")
     return (
         rows.filter(F.col("next_high").isNotNull())
@@ -164,7 +165,9 @@ def limit_up_dataset(bars: DataFrame, limit_pct: float = 0.10) -> DataFrame:
     )
 
 
-def forward_labels(bars: DataFrame, limit_pct: float = 0.10, horizon_bars: int = 1) -> DataFrame:
+def forward_labels(
+    bars: DataFrame, limit_pct: float = 0.10, horizon_bars: int = 1, chunk: Column | None = None
+) -> DataFrame:
     """Whether the high exactly `horizon_bars` ahead reaches the limit over the current close."""
     if limit_pct <= 0 or horizon_bars < 1:
         raise ValueError("limit_pct must be positive and horizon_bars at least 1")
@@ -175,11 +178,13 @@ def forward_labels(bars: DataFrame, limit_pct: float = 0.10, horizon_bars: int =
         return df.withColumn("hit_limit_forward", hit).withColumn("label_available", ahead.isNotNull())
 
     return over_chunks(
-        bars, ["symbol"], ["timestamp"], yearly(), label, after=horizon_bars, needs=["high"]
+        bars, ["symbol"], ["timestamp"], by_year(chunk), label, after=horizon_bars, needs=["high"]
     )
 
 
-def flow_anomalies(flows: DataFrame, lookback: int = 20, z_threshold: float = 2.0) -> DataFrame:
+def flow_anomalies(
+    flows: DataFrame, lookback: int = 20, z_threshold: float = 2.0, chunk: Column | None = None
+) -> DataFrame:
     """z-score of each fund flow against that fund's preceding observations only."""
     if lookback < 2:
         raise ValueError("lookback must be at least 2")
@@ -201,7 +206,7 @@ def flow_anomalies(flows: DataFrame, lookback: int = 20, z_threshold: float = 2.
         return df.withColumn("z_score", z)
 
     scored = over_chunks(
-        flows, ["fund_code"], ["as_of"], yearly("as_of"), score, before=lookback, needs=["net_flow"]
+        flows, ["fund_code"], ["as_of"], by_year(chunk, "as_of"), score, before=lookback, needs=["net_flow"]
     )
     return scored.select(
         "fund_code", "as_of", "net_flow", "z_score",
@@ -274,7 +279,9 @@ def first_touch(bars: DataFrame, reference: Column, limit_pct: float, keys: list
     return bars.groupBy(*keys).agg(F.min(F.when(touched, F.col("timestamp"))).alias("first_touch_time"))
 
 
-def limit_up_events(bars: DataFrame, limit_pct: float = 0.10, tolerance: float = 1e-6) -> DataFrame:
+def limit_up_events(
+    bars: DataFrame, limit_pct: float = 0.10, tolerance: float = 1e-6, chunk: Column | None = None
+) -> DataFrame:
     """Bars whose high touches the limit over the previous close; the first touch of each run is flagged."""
 
     def touch(df: DataFrame, w: WindowSpec) -> DataFrame:
@@ -284,7 +291,7 @@ def limit_up_events(bars: DataFrame, limit_pct: float = 0.10, tolerance: float =
         df = df.withColumn("touched", F.coalesce(touched, F.lit(False)))
         return df.withColumn("first_touch", ~F.coalesce(F.lag("touched").over(w), F.lit(False)))
 
-    marked = over_chunks(bars, ["symbol"], ["timestamp"], yearly(), touch, before=2, needs=["high", "close"])
+    marked = over_chunks(bars, ["symbol"], ["timestamp"], by_year(chunk), touch, before=2, needs=["high", "close"])
     reference = F.col("reference_price")
     return marked.filter("touched").select(
         "symbol",

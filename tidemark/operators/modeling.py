@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.chunked import ordinal
+from ..functions.lineage import written
 from ..functions.numeric import clip, rounded
 from .evaluation import ratio
 from .features import MODEL_FEATURES
@@ -123,7 +124,7 @@ def precision_recall(scored: DataFrame, keys: list[str] | None = None, cutoff: f
 
 def chrono_train_test(df: DataFrame, test_fraction: float = 0.2) -> tuple[LogisticModel, DataFrame]:
     """Fit on the earlier rows, measure on the later ones: (model, one-row metrics with train_rows)."""
-    split = chrono_split(df, test_fraction)
+    split = written(chrono_split(df, test_fraction))
     model = logistic_fit(split.filter(~F.col("is_test")))
     scored = model.predict(split.filter("is_test"))
     metrics = precision_recall(scored).withColumn("train_rows", split.filter(~F.col("is_test")).agg(F.count(F.lit(1))).scalar())
@@ -142,7 +143,7 @@ def expanding_folds(df: DataFrame, folds: int = 5) -> DataFrame:
 
 def walk_forward_expanding(df: DataFrame, folds: int = 5) -> DataFrame:
     """Out-of-sample precision per expanding fold; folds whose training rows hold one class only are skipped."""
-    segmented = expanding_folds(df, folds).persist(StorageLevel.MEMORY_AND_DISK)
+    segmented = written(expanding_folds(df, folds))
     spark = df.sparkSession
     sizes = {
         row.segment: row

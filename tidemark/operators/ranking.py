@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clip, clip_or, number, rounded
@@ -188,31 +188,29 @@ def daily_signal(ranked: DataFrame, strong: float = 85.0) -> DataFrame:
     return ranked.withColumn("signal", F.when(F.col("score") >= strong, "STRONG").otherwise("WATCH"))
 
 
-def numbered(ranked: DataFrame, order: list[Column], name: str = "line") -> DataFrame:
-    """Number the rows of a bounded report table."""
-    return ranked.withColumn(name, F.row_number().over(Window.orderBy(*order)))
-
-
 def morning_report(ranked: DataFrame, bars: DataFrame, universe: DataFrame, title: str, top_k: int = 20) -> DataFrame:
-    """Report lines (line, text): title, universe size, then the ranked symbols or the no-signal line."""
+    """Report lines (line, text): title, universe size, then the ranked symbols or the no-signal line.
+
+    The at most `top_k` ranked rows are folded into one array, so the ranking itself is evaluated once.
+    """
+    entry = F.struct((-F.col("institutional_score")).alias("k"), "symbol", "institutional_score", "institutional_data_coverage")
     best = ranked.orderBy(F.col("institutional_score").desc(), "symbol").limit(top_k)
-    picks = numbered(best, [F.col("institutional_score").desc(), F.col("symbol")]).select(
-        (F.col("line") + 2).alias("line"),
-        F.format_string(
-            CANDIDATE_FORMAT, "line", "symbol", "institutional_score", F.col("institutional_data_coverage") * 100.0
-        ).alias("text"),
-    )
-    sizes = bars.agg(F.count(F.lit(1)).alias("rows")).select(
-        F.lit(2).alias("line"),
-        F.format_string(UNIVERSE_FORMAT, universe.agg(F.countDistinct("symbol")).scalar(), F.col("rows")).alias("text"),
-    )
-    head = sizes.select(F.lit(1).alias("line"), F.lit(title).alias("text"))
-    empty = (
-        best.agg(F.count(F.lit(1)).alias("n"))
-        .filter("n = 0")
-        .select(F.lit(3).alias("line"), F.lit(NO_SIGNAL_LINE).alias("text"))
+    folded = best.agg(F.sort_array(F.collect_list(entry)).alias("rows"))
+
+    def candidate(r: Column, i: Column) -> Column:
+        share = r["institutional_data_coverage"] * 100.0
+        text = F.format_string(CANDIDATE_FORMAT, i + 1, r["symbol"], r["institutional_score"], share)
+        return F.struct((i + 3).alias("line"), text.alias("text"))
+
+    nothing = F.array(F.struct(F.lit(3).alias("line"), F.lit(NO_SIGNAL_LINE).alias("text")))
+    lines = F.when(F.size("rows") > 0, F.transform("rows", candidate)).otherwise(nothing)
+    symbols = universe.agg(F.countDistinct("symbol")).scalar()
+    sizes = bars.agg(F.count(F.lit(1)).alias("n")).withColumn("symbols", symbols)
+    head = F.array(
+        F.struct(F.lit(1).alias("line"), F.lit(title).alias("text")),
+        F.struct(F.lit(2).alias("line"), F.format_string(UNIVERSE_FORMAT, "symbols", "n").alias("text")),
     )
-    return head.unionByName(sizes).unionByName(picks).unionByName(empty)
+    return sizes.select(F.inline(head)).unionByName(folded.select(F.inline(lines)))
 
 
 def board_lines(board: DataFrame) -> DataFrame:

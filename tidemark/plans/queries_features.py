@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
+from ..functions.chunked import over_chunks
 from ..operators import features as ops
 from ..operators.evaluation import topk_daily
 from ..sources import sample
@@ -110,6 +112,20 @@ def limit_price(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query("is_limit_up_close", tables=("bars",), sql=f"""
+, p AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY timestamp) AS ref FROM bars)
+SELECT symbol, {day('timestamp')} AS timestamp, {r6('ref')} AS reference_price, close >= ref * 1.10::DOUBLE - 1e-6 AS is_limit_up_close
+FROM p WHERE ref IS NOT NULL""")
+def is_limit_up_close(spark: SparkSession, d: str) -> DataFrame:
+    """Closes at the limit over the previous close."""
+    def previous(df: DataFrame, w: WindowSpec) -> DataFrame:
+        return df.withColumn("reference_price", F.lag("close").over(w))
+
+    rows = over_chunks(sample.bars(spark, d), ["symbol"], ["timestamp"], F.year("timestamp"), previous, before=1, needs=["close"])
+    flag = ops.is_limit_up_close(F.col("close"), F.col("reference_price"), 0.10)
+    return rows.filter("reference_price is not null").select("symbol", "timestamp", "reference_price", flag.alias("is_limit_up_close"))
+
+
 @query("first_touch", tables=("ticks", "positions"), sql=f"""
 SELECT t.symbol, {moment("min(CASE WHEN price >= entry_price * 1.10::DOUBLE - 1e-6 THEN ts END)")} AS first_touch_time
 FROM ticks t JOIN positions p ON t.symbol = p.symbol GROUP BY t.symbol""")
