@@ -34,6 +34,11 @@ def test_every_code_in_order(spark):
         ops.assert_ohlcv_quality(df, ["seq"], F.lit(0))
 
 
+def test_nan_is_a_missing_value(spark):
+    df = frame(spark, ("A", D(2024, 1, 1), float("nan"), 2.0, 0.5, 1.5, 9.0))
+    assert codes(df) == ["null_values"]
+
+
 def test_missing_columns_return_at_once(spark):
     df = spark.createDataFrame([("A", 1.0)], "symbol string, close double")
     assert codes(df) == ["missing:timestamp,open,high,low,volume"]

@@ -141,6 +141,23 @@ def test_ledger_round_trip(spark, tmp_path):
     assert lines[0]["signal_id"] == "s1"
 
 
+def test_equity_and_feedback_files(spark, tmp_path):
+    from tidemark.operators.features import ledger_metrics
+    from tidemark.schemas import EQUITY, FEEDBACK
+
+    path = str(tmp_path / "equity")
+    for seq, value in enumerate((90.0, 120.0, 60.0)):
+        one = spark.createDataFrame([("a", dt.datetime(2024, 1, 1 + seq), seq, value, 0.0, value)], EQUITY)
+        ledger.append_rows(one, path, EQUITY)
+    got = ledger_metrics(ledger.read_rows(spark, path, EQUITY), 100.0, ["account"], ["timestamp", "seq"], F.to_date("timestamp")).first()
+    assert (round(got.net_return, 6), round(got.max_drawdown, 6)) == (-0.4, -0.5)
+    notes = spark.createDataFrame([("e1", "2024-01-01", True, 0.5, 0.1, -0.1, "")], FEEDBACK)
+    ledger.append_rows(notes, str(tmp_path / "feedback"), FEEDBACK)
+    assert ledger.read_rows(spark, str(tmp_path / "feedback"), FEEDBACK).first().accepted
+    with pytest.raises(ValueError, match="note"):
+        ledger.append_rows(notes.drop("note"), path, FEEDBACK)
+
+
 def test_feedback_summary(spark):
     schema = "seq int, accepted boolean, top_k_precision double, net_pnl double"
     df = spark.createDataFrame([(1, True, 0.0, 0.0), (2, True, 0.5, 1.0), (3, False, 1.0, 3.0)], schema)

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tidemark.operators.features import ledger_metrics
@@ -57,6 +58,8 @@ def test_no_bar_cancels_and_payload_scores(spark):
     held = spark.createDataFrame([(s, 100.0, 80.0) for s in ("A", "B", "OLD")], "symbol string, entry_price double, entry_score double")
     got = {r.symbol: r.decision for r in intraday.intraday_decisions(bars, held, payload_score=True).collect()}
     assert got == {"A": "EXIT", "B": "HOLD", "OLD": "CANCEL"}
+    with pytest.raises(PySparkException, match="no intraday data"):
+        intraday.intraday_decisions(bars, held, payload_score=True, on_missing="fail").collect()
 
 
 def test_news_dedupe(spark, sf_dir, tmp_path):

@@ -52,9 +52,15 @@ def nonzero(c: str | Column) -> Column:
     return F.when(c != 0, c)
 
 
+def known(c: str | Column) -> Column:
+    """A double whose NaN counts as missing, as NULL does."""
+    c = col(c)
+    return F.when(~F.isnan(c), c)
+
+
 def number(c: str | Column) -> Column:
-    """Numeric coercion where bad text becomes NULL."""
-    return col(c).try_cast("double")
+    """Numeric coercion where bad text and NaN become NULL."""
+    return known(col(c).try_cast("double"))
 
 
 def min_obs(agg: Column, counted: Column, frame: WindowSpec, minimum: int) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from ..functions.chunked import over_chunks
-from ..functions.numeric import number
+from ..functions.numeric import known, number
 from ..schemas import BAR_COLUMNS, PRICE_COLUMNS, WATCH_LEVELS, require
 
 
@@ -37,13 +37,13 @@ def enforce(df: DataFrame, rules: Mapping[str, Column], mode: str = "fail", what
 
 
 def bar_rules() -> dict[str, Column]:
-    o, h, l, c = (F.col(name) for name in ("open", "high", "low", "close"))
-    missing = F.lit(False)
+    values = {name: known(name) for name in PRICE_COLUMNS}
+    o, h, l, c = (values[name] for name in ("open", "high", "low", "close"))
+    missing = F.col("symbol").isNull() | F.col("timestamp").isNull()
     negative = F.lit(False)
-    for name in BAR_COLUMNS:
-        missing = missing | F.col(name).isNull()
-    for name in PRICE_COLUMNS:
-        negative = negative | F.coalesce(F.col(name) < 0, F.lit(False))
+    for value in values.values():
+        missing = missing | value.isNull()
+        negative = negative | F.coalesce(value < 0, F.lit(False))
     return {
         "null_values": missing,
         "negative_values": negative,

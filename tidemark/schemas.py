@@ -62,6 +62,18 @@ EQUITY = T.StructType(
     ]
 )
 
+FEEDBACK = T.StructType(
+    [
+        T.StructField("experiment_id", T.StringType()),
+        T.StructField("observed_at", T.StringType()),
+        T.StructField("accepted", T.BooleanType()),
+        T.StructField("top_k_precision", T.DoubleType()),
+        T.StructField("net_pnl", T.DoubleType()),
+        T.StructField("max_drawdown", T.DoubleType()),
+        T.StructField("note", T.StringType()),
+    ]
+)
+
 
 def require(df: DataFrame, columns: Iterable[str], what: str = "frame") -> DataFrame:
     """Fail on the driver, before any job, when a contract column is absent."""

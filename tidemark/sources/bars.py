@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numeric import number
+from ..functions.numeric import known, number
 from ..functions.strings import strip
 from ..operators.quality import enforce
 from ..schemas import BAR_COLUMNS, BARS, PRICE_COLUMNS, require
@@ -67,7 +67,7 @@ def normalize_ohlcv(rows: DataFrame, seq: list[str]) -> DataFrame:
     typed = rows.select(
         strip(F.upper("symbol")).alias("symbol"),
         stamp.alias("timestamp"),
-        *[F.col(c).cast("double").alias(c) for c in PRICE_COLUMNS],
+        *[known(F.col(c).cast("double")).alias(c) for c in PRICE_COLUMNS],
         *seq,
     )
     negative = F.coalesce(F.least(*PRICE_COLUMNS) < 0, F.lit(False))

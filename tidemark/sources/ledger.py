@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.evaluation import ratio
-from ..schemas import LEDGER
+from ..schemas import LEDGER, require
 
 HIT_THRESHOLD = 0.10
 
@@ -51,6 +52,16 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LEDGER).json(path)
 
 
+def append_rows(rows: DataFrame, path: str, schema: T.StructType) -> None:
+    """Append equity snapshots or experiment feedback as JSON lines in their declared columns."""
+    require(rows, schema.fieldNames(), "ledger rows")
+    rows.select(*schema.fieldNames()).write.mode("append").json(path)
+
+
+def read_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
 def ledger_summary(ledger: DataFrame) -> DataFrame:
     kind = F.col("type")
     return ledger.agg(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clip
+from ..operators.quality import enforce
 from ..operators.scoring import hold_exit_cancel
 
 
@@ -55,9 +56,11 @@ def _latest(bars: DataFrame, keys: list[str], has_score: bool) -> DataFrame:
 
 def intraday_decisions(
     bars: DataFrame, positions: DataFrame, now: Column | str | None = None, lookback_hours: int = 8,
-    payload_score: bool = False,
+    payload_score: bool = False, on_missing: str = "cancel",
 ) -> DataFrame:
-    """HOLD / EXIT / CANCEL per position from its last bar in the lookback; no bar means CANCEL.
+    """HOLD / EXIT / CANCEL per position from its last bar in the lookback.
+
+    A position without a bar is a CANCEL, or an error with `on_missing="fail"`.
 
     The current score follows from the return, or with `payload_score` is the bar's own score (the entry score
     where it has none). `now` defaults to the newest bar.
@@ -67,6 +70,8 @@ def intraday_decisions(
     start = end.cast(kind) - F.make_dt_interval(hours=F.lit(lookback_hours))
     recent = bars.filter((F.col("timestamp") >= start) & (F.col("timestamp") <= end.cast(kind)))
     joined = positions.join(_latest(recent, ["symbol"], payload_score), "symbol", "left")
+    if on_missing == "fail":
+        joined = enforce(joined, {"no intraday data": F.col("close").isNull()}, "fail", "position")
     return _decided(joined, payload_score)
 
 
