@@ -7,7 +7,8 @@ import pytest
 import __spark_entry__ as entry
 from oracle import check, connect
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+from tidemark.plans.catalog import QUERIES, SQL
+
 ROWS_ONLY = {"normalize_title", "logistic_fit_predict", "chrono_train_test", "walk_forward_expanding"}
 
 
@@ -31,5 +32,9 @@ def test_names_are_plain():
     assert not [n for n in QUERIES if re.match(r"(op\d+_|.*pipeline)", n)]
 
 
+def test_entry_serves_the_catalog():
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

@@ -33,13 +33,13 @@ def local_session(app: str = "tidemark", cores: str = "*", shuffle_partitions: i
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts: the cluster's setting, else one of our own on a local master."""
+    """Shared folder for lineage cuts: the cluster's setting, else the context's folder, else one of our own on a local master."""
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return context.getCheckpointDir()
