@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .sharding import interleave_shards
+from .substring import remove_repeated_passages
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +17,25 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeated_passages(_read(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_OP1 = """
+WITH tokens AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, unnest(range(1, len(w) - 11)) AS p, w FROM tokens WHERE len(w) >= 13),
+hashed AS (SELECT doc_id, p, array_to_string(w[p:p + 12], ' ') AS passage FROM windows),
+marked AS (SELECT doc_id, p, doc_id > min(doc_id) OVER (PARTITION BY passage) AS gone FROM hashed),
+covered AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS p FROM marked WHERE gone),
+gone AS (SELECT doc_id, list(p) AS places, count(*) AS n FROM covered GROUP BY doc_id)
+SELECT t.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed,
+       sha256(array_to_string(CASE WHEN n IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(places, i)), lambda i: w[i]) END, ' ')) AS kept_sha256
+FROM tokens t LEFT JOIN gone USING (doc_id)
+"""
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleave_shards(_read(spark, sf_dir, "documents"))
 
@@ -40,5 +61,5 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, (place * 8 // total)::INT AS sha
        place - ((place * 8 // total) * total + 7) // 8 AS slot, NULL::INT AS grown_shard FROM placed
 """
 
-QUERIES: dict[str, Build] = {"op4_sharding": op4_sharding}
-SQL: dict[str, str] = {"op4_sharding": _OP4}
+QUERIES: dict[str, Build] = {"op1_substring_dedup": op1_substring_dedup, "op4_sharding": op4_sharding}
+SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op4_sharding": _OP4}
