@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .minhash import minhash_groups
 from .sharding import interleave_shards
 from .substring import remove_repeated_passages
 
@@ -61,5 +62,9 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, (place * 8 // total)::INT AS sha
        place - ((place * 8 // total) * total + 7) // 8 AS slot, NULL::INT AS grown_shard FROM placed
 """
 
-QUERIES: dict[str, Build] = {"op1_substring_dedup": op1_substring_dedup, "op4_sharding": op4_sharding}
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_groups(_read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Build] = {"op1_substring_dedup": op1_substring_dedup, "op4_sharding": op4_sharding, "op10_minhash_near_dedup": op10_minhash_near_dedup}
 SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op4_sharding": _OP4}
