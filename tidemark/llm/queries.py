@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .minhash import minhash_groups
+from .quality import quality_scores
 from .sharding import interleave_shards
 from .substring import remove_repeated_passages
 
@@ -66,5 +67,9 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_groups(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Build] = {"op1_substring_dedup": op1_substring_dedup, "op4_sharding": op4_sharding, "op10_minhash_near_dedup": op10_minhash_near_dedup}
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Build] = {"op1_substring_dedup": op1_substring_dedup, "op3_quality_classifier": op3_quality_classifier, "op4_sharding": op4_sharding, "op10_minhash_near_dedup": op10_minhash_near_dedup}
 SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op4_sharding": _OP4}
