@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import benchmark_matches
 from .embeddings import near_duplicate_vectors
 from .minhash import minhash_groups
 from .quality import quality_scores
@@ -76,6 +77,10 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(_read(spark, sf_dir, "embeddings"))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Build] = {"op1_substring_dedup": op1_substring_dedup, "op3_quality_classifier": op3_quality_classifier, "op4_sharding": op4_sharding, "op7_embedding_near_dedup": op7_embedding_near_dedup,
-                             "op10_minhash_near_dedup": op10_minhash_near_dedup}
+                             "op9_benchmark_decontamination": op9_benchmark_decontamination, "op10_minhash_near_dedup": op10_minhash_near_dedup}
 SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op4_sharding": _OP4}
