@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import benchmark_matches
 from .embeddings import near_duplicate_vectors
+from .language import language_scores
 from .lines import dedup_lines
 from .minhash import minhash_groups
 from .quality import quality_scores
@@ -87,6 +88,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Build] = {"op1_substring_dedup": op1_substring_dedup, "op3_quality_classifier": op3_quality_classifier, "op4_sharding": op4_sharding, "op5_line_dedup": op5_line_dedup, "op7_embedding_near_dedup": op7_embedding_near_dedup,
-                             "op9_benchmark_decontamination": op9_benchmark_decontamination, "op10_minhash_near_dedup": op10_minhash_near_dedup}
+                             "op8_lm_scoring": op8_lm_scoring, "op9_benchmark_decontamination": op9_benchmark_decontamination, "op10_minhash_near_dedup": op10_minhash_near_dedup}
 SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op4_sharding": _OP4}
