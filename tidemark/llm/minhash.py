@@ -93,6 +93,67 @@ def _confirm(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return confirm
 
 
+def _compare(percent: int) -> Callable[[pa.Table], pa.Table]:
+    def compare(table: pa.Table) -> pa.Table:
+        """Links between the documents of two blocks of a bucket (or within one) that lie in different components: a spanning forest of them."""
+        mine = table["block"].to_numpy()
+        p, q = table["p"][0].as_py(), table["q"][0].as_py()
+        sides = []
+        for block in (p, q):
+            rows = np.flatnonzero(mine == block)
+            raw = [np.frombuffer(table["shingles"][int(r)].as_buffer(), U64) for r in rows]
+            sides.append((rows, np.repeat(np.arange(len(rows)), [len(x) for x in raw]), np.concatenate([np.zeros(0, U64), *raw])))
+        (rows, row_of, left), (cols, col_of, right) = sides
+        a, c, n = (table[k].to_numpy() for k in ("a", "c", "n"))
+        shared = np.intersect1d(left, right)
+        common = np.zeros((len(rows), len(cols)), np.float32)
+        for at in range(0, len(shared), 2048):
+            part = shared[at : at + 2048]
+            grids = []
+            for many, owner, values in ((len(rows), row_of, left), (len(cols), col_of, right)):
+                place = np.minimum(np.searchsorted(part, values), len(part) - 1)
+                here = part[place] == values
+                grid = np.zeros((many, len(part)), np.float32)
+                grid[owner[here], place[here]] = 1
+                grids.append(grid)
+            common += grids[0] @ grids[1].T
+        linked = (100 * common >= percent * (n[rows][:, None] + n[cols][None, :] - common)) & (c[rows][:, None] != c[cols][None, :])
+        root = {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        links = []
+        for i, j in zip(*np.nonzero(linked)):
+            x, y = find(int(c[rows[i]])), find(int(c[cols[j]]))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                links.append((int(a[rows[i]]), int(a[cols[j]])))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return compare
+
+
+def _open_links(met: DataFrame, found: DataFrame, sets: DataFrame, percent: int, block_sets: int = 512, block_shingles: int = 1 << 18) -> DataFrame:
+    """Links between documents of a bucket that are not connected yet; buckets of two are settled by the star.
+
+    Buckets of other bands with the same members say the same once. A bucket is cut into blocks by the hash of the id, and
+    every two blocks meet in a task of bounded size, which counts common shingles and returns a forest of the links only.
+    """
+    placed = met.where("members > 2").join(found.withColumnRenamed("node", "a"), "a", "left").select("band", "a", "n", F.coalesce("component", "a").alias("c"))
+    mixed = placed.groupBy("band").agg(
+        F.count(F.lit(1)).alias("members"), F.sum("n").alias("volume"), F.min("c").alias("c_min"), F.max("c").alias("c_max"),
+        F.sum(F.xxhash64("a").cast("decimal(20,0)")).alias("sum_a"), F.sum(F.xxhash64("a", "n").cast("decimal(20,0)")).alias("sum_b")).where("c_min <> c_max")
+    once = mixed.groupBy("members", "volume", "sum_a", "sum_b").agg(F.min("band").alias("band"))
+    cut = F.greatest(F.ceil(F.col("members") / block_sets), F.ceil(F.col("volume") / block_shingles)).cast("int")
+    rows = placed.join(once.select("band", cut.alias("blocks")), "band").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    rows = rows.join(sets.withColumnRenamed("doc_id", "a"), "a").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("band", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "a", "n", "c", "shingles")
+    return rows.groupBy("band", "p", "q").applyInArrow(_compare(percent), "a long, b long").distinct()
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("shingles_a"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("shingles_b"))
@@ -108,9 +169,9 @@ def minhash_groups(docs: DataFrame, percent: int = 85, width: int = 5, bands: in
     one). Each of bands * rows / 2 permutations gives two signature values, its minimum and its maximum, either of which
     agrees between two sets with the probability of their similarity. Documents with equal sets form a class; classes that
     share the values of a band meet in a bucket. Each class of a bucket is first compared with the bucket's smallest
-    document; the links are confirmed on the full sets and joined to components. Then all pairs of a bucket that still lie
-    in different components are compared too, so every pair of a bucket is either connected or compared, without listing
-    the pairs of a group of copies. At a similarity of 0.85, 26 bands of 5 values miss a pair with probability 3e-7.
+    document; the links are confirmed on the full sets and joined to components. Then documents of a bucket that still lie
+    in different components are compared block by block, so every pair of a bucket is either connected or compared,
+    without listing the pairs of a group of copies. At a similarity of 0.85, 26 bands of 5 values miss a pair with probability 3e-7.
 
     component_id is the smallest doc_id reachable, kept marks that document. Null and empty texts and texts without words
     have n_shingles 0 and stand alone; rows with a null doc_id come back with null component_id and kept true; rows that
@@ -130,15 +191,7 @@ def minhash_groups(docs: DataFrame, percent: int = 85, width: int = 5, bands: in
     star = met.where("a <> least").select("a", F.col("least").alias("b")).distinct()
     links = stored(_confirmed(star, sets, percent))
     found = components(links)
-    # Pairs of a bucket whose ends are not connected yet; buckets of two are settled by the star.
-    placed = met.where("members > 2").join(found.withColumnRenamed("node", "a"), "a", "left")
-    placed = placed.select("band", "least", "a", "n", F.coalesce("component", "a").alias("c"))
-    mixed = placed.groupBy("band").agg(F.min("c").alias("c_min"), F.max("c").alias("c_max")).where("c_min <> c_max").select("band")
-    open_ = stored(placed.join(mixed, "band"))
-    left, right = open_.alias("l"), open_.alias("r")
-    rest = left.join(right, F.expr("l.band = r.band and l.a < r.a and l.c <> r.c and l.a <> l.least and 100 * least(l.n, r.n) >= "
-                                   f"{percent} * greatest(l.n, r.n)")).select(F.col("r.a").alias("a"), F.col("l.a").alias("b")).distinct()
-    more = stored(_confirmed(rest, sets, percent))
+    more = stored(_open_links(met, found, sets, percent))
     if not more.isEmpty():
         found = components(links.unionByName(more))
     named = classes.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "doc").alias("component_id"))
