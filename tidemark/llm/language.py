@@ -227,7 +227,7 @@ def _score(parts: int, pair_limit: int, prior: float, starts: int, tokens: int,
     return score
 
 
-def language_scores(docs: DataFrame, prior: float = 8.0, chunk_bytes: int = 4 << 20, bucket_bytes: int = 16 << 20, shard_bytes: int = 6 << 20,
+def language_scores(docs: DataFrame, prior: float = 60.0, chunk_bytes: int = 4 << 20, bucket_bytes: int = 16 << 20, shard_bytes: int = 6 << 20,
                     pair_limit: int = 1 << 18, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): log10 probabilities of whole texts.
 
