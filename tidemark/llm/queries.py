@@ -12,6 +12,7 @@ from .embeddings import near_duplicate_vectors
 from .language import language_scores
 from .lines import dedup_lines
 from .minhash import minhash_groups
+from .pieces import decode_pieces, encode_pieces
 from .quality import quality_scores
 from .sharding import interleave_shards
 from .substring import remove_repeated_passages
@@ -92,6 +93,12 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_scores(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Build] = {"op1_substring_dedup": op1_substring_dedup, "op3_quality_classifier": op3_quality_classifier, "op4_sharding": op4_sharding, "op5_line_dedup": op5_line_dedup, "op7_embedding_near_dedup": op7_embedding_near_dedup,
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, their number, and the checksum of the text decoded from them."""
+    decoded = decode_pieces(encode_pieces(_read(spark, sf_dir, "documents")))
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES: dict[str, Build] = {"op1_substring_dedup": op1_substring_dedup, "op2_sentencepiece": op2_sentencepiece, "op3_quality_classifier": op3_quality_classifier, "op4_sharding": op4_sharding, "op5_line_dedup": op5_line_dedup, "op7_embedding_near_dedup": op7_embedding_near_dedup,
                              "op8_lm_scoring": op8_lm_scoring, "op9_benchmark_decontamination": op9_benchmark_decontamination, "op10_minhash_near_dedup": op10_minhash_near_dedup}
 SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op4_sharding": _OP4}
