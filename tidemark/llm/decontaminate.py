@@ -58,23 +58,26 @@ class _Items:
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
 
+    def best(self, texts: pa.Array) -> dict[tuple[int, int], tuple[int, int, int]]:
+        """(distance, start, stop) of the closest confirmed place by (row of the text, item)."""
+        hashes, first = normal_hashes(*utf8(texts))
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for d, i, place in self.hits(hashes, np.repeat(np.arange(len(texts)), np.diff(first))):
+            n, budget = len(self.words[i]), self.budget[i]
+            a, b = max(int(first[d]), int(place) - budget), min(int(first[d + 1]), int(place) + n + budget)
+            pattern, text = self.words[i].tolist(), hashes[a:b].tolist()
+            distance, end = edit_distance(pattern, text, anywhere=True)
+            if distance <= budget:
+                back = edit_distance(pattern[::-1], text[:end][::-1], anywhere=True)[1]
+                found = distance, a + end - back - int(first[d]), a + end - int(first[d])
+                best[int(d), int(i)] = min(best.get((int(d), int(i)), found), found)
+        return best
+
+
 def _search(items: _Items) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            data, offsets = utf8(batch.column("text"))
-            hashes, first = normal_hashes(data, offsets)
-            doc_of = np.repeat(np.arange(batch.num_rows), np.diff(first))
-            best: dict[tuple[int, int], tuple[int, int, int]] = {}
-            for d, i, place in items.hits(hashes, doc_of):
-                n, budget = len(items.words[i]), items.budget[i]
-                a, b = max(int(first[d]), int(place) - budget), min(int(first[d + 1]), int(place) + n + budget)
-                pattern, text = items.words[i].tolist(), hashes[a:b].tolist()
-                distance, end = edit_distance(pattern, text, anywhere=True)
-                if distance <= budget:
-                    back = edit_distance(pattern[::-1], text[:end][::-1], anywhere=True)[1]
-                    start = a + end - back - int(first[d])
-                    found = distance, start, a + end - int(first[d])
-                    best[d, i] = min(best.get((d, i), found), found)
+            best = items.best(batch.column("text"))
             doc_ids = batch.column("doc_id").to_pylist()
             rows = [(doc_ids[d], items.ids[i], *found) for (d, i), found in sorted(best.items())]
             columns = list(zip(*rows)) or [[]] * 5
@@ -84,6 +87,14 @@ def _search(items: _Items) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return search
 
 
+def _item_blocks(benchmark: DataFrame, errors: float, block_bytes: int, item_col: str, item_text: str) -> Iterator[_Items]:
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.lower(item_text).alias("text"))
+    blocks = pieces_of(int(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0), block_bytes)
+    for block in range(blocks):
+        some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
+        yield _Items([r[0] for r in some], [r[1] or "" for r in some], errors)
+
+
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, errors: float = 0.2, block_bytes: int = 16 << 20, id_col: str = "doc_id",
                       text: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, distance, start, stop): the closest place of every test item found in every document.
@@ -99,13 +110,23 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, errors: float = 0.2
     Null and empty documents, and items without a word or without id, match nothing; rows that repeat an id answer each; a
     null doc_id is returned as null; empty tables give no rows; other columns are ignored.
     """
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.lower(item_text).alias("text"))
-    size = int(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    blocks = pieces_of(size, block_bytes)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(text).alias("text"))
     found = None
-    for block in range(blocks):
-        some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        one = texts.mapInArrow(_search(_Items([r[0] for r in some], [r[1] or "" for r in some], errors)), SCHEMA)
+    for items in _item_blocks(benchmark, errors, block_bytes, item_col, item_text):
+        one = texts.mapInArrow(_search(items), SCHEMA)
         found = one if found is None else found.unionByName(one)
     return found
+
+
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, errors: float = 0.2, block_bytes: int = 16 << 20, text: str = "text",
+                      item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns, in which no test item is found; items and places as in `benchmark_matches`."""
+    for items in _item_blocks(benchmark, errors, block_bytes, item_col, item_text):
+        def clean(batches: Iterator[pa.RecordBatch], items: _Items = items) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, "_lower"):
+                keep = np.ones(batch.num_rows, bool)
+                keep[[d for d, _ in items.best(batch.column("_lower"))]] = False
+                yield batch.drop_columns(["_lower"]).filter(pa.array(keep))
+
+        docs = docs.withColumn("_lower", F.lower(text)).mapInArrow(clean, docs.schema)
+    return docs

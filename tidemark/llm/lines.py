@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, counted_ranges, mix, slices, span_hashes, stored, utf8
@@ -176,8 +176,12 @@ def _groups(forms: DataFrame, texts: DataFrame, similarity: float, within: int)
     return found if more.isEmpty() else components(links.unionByName(more))
 
 
-def dedup_lines(docs: DataFrame, similarity: float = 0.9, within: int = 12, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, row, n_lines, n_removed, kept): texts without lines that stand, alike, at an earlier place.
+def _row(id_col: str, text: str) -> Column:
+    return F.xxhash64(id_col, text)
+
+
+def repeated_lines(docs: DataFrame, similarity: float = 0.9, within: int = 12, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(row, removed): the numbers of the lines of each text that stand, alike, at an earlier place.
 
     Lines end at line feeds. Their normal form is the words (letters, digits, bytes above ASCII) in lower case; lines without
     a word are never removed. Lines of equal form, and of forms whose SimHash agrees in a block and differs in `within` of
@@ -186,10 +190,10 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.9, within: int = 12, id_c
     in one of the four blocks; larger ones do so with falling probability.
 
     `row` is the hash of id and text by which rows are told apart; rows that repeat both keep and lose the same lines.
-    Null text counts as one empty line and stays null; null ids come first in the order; an empty table gives no rows;
+    Null and empty texts have no line to remove; null ids come first in the order; an empty table gives no rows;
     other columns are ignored.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text).alias("row"), F.col(text).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), _row(id_col, text).alias("row"), F.col(text).alias("text"))
     schema = "doc_id long, row long, line long, form long, sim_a long, sim_b long"
     lines = stored(texts.select("doc_id", "row", F.lower("text").alias("text")).mapInArrow(_described, schema))
     first = F.min(F.struct("doc_id", "line", "row"))
@@ -202,6 +206,38 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.9, within: int = 12, id_c
     repeated = grouped.unionByName(named.where("component is null and n > 1").select("form", "sim_a", F.col("first").alias("keep")))
     gone = lines.select("doc_id", "row", "line", "form", "sim_a").join(repeated, ["form", "sim_a"])
     gone = gone.where("not (row <=> keep.row and line <=> keep.line)")
-    removed = gone.groupBy("row").agg(F.collect_set("line").alias("removed"))
+    return gone.groupBy("row").agg(F.collect_set("line").alias("removed"))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how: float) -> DataFrame:
+    """(doc_id, row, n_lines, n_removed, kept): texts without the lines of `repeated_lines`.
+
+    Null text counts as one empty line and stays null; otherwise a text comes back as it is, without these lines.
+    """
+    removed = repeated_lines(docs, id_col=id_col, text=text, **how)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), _row(id_col, text).alias("row"), F.col(text).alias("text"))
     cut = texts.join(removed, "row", "left").select("doc_id", "row", "text", "removed")
     return cut.mapInArrow(_cut, "doc_id long, row long, n_lines long, n_removed long, kept string")
+
+
+def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how: float) -> DataFrame:
+    """The rows of `docs`, with all their columns, and the lines of `repeated_lines` cut from the text; rows that lose their last line go."""
+    removed = repeated_lines(docs, id_col=id_col, text=text, **how).withColumnsRenamed({"row": "_row", "removed": "_removed"})
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text):
+            kept, keep = [], []
+            for body, lines in zip(batch.column(text).to_pylist(), batch.column("_removed").to_pylist()):
+                if lines:
+                    gone = set(lines)
+                    left = [x for k, x in enumerate(body.split("\n")) if k not in gone]
+                    keep.append(any(x.strip() for x in left))
+                    body = "\n".join(left)
+                else:
+                    keep.append(True)
+                kept.append(body)
+            names = [n for n in batch.schema.names if n not in ("_row", "_removed")]
+            columns = [pa.array(kept, pa.string()) if n == text else batch.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep, pa.bool_()))
+
+    return docs.withColumn("_row", _row(id_col, text)).join(removed, "_row", "left").select(*[f"`{c}`" for c in docs.columns], "_removed").mapInArrow(cut, docs.schema)

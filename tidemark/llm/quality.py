@@ -166,6 +166,13 @@ def fit_quality(described: DataFrame, waves: int = 192, bandwidth: float = 4.0,
     return model
 
 
+def _fitted(texts: DataFrame, labels: DataFrame, id_col: str, label: str, **fit: float) -> tuple[DataFrame, FourierRidge | None]:
+    """Statistics of all texts (doc_id, x, held_out), stored, and the model learned from the labelled ones not held out."""
+    described = stored(texts.mapInArrow(_describe, "doc_id long, x array<double>").withColumn("held_out", crc_mod("doc_id", 3) == 1))
+    marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).where("y in (0, 1)")
+    return described, fit_quality(stored(described.where("not held_out").join(marked, "doc_id").select("doc_id", "x", "y")), **fit)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", **fit: float) -> DataFrame:
     """(doc_id, held_out, score, predicted): the probability that `label` is 1, from the text alone.
 
@@ -175,9 +182,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     scores are 0.5. A null doc_id is scored, is not held out and never learned from. Rows that repeat an id are scored each.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    described = stored(texts.mapInArrow(_describe, "doc_id long, x array<double>").withColumn("held_out", crc_mod("doc_id", 3) == 1))
-    marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).where("y in (0, 1)")
-    model = fit_quality(stored(described.where("not held_out").join(marked, "doc_id").select("doc_id", "x", "y")), **fit)
+    described, model = _fitted(texts, labels, id_col, label, **fit)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,3 +191,20 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     scored = described.select("doc_id", "held_out", "x").mapInArrow(score, "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def quality_kept(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text: str = "text", label: str = "quality", **fit: float) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose score is `threshold` or more; scores as in `quality_scores`.
+
+    The fitted model is applied where the rows are read, so texts are not shuffled.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    _, model = _fitted(texts, labels, id_col, label, **fit)
+    if model is None:
+        return docs
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text):
+            yield batch.filter(pa.array(model.score(statistics(*utf8(batch.column(text)))) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
