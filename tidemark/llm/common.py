@@ -28,6 +28,14 @@ def text_bytes(df: DataFrame, text: str = "text") -> tuple[int, int]:
     return int(row[0] or 0), int(row[1])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, lengthened until no column of `df` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def pieces_of(total: int, each: int) -> int:
     """How many pieces of about `each` make up `total`, one at least."""
     return max(1, math.ceil(total / each))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, pieces_of, rolled, slices, utf8
+from .common import U64, free_name, pieces_of, rolled, slices, utf8
 from .lexicon import edit_distance, normal_hashes
 
 SCHEMA = "doc_id long, item_id long, distance int, start long, stop long"
@@ -121,12 +121,13 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, errors: float = 0.2
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, errors: float = 0.2, block_bytes: int = 16 << 20, text: str = "text",
                       item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of `docs`, with all their columns, in which no test item is found; items and places as in `benchmark_matches`."""
+    lower = free_name(docs, "_lower")
     for items in _item_blocks(benchmark, errors, block_bytes, item_col, item_text):
         def clean(batches: Iterator[pa.RecordBatch], items: _Items = items) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, "_lower"):
+            for batch in slices(batches, lower):
                 keep = np.ones(batch.num_rows, bool)
-                keep[[d for d, _ in items.best(batch.column("_lower"))]] = False
-                yield batch.drop_columns(["_lower"]).filter(pa.array(keep))
+                keep[[d for d, _ in items.best(batch.column(lower))]] = False
+                yield batch.drop_columns([lower]).filter(pa.array(keep))
 
-        docs = docs.withColumn("_lower", F.lower(text)).mapInArrow(clean, docs.schema)
+        docs = docs.withColumn(lower, F.lower(text)).mapInArrow(clean, docs.schema)
     return docs
