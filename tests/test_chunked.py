@@ -52,13 +52,26 @@ def test_running_aggregates(series):
 
 
 def test_ordinal_is_the_sorted_position(series):
-    bucket = [F.col("timestamp"), F.substring("symbol", 1, 1)]
-    placed = ordinal(series, ["timestamp", "symbol"], bucket, F.date_format("timestamp", "yyyy")).toPandas()
+    placed = ordinal(series, ["timestamp", "symbol"]).toPandas()
     placed = placed.sort_values(["timestamp", "symbol"]).reset_index(drop=True)
     assert (placed.pos == placed.index).all()
     assert (placed.n_rows == len(placed)).all()
 
 
+def test_ordinal_puts_missing_keys_last_and_drops_none(spark):
+    df = spark.createDataFrame([(2, "b"), (None, "a"), (2, None), (1, "z"), (None, None)], "t int, s string")
+    assert [(r.t, r.s, r.n_rows) for r in ordinal(df, ["t", "s"]).orderBy("pos").collect()] == [
+        (1, "z", 5), (2, "b", 5), (2, None, 5), (None, "a", 5), (None, None, 5)]
+
+
+def test_ordinal_of_one_key_has_no_window_over_all_rows(spark):
+    df = spark.range(500).selectExpr("timestamp'2024-01-01' AS t", "cast(id AS string) AS s")
+    placed = ordinal(df, ["t", "s"])
+    plan = placed._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number() windowspecdefinition(_range" in plan
+    assert [r.s for r in placed.orderBy("pos").collect()] == sorted(map(str, range(500)))
+
+
 def test_no_task_sees_a_whole_key(series):
     """The only exchanges by the bare key carry chunk summaries."""
     plan = over_chunks(

@@ -52,12 +52,6 @@ def test_chrono_split_positions(labelled):
     assert (got.pos == got.index).all() and got.is_test.sum() == 80 and not got.is_test[:320].any()
 
 
-def test_bucket_letters_change_nothing(labelled):
-    a = {(r.symbol, r.timestamp): r.pos for r in ops.in_time_order(labelled).collect()}
-    b = {(r.symbol, r.timestamp): r.pos for r in ops.in_time_order(labelled, bucket_letters=2).collect()}
-    assert a == b
-
-
 def test_expanding_segments(labelled):
     got = ops.expanding_folds(labelled, 5).toPandas()
     edges = np.linspace(0, 400, 7, dtype=int)

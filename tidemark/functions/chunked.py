@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from .lineage import written
+
 CHUNK, OWN = "_chunk", "_own"
 
 _RUNNING = {
@@ -120,24 +122,25 @@ def running(
     return out.drop(CHUNK, *[f"_c_{name}" for name in measures])
 
 
-def ordinal(df: DataFrame, order: list[str], bucket: list[Column], chunk: Column, name: str = "pos") -> DataFrame:
-    """0-based position of every row in the total order `order`, plus the row count as `n_rows`.
+def ordinal(df: DataFrame, order: list[str], name: str = "pos") -> DataFrame:
+    """0-based position of every row in the total order `order` (NULLs last), plus the row count as `n_rows`.
 
-    `bucket` are expressions that never decrease along `order` (for example the timestamp, or the timestamp and the
-    first letters of the symbol); rows are numbered inside a bucket and shifted by the size of all earlier
-    buckets. `chunk` coarsens the buckets, so the cumulative count is split as well.
+    Rows are dealt by sampled ranges of the order columns and stored with the number of their range, so the ranges stay
+    as they fell; each range is numbered on its own and shifted by the size of all earlier ones (one row per range). Rows
+    that agree in all order columns share a range and are numbered in any order.
     """
-    names = [f"_b{i}" for i in range(len(bucket))]
-    tagged = df.select("*", *[b.alias(n) for b, n in zip(bucket, names)], chunk.alias("_part"))
-    sizes = tagged.groupBy("_part", *names).agg(F.count(F.lit(1)).alias("_size"))
-    placed = running(sizes, [], names, F.col("_part"), {"_upto": ("count", "_size")})
+    by = [F.col(c).asc_nulls_last() for c in order]
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(df.repartitionByRange(ranges, *by).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_range", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
     total = sizes.agg(F.sum("_size")).scalar()
-    inside = Window.partitionBy("_part", *names).orderBy(*order)
-    offsets = placed.select("_part", *names, (F.col("_upto") - F.col("_size")).alias("_offset"))
+    inside = Window.partitionBy("_range").orderBy(*by)
     return (
-        tagged.withColumn("_i", F.row_number().over(inside))
-        .join(offsets, ["_part", *names])
+        dealt.withColumn("_i", F.row_number().over(inside))
+        .join(offsets, "_range")
         .withColumn(name, F.col("_offset") + F.col("_i") - 1)
         .withColumn("n_rows", total)
-        .drop("_part", *names, "_i", "_offset")
+        .drop("_range", "_i", "_offset")
     )

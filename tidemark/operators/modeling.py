@@ -1,6 +1,6 @@
 """Standardization, the limit-up classifier, chronological validation, parameter grids and sweeps.
 
-Positions in time order come from counted buckets (see functions.chunked.ordinal), never from a global sort.
+Positions in time order come from counted ranges (see functions.chunked.ordinal).
 Fitting is distributed gradient work in Spark ML; only the handful of fitted parameters live on the driver.
 """
 
@@ -24,7 +24,6 @@ from .evaluation import ratio
 from .features import MODEL_FEATURES
 
 GRID_AXES = ("model", "feature_set", "horizon", "threshold", "cost_bps", "seed")
-MAX_RUNS = 48_000
 
 
 def _moments(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -93,16 +92,9 @@ def logistic_fit(
     )
 
 
-def in_time_order(df: DataFrame, bucket_letters: int | None = None) -> DataFrame:
-    """Add `pos` and `n_rows` in (timestamp, symbol) order.
-
-    Rows are numbered per timestamp; with `bucket_letters` per timestamp and leading letters of the symbol, for
-    timestamps shared by more symbols than one task should number.
-    """
-    bucket: list[Column] = [F.col("timestamp")]
-    if bucket_letters:
-        bucket.append(F.substring("symbol", 1, bucket_letters))
-    return ordinal(df, ["timestamp", "symbol"], bucket, F.date_format("timestamp", "yyyy-MM"))
+def in_time_order(df: DataFrame) -> DataFrame:
+    """Add `pos` and `n_rows` in (timestamp, symbol) order; missing times and symbols come last."""
+    return ordinal(df, ["timestamp", "symbol"])
 
 
 def chrono_split(df: DataFrame, test_fraction: float = 0.2) -> DataFrame:
@@ -123,8 +115,10 @@ def precision_recall(scored: DataFrame, keys: list[str] | None = None, cutoff: f
 
 
 def chrono_train_test(df: DataFrame, test_fraction: float = 0.2) -> tuple[LogisticModel, DataFrame]:
-    """Fit on the earlier rows, measure on the later ones: (model, one-row metrics with train_rows)."""
+    """Fit on the earlier rows, measure on the later ones: (model, one-row metrics with train_rows). Needs two rows."""
     split = written(chrono_split(df, test_fraction))
+    if len(split.take(2)) < 2:
+        raise ValueError("a chronological split needs at least two rows")
     model = logistic_fit(split.filter(~F.col("is_test")))
     scored = model.predict(split.filter("is_test"))
     metrics = precision_recall(scored).withColumn("train_rows", split.filter(~F.col("is_test")).agg(F.count(F.lit(1))).scalar())
@@ -196,28 +190,51 @@ def walk_forward_benchmark(
     schema: str | T.StructType,
     train_rows: int = 252,
     test_rows: int = 21,
+    group_folds: int = 100,
 ) -> DataFrame:
-    """Run a user predictor(train, test) on every rolling fold; a group is one fold of train+test rows."""
-
-    def one_fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
-        predicted = predictor(rows[rows.role == "train"].copy(), rows[rows.role == "test"].copy())
-        if not isinstance(predicted, pd.DataFrame):
-            raise TypeError("predictor must return a DataFrame")
-        return predicted
+    """Run a user predictor(train, test) on every rolling fold.
 
-    return rolling_folds(df, train_rows, test_rows).groupBy("fold").applyInPandas(one_fold, schema)
+    A task holds `group_folds` consecutive folds and walks them, so a row is sent to the one or two groups that read it
+    and not to each of its folds.
+    """
+    if train_rows < 1 or test_rows < 1 or group_folds < 1:
+        raise ValueError("train_rows, test_rows and group_folds must be positive")
+    span = group_folds * test_rows  # first rows of successive groups are so far apart
+    names = [f.name for f in (schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)).fields]
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("pos", ignore_index=True)
+        start, total, group = int(rows["pos"].iloc[0]), int(rows["n_rows"].iloc[0]), int(rows["_group"].iloc[0])
+        rows = rows.drop(columns="_group")
+        parts = []
+        for fold in range(group * group_folds, (group + 1) * group_folds):
+            first = fold * test_rows - start
+            if fold * test_rows + train_rows >= total:
+                break
+            train = rows.iloc[first : first + train_rows].assign(fold=fold, role="train")
+            test = rows.iloc[first + train_rows : first + train_rows + test_rows].assign(fold=fold, role="test")
+            predicted = predictor(train, test)
+            if not isinstance(predicted, pd.DataFrame):
+                raise TypeError("predictor must return a DataFrame")
+            parts.append(predicted)
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=names)
+
+    first = F.greatest(F.lit(0), F.ceil((F.col("pos") - (span + train_rows - 1)) / F.lit(float(span)))).cast("bigint")
+    last = F.floor(F.col("pos") / F.lit(float(span))).cast("bigint")
+    placed = in_time_order(df).withColumn("_group", F.explode(F.sequence(first, last)))
+    return placed.groupBy("_group").applyInPandas(walk, schema)
 
 
 def parameter_grid(
-    spark: SparkSession, axes: Mapping[str, Sequence | Column], max_runs: int = MAX_RUNS
+    spark: SparkSession, axes: Mapping[str, Sequence | Column], max_runs: int | None = None
 ) -> DataFrame:
-    """First `max_runs` configurations of the Cartesian product in lexicographic order.
+    """All configurations of the Cartesian product in lexicographic order, or the first `max_runs` of them.
 
     Each run number is decoded digit by digit (the last axis turns fastest), so the product is never formed.
-    An axis is a list, or an array column such as a scalar subquery.
+    An axis is a list, or an array column such as a scalar subquery, whose values should be few; the number of runs
+    is read back (one row) before the grid is laid out.
     """
-    if max_runs < 1:
+    if max_runs is not None and max_runs < 1:
         raise ValueError("max_runs must be positive")
     arrays = {
         name: values if isinstance(values, Column) else F.array(*[F.lit(v) for v in values])
@@ -230,11 +247,9 @@ def parameter_grid(
         digit = F.floor(run / stride).cast("bigint") % size
         columns[name] = F.element_at(arrays[name], (digit + 1).cast("int"))
         stride = stride * size
-    return (
-        spark.range(max_runs)
-        .filter(F.col("id") < stride)
-        .select(F.col("id").alias("run"), *[columns[name].alias(name) for name in arrays])
-    )
+    total = spark.range(1).select(stride).first()[0]
+    return spark.range(total if max_runs is None else min(total, max_runs)).select(
+        F.col("id").alias("run"), *[columns[name].alias(name) for name in arrays])
 
 
 def sweep(grid: DataFrame, predictions: DataFrame, event_threshold: float) -> DataFrame:
@@ -244,9 +259,12 @@ def sweep(grid: DataFrame, predictions: DataFrame, event_threshold: float) -> Da
     highest threshold it clears; counts are cumulated from the top; costs and the other axes are applied to the
     resulting few rows. `predictions` has horizon, score, future_return.
     """
-    levels = grid.agg(F.array_sort(F.collect_set("threshold"))).scalar()  # at most MAX_RUNS values
+    levels = grid.agg(F.array_sort(F.collect_set("threshold"))).scalar()  # the distinct values of one axis
     event = F.coalesce(F.col("future_return") >= event_threshold, F.lit(False))
-    cleared = F.size(F.filter("levels", lambda t: t <= F.col("score")))
+    # Binary search: the number of thresholds cleared grows by halving steps, the largest first.
+    halving = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
+    clears = lambda n: (n <= F.size("levels")) & F.coalesce(F.get("levels", n - 1) <= F.col("score"), F.lit(False))
+    cleared = F.aggregate(halving, F.lit(0), lambda n, step: F.when(clears(n + step), n + step).otherwise(n))
     cells = (
         predictions.select("horizon", "score", levels.alias("levels"), event.alias("event"), "future_return")
         .withColumn("level", cleared)
