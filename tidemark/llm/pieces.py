@@ -131,7 +131,7 @@ def _parts(piece: str) -> set[str]:
 class Encoder:
     """Encodes batches; words met before are looked up."""
 
-    def __init__(self, model: PieceModel, batch_chars: int = 1 << 20, remembered: int = 1 << 20) -> None:
+    def __init__(self, model: PieceModel, batch_chars: int = 1 << 18, remembered: int = 1 << 19) -> None:
         self.model, self.batch_chars, self.remembered = model, batch_chars, remembered
         self.alphabet = np.unique([ord(c) for t in model.number for c in t if len(t) == 1])
         self.alone = np.arange(256) < 32  # control bytes that are in no piece stand alone
@@ -362,7 +362,7 @@ _ENCODERS: dict[str, Encoder] = {}
 def _encode(model: PieceModel, key: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _ENCODERS.setdefault(key, Encoder(model))  # a worker remembers words from task to task
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             tokens, cuts = encoder.texts(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(tokens, pa.int32()))], ["doc_id", "ids"])
 
