@@ -6,12 +6,6 @@ import numpy as np
 
 from .common import U64
 
-_COUNT = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
-
-
-def _ones(words: np.ndarray) -> np.ndarray:
-    return sum(_COUNT[(words >> U64(s)) & U64(0xFFFF)].astype(np.int64) for s in (0, 16, 32, 48))
-
 
 def _bits(values: np.ndarray, width: int) -> np.ndarray:
     """Values of `width` bits one after another, and eight bytes of padding."""
@@ -40,7 +34,7 @@ class EliasFano:
 
     def __init__(self, n: int, width: int, low: np.ndarray, high: np.ndarray) -> None:
         self.n, self.width, self.low, self.high = n, width, low, high
-        ones = _ones(high)
+        ones = np.bitwise_count(high).astype(np.int64)
         self.before = np.concatenate(([0], np.cumsum(ones)))
         self.zeros_before = np.arange(len(self.before)) * 64 - self.before
 
@@ -65,7 +59,7 @@ class EliasFano:
         word = np.searchsorted(before, k, "right") - 1
         left, value, place = k - before[word], words[word], word * 64
         for step in (32, 16, 8, 4, 2, 1):
-            half = _ones(value & U64((1 << step) - 1))
+            half = np.bitwise_count(value & U64((1 << step) - 1)).astype(np.int64)
             over = left >= half
             left = np.where(over, left - half, left)
             value = np.where(over, value >> U64(step), value)
@@ -85,23 +79,18 @@ class EliasFano:
         inside = top < zeros
         index = np.full(len(x), self.n)
         rows = np.flatnonzero(inside)
-        # Values with the same high part follow the zero before it; the first of them is the number of ones there.
+        # Values with the same high part stand between two zeros: as many values come before as ones do.
         t = top[rows]
-        first = np.where(t > 0, self._select(self.zeros_before, np.maximum(t - 1, 0), ~self.high) - (t - 1), 0)
-        place = first.copy()
-        bit = place + t
-        low, want = np.zeros(0), x[rows] & U64((1 << self.width) - 1)
-        open_ = np.arange(len(rows))
+        low = np.where(t > 0, self._select(self.zeros_before, np.maximum(t - 1, 0), ~self.high) - (t - 1), 0)
+        high = np.minimum(self._select(self.zeros_before, t, ~self.high) - t, self.n)
+        low, want = np.minimum(low, self.n), x[rows] & U64((1 << self.width) - 1)
+        open_ = np.flatnonzero(low < high)
         while len(open_):
-            here = bit[open_]
-            one = (self.high[here >> 6] >> (here & 63).astype(U64)) & U64(1) == 1
-            one &= place[open_] < self.n
-            open_ = open_[one]
-            low = _read_bits(self.low, place[open_], self.width)
-            open_ = open_[low < want[open_]]
-            place[open_] += 1
-            bit[open_] += 1
-        index[rows] = np.minimum(place, self.n)
+            middle = (low[open_] + high[open_]) >> 1
+            less = _read_bits(self.low, middle, self.width) < want[open_]
+            low[open_[less]], high[open_[~less]] = middle[less] + 1, middle[~less]
+            open_ = open_[low[open_] < high[open_]]
+        index[rows] = low
         return index
 
 
