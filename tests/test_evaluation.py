@@ -62,8 +62,9 @@ def test_exact_median(spark, n):
     rng = np.random.default_rng(n)
     values = np.concatenate([rng.normal(0, 3, n), np.full(n // 3, 0.25)])
     df = spark.createDataFrame([(float(v),) for v in values], "x double")
-    assert ops.exact_median(df, "x") == np.median(values)
-    assert ops.exact_median(df.limit(0), "x") is None
+    median = lambda frame: spark.range(1).select(ops.exact_median(frame, "x").alias("m")).first().m
+    assert median(df) == np.median(values)
+    assert median(df.limit(0)) is None
 
 
 def test_learning_report(spark):
@@ -87,3 +88,14 @@ def test_feature_edge_uses_the_latest_signal(spark):
 def test_accept_model(spark):
     df = spark.createDataFrame([(0.35, 0.25), (0.34, 0.9)], "precision double, hit_day_rate double")
     assert [r.accepted for r in ops.accept_model(df).collect()] == [True, False]
+
+
+def test_median_ignores_nan_and_runs_lazily(spark):
+    values = [float("nan"), None, 3.0, 1.0, 2.0]
+    outcomes = spark.createDataFrame([(str(i), v) for i, v in enumerate(values)], "signal_id string, outcome_return double")
+    row = ops.learning_report(outcomes).first()
+    assert row.closed_signals == 3 and row.median_return == 2.0 and row.mean_return == 2.0
+    many = [((i * 7919) % 1001) / 10 for i in range(5000)] + [55.5] * 700
+    df = spark.createDataFrame([(v,) for v in many], "v double")
+    assert spark.range(1).select(ops.exact_median(df, "v").alias("m")).first().m == np.median(many)
+    assert spark.range(1).select(ops.exact_median(df.where("v < 0"), "v").alias("m")).first().m is None

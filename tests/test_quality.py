@@ -114,3 +114,18 @@ def test_order_limits(spark):
     assert got == cases
     with pytest.raises(ValueError):
         ops.order_limit_flags(df, max_position_pct=0)
+
+
+def test_point_in_time_reads_offsets(spark):
+    rows = spark.createDataFrame(
+        [(1, "2024-01-02T10:00:00+03:00", "2024-01-02T08:00:00+00:00"), (2, "2024-01-02T09:00:00+00:00", "2024-01-02T11:00:00+03:00"), (3, "no time", "2024-01-02")],
+        "k int, as_of string, observed_at string")
+    got = {r.k: r.lookahead for r in ops.validate_point_in_time(rows, mode="quarantine").collect()}
+    assert got == {1: False, 2: True, 3: False}
+
+
+def test_refuse_empty(spark):
+    rows = spark.range(3)
+    assert ops.refuse_empty(rows, "nothing").count() == 3
+    with pytest.raises(Exception, match="nothing"):
+        ops.refuse_empty(rows.where("id > 5"), "nothing").collect()

@@ -26,39 +26,39 @@ def test_composite_layers(spark):
     assert ops.composite_score(bare).first().institutional_data_coverage == 0.2
     assert ops.composite_score(bare, missing_is_null=True).first().institutional_data_coverage == 0.4
     with pytest.raises(ValueError):
-        ops.LayerWeights(market=0.9)
+        ops.composite_score(df, {**ops.LAYER_WEIGHTS, "market": 0.9})
 
 
 def test_rank_latest_orders_and_limits(bars):
-    ranked = ops.rank_latest(bars, config=ops.RankingConfig(min_score=0.0))
+    ranked = ops.rank_latest(bars, min_score=0.0)
     assert [r.symbol for r in ranked.collect()] == ["UP", "DOWN"]
-    assert ops.rank_latest(bars, config=ops.RankingConfig(min_score=0.0, top_k=1)).count() == 1
+    assert ops.rank_latest(bars, min_score=0.0, top_k=1).count() == 1
     assert ops.rank_latest(bars).count() == 1
-    assert ops.rank_latest(bars, config=ops.RankingConfig(min_score=101.0)).count() == 0
+    assert ops.rank_latest(bars, min_score=101.0).count() == 0
 
 
 WATCH = "symbol string, last_price double, entry_low double, entry_high double, target double, stop double"
 
 
 def test_watch_gate(spark, bars, rows):
-    every = ops.RankingConfig(min_score=0.0)
-    plain = rows(ops.rank_latest(bars, config=every))
+    every = {"min_score": 0.0}
+    plain = rows(ops.rank_latest(bars, **every))
     good = spark.createDataFrame([("UP", 100.0, 98.0, 101.0, 115.0, 95.0)], WATCH)
-    got = rows(ops.rank_latest(bars, watch=good, config=every))
+    got = rows(ops.rank_latest(bars, watch=good, **every))
     assert set(got) == {"UP", "DOWN"}  # the uncovered symbol stays
     up = got["UP"]
     assert up["institutional_score"] == pytest.approx(0.9 * plain["UP"]["institutional_score"] + 0.1 * up["technical_watch_score"], abs=0.006)
     assert got["DOWN"]["institutional_score"] == plain["DOWN"]["institutional_score"]
     poor = spark.createDataFrame([("UP", 100.0, 98.0, 101.0, 103.0, 95.0), ("DOWN", 1.0, None, 2.0, 3.0, 0.5)], WATCH)
-    assert set(rows(ops.rank_latest(bars, watch=poor, config=every))) == {"DOWN"}
+    assert set(rows(ops.rank_latest(bars, watch=poor, **every))) == {"DOWN"}
     # the same levels as columns of the bars
     on_bars = bars.join(good, "symbol", "left")
-    assert rows(ops.rank_latest(on_bars, config=every))["UP"]["institutional_score"] == up["institutional_score"]
+    assert rows(ops.rank_latest(on_bars, **every))["UP"]["institutional_score"] == up["institutional_score"]
 
 
 def test_layers_reach_the_ranking(spark, bars, rows):
     layer = spark.createDataFrame([("DOWN", 100.0)], "symbol string, score double")
-    got = rows(ops.rank_latest(bars, {"smart_money_score": layer}, config=ops.RankingConfig(min_score=0.0)))
+    got = rows(ops.rank_latest(bars, {"smart_money_score": layer}, min_score=0.0))
     assert got["DOWN"]["institutional_data_coverage"] == 0.4 and got["UP"]["institutional_data_coverage"] == 0.2
 
 
@@ -100,7 +100,23 @@ def test_reports(spark, bars):
 
 
 def test_paper_selection(bars):
-    ranked = ops.rank_latest(bars, config=ops.RankingConfig(min_score=0.0))
+    ranked = ops.rank_latest(bars, min_score=0.0)
     got = ops.paper_selection(ranked, top_k=0, slippage=0.0).collect()
     assert [r.symbol for r in got] == ["UP"]
     assert got[0].quantity * got[0].entry_price == pytest.approx(100_000.0) and got[0].entry_cost == pytest.approx(100_100.0)
+
+
+def test_reports_say_when_there_is_nothing(spark):
+    lines = lambda df: [r.text for r in df.orderBy("line").collect()]
+    board = spark.createDataFrame([(1, "UP", 12.5, 2)], "rank int, symbol string, period_return_pct double, rank_change int")
+    assert lines(ops.board_lines(board, ops.BOARD_TITLE))[0] == ops.BOARD_TITLE and len(lines(ops.board_lines(board, ops.BOARD_TITLE))) == 2
+    assert lines(ops.board_lines(board.where("false"), ops.BOARD_TITLE)) == [ops.BOARD_TITLE, ops.EMPTY_BOARD_LINE]
+    records = spark.createDataFrame([(2, None, 70.0), (1, "UP", None)], "n int, symbol string, score double")
+    assert lines(ops.thin_report(records, "n", "T")) == ["T", "1. UP | skor=?", "2. ? | skor=70.0"]
+    assert lines(ops.thin_report(records.where("false"), "n", "T")) == list(ops.NO_CANDIDATE_LINES)
+
+
+def test_report_ends_with_its_sources(spark, bars):
+    ranked = ops.rank_latest(bars, min_score=0.0)
+    got = ops.morning_report(ranked, bars, bars, "T", sources=(bars.limit(3), bars.limit(0), bars.limit(1))).orderBy("line").collect()
+    assert got[-1].text == "Kaynaklar: HISTORICAL + KAP:3 + NEWS:0 + FUND:1" and [r.line for r in got] == list(range(1, len(got) + 1))

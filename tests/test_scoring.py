@@ -75,8 +75,11 @@ def test_flow_scores(spark):
 
 
 def test_exposure_without_aum_is_null(spark):
-    assert ops.estimate_exposure(one(spark, weight=0.5)).first().estimated_exposure is None
-    assert ops.estimate_exposure(one(spark, weight=0.5, aum=10.0)).first().estimated_exposure == 5.0
+    held = {"symbol": "A", "manager": "M", "weight": 0.5}
+    assert ops.estimate_exposure(one(spark, **held)).first().estimated_exposure is None
+    assert ops.estimate_exposure(one(spark, **held, aum=10.0)).first().estimated_exposure == 5.0
+    with pytest.raises(ValueError, match="manager"):
+        ops.estimate_exposure(one(spark, symbol="A", weight=0.5))
 
 
 def test_risk_reward(spark):

@@ -74,7 +74,3 @@ def saturated_tanh(c: str | Column, scale: float) -> Column:
         raise ValueError("scale must be positive")
     t = F.tanh(col(c) / F.lit(float(scale)))
     return F.when(t >= 1.0, F.lit(0.999999)).when(t <= -1.0, F.lit(-0.999999)).otherwise(t)
-
-
-def last_by(keys: list[str], *order: Column) -> WindowSpec:
-    return Window.partitionBy(*keys).orderBy(*order)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,7 +13,8 @@ from pyspark.sql import types as T
 
 from .numeric import col
 
-WHITESPACE = " \t\n\r\x0b\x0c"
+#: Characters that count as blank at the ends of a text, by the rule of Python's own strip.
+WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 TICKER_SUFFIX = r"\.IS$"
 
 
@@ -19,9 +22,29 @@ def strip(c: str | Column) -> Column:
     return F.btrim(col(c), F.lit(WHITESPACE))
 
 
+@cache
+def _folds() -> tuple[str, str, tuple[tuple[str, str], ...]]:
+    """Where full case folding differs from lower case: letters with a one-letter fold, those folds, and (letter, fold) of the others."""
+    single, multiple = {}, {}
+    for letter in map(chr, range(sys.maxunicode + 1)):
+        lower, fold = letter.lower(), letter.casefold()
+        if fold != lower and len(lower) == 1 and lower not in single and lower not in multiple:
+            (single if len(fold) == 1 else multiple)[lower] = fold
+    return "".join(single), "".join(single.values()), tuple(multiple.items())
+
+
 def casefold(c: str | Column) -> Column:
-    """lower() plus the folds that differ from it in European text (sharp s, final sigma)."""
-    return F.replace(F.replace(F.lower(col(c)), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    """Full Unicode case folding: lower case, then the folds that differ from it.
+
+    One translate covers the one-letter folds; the hundred or so longer ones (sharp s, ligatures) are replaced only in a
+    text that holds one of them.
+    """
+    letters, folds, multiple = _folds()
+    text = F.translate(F.lower(col(c)), letters, folds)
+    longer = text
+    for letter, fold in multiple:
+        longer = F.replace(longer, F.lit(letter), F.lit(fold))
+    return F.when(text.rlike("[" + "".join(letter for letter, _ in multiple) + "]"), longer).otherwise(text)
 
 
 def ticker(c: str | Column, suffix: bool = True) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import clip, clip_or, number, rounded
 from ..functions.strings import strip
 from ..schemas import require
+from .quality import refuse_empty
 
 # Action weights and the default set of portfolio managers.
 ACTION_WEIGHTS = {"BUY": 1.0, "OVERWEIGHT": 0.8, "HOLD": 0.0, "NEUTRAL": 0.0, "UNDERWEIGHT": -0.8, "SELL": -1.0}
@@ -51,7 +52,8 @@ def flow_summary(flows: DataFrame, as_of: str | Column | None = None) -> DataFra
 
 
 def sector_flows_tagged(flows: DataFrame, as_of: str | Column | None = None) -> DataFrame:
-    """Flow per explicitly tagged sector on the day."""
+    """Flow per explicitly tagged sector on the day. No rows at all is an error."""
+    flows = refuse_empty(flows, "no fund-flow observations")
     today = flows.filter(
         (F.col("as_of") == _day(flows, as_of)) & F.col("sector").isNotNull() & (F.col("sector") != "")
     )

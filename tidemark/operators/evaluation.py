@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.chunked import running
-from ..functions.numeric import rounded
+from ..functions.numeric import known, rounded
 from ..schemas import require
 from .features import equity_curve
 
@@ -135,39 +135,29 @@ def topk_metrics(predictions: DataFrame, top_k: int = 5, event_threshold: float
     )
 
 
-def exact_median(df: DataFrame, column: str, width: float = 0.01, refine: int = 4096, levels: int = 2) -> float | None:
-    """Exact median without sorting the column or grouping all its distinct values.
+def exact_median(df: DataFrame, column: str, accuracy: int = 10_000) -> Column:
+    """Exact median as a scalar of the running query; missing and NaN values do not count, NULL without any other.
 
-    Each level counts rows per value bucket (combined on the map side) and keeps only the buckets that hold the
-    middle ranks; the last step counts equal values inside them. One row per level reaches the driver, and its bounds
-    become filters of the next scan.
+    A sketch brackets the middle within 2 / accuracy of the ranks. A second pass counts the values below the bracket and
+    groups those inside, which are cumulated in 4096 slices of the bracket; no value outside is sorted or grouped.
     """
-    v = F.col("v")
-    rows = df.select(F.col(column).alias("v")).filter(v.isNotNull())
-    low = high = None
-    for level in range(levels + 1):
-        key = F.floor(v / F.lit(width / refine**level)) if level < levels else v
-        counts = rows.groupBy(key.alias("b")).agg(F.count(F.lit(1)).alias("c"))
-        if low is None:
-            total = counts.agg(F.sum("c")).first()[0]
-            if not total:
-                return None
-            low, high = (total + 1) // 2, total // 2 + 1
-        placed = running(counts, [], ["b"], F.floor(F.col("b") / 4096), {"upto": ("count", "c")})
-        covers = (F.col("upto") >= low) & (F.col("upto") - F.col("c") < high)
-        first, last, below = placed.filter(covers).agg(
-            F.min("b"), F.max("b"), F.min(F.col("upto") - F.col("c"))
-        ).first()
-        if level == levels:
-            return (first + last) / 2.0
-        rows = rows.filter(key.between(first, last))
-        low, high = low - below, high - below
-    return None
+    rows = df.select(known(column).alias("v")).filter("v is not null")
+    ends = F.percentile_approx("v", [0.5 - 2 / accuracy, 0.5 + 2 / accuracy], accuracy)
+    bracket = rows.agg(F.struct(ends[0].alias("low"), ends[1].alias("high"))).scalar()
+    low, high = bracket.getField("low"), bracket.getField("high")
+    sizes = rows.agg(F.struct(F.count(F.lit(1)).alias("n"), F.count_if(F.col("v") < low).alias("below"))).scalar()
+    n, below = sizes.getField("n"), sizes.getField("below")
+    inside = rows.filter(F.col("v").between(low, high)).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    slice_ = F.coalesce(F.floor(F.try_divide(F.col("v") - low, high - low) * 4096), F.lit(0))
+    placed = running(inside, [], ["v"], slice_, {"upto": ("count", "c")})
+    first, last = F.floor((n + 1) / 2) - below, F.floor(n / 2) + 1 - below
+    covers = (F.col("upto") >= first) & (F.col("upto") - F.col("c") < last)
+    return placed.filter(covers).agg((F.min("v") + F.max("v")) / 2.0).scalar()
 
 
 def learning_report(outcomes: DataFrame, hit_threshold: float = 0.10) -> DataFrame:
-    """One row of statistics over closed signals, with the recommended next step."""
-    closed = outcomes.filter(F.col("outcome_return").isNotNull())
+    """One row of statistics over closed signals (a return that is a number), with the recommended next step."""
+    closed = outcomes.withColumn("outcome_return", known("outcome_return")).filter(F.col("outcome_return").isNotNull())
     median = exact_median(closed, "outcome_return")
     r = F.col("outcome_return")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
@@ -178,7 +168,7 @@ def learning_report(outcomes: DataFrame, hit_threshold: float = 0.10) -> DataFra
         rounded(ratio(F.count_if(r >= hit_threshold), F.count(F.lit(1))), 4).alias("hit_rate"),
         rounded(zero(F.avg(r)), 6).alias("mean_return"),
         rounded(zero(F.stddev_samp(r)), 6).alias("return_std"),
-    ).withColumn("median_return", rounded(F.lit(median or 0.0), 6))
+    ).withColumn("median_return", rounded(zero(median), 6))
     action = F.when(ready, "READY_FOR_RESEARCH").otherwise("COLLECT_MORE_OUTCOMES")
     steps = (
         F.when(~ready, F.array(F.lit("COLLECT_MORE_OUTCOMES")))
@@ -191,10 +181,10 @@ def learning_report(outcomes: DataFrame, hit_threshold: float = 0.10) -> DataFra
 
 def feature_edge(signals: DataFrame, outcomes: DataFrame, order: str) -> DataFrame:
     """Mean of contribution x outcome per feature, over outcomes whose (latest) signal record exists."""
-    known = signals.groupBy("signal_id").agg(F.max_by("feature_contributions", order).alias("parts"))
-    closed = outcomes.filter(F.col("outcome_return").isNotNull()).select("signal_id", "outcome_return")
+    latest = signals.groupBy("signal_id").agg(F.max_by("feature_contributions", order).alias("parts"))
+    closed = outcomes.select("signal_id", known("outcome_return").alias("outcome_return")).filter("outcome_return is not null")
     return (
-        closed.join(known, "signal_id")
+        closed.join(latest, "signal_id")
         .select("outcome_return", F.explode("parts").alias("feature", "contribution"))
         .groupBy("feature")
         .agg(rounded(F.avg(F.col("contribution") * F.col("outcome_return")), 8).alias("edge"))

@@ -11,12 +11,17 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import rounded
 from ..schemas import require
+from .quality import refuse_empty
 from .scoring import add_risk_reward
 
 LAYER_COLUMNS = ("smart_money_score", "consensus_score", "research_score", "fundamental_score")
 WATCH_FEATURES = ("technical_watch_score", "target_upside_pct", "stop_downside_pct", "risk_reward")
 
 
+def _both(flows: DataFrame, holdings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return refuse_empty(flows, "no fund-flow observations"), refuse_empty(holdings, "no holdings")
+
+
 def _latest_day(flows: DataFrame, holdings: DataFrame, as_of: str | Column | None) -> Column:
     if as_of is not None:
         return as_of if isinstance(as_of, Column) else F.lit(as_of).cast("date")
@@ -48,13 +53,16 @@ def stock_flows(flows: DataFrame, holdings: DataFrame, as_of: str | Column | Non
     """Fund flows allocated to symbols by that day's portfolio weights.
 
     `order` ranks repeated flows of a fund, of which the last counts; without it flows must be unique per fund and day.
+    No flow or no holding at all is an error.
     """
+    flows, holdings = _both(flows, holdings)
     return _per_key(_allocated(flows, holdings, _latest_day(flows, holdings, as_of), order), "symbol")
 
 
 def sector_flows_est(
     flows: DataFrame, holdings: DataFrame, as_of: str | Column | None = None, order: str | None = None
 ) -> DataFrame:
+    flows, holdings = _both(flows, holdings)
     tagged = holdings.filter(F.col("sector").isNotNull() & (F.col("sector") != ""))
     return _per_key(_allocated(flows, tagged, _latest_day(flows, holdings, as_of), order), "sector")
 

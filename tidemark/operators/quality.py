@@ -10,10 +10,12 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
 from ..functions.chunked import over_chunks
 from ..functions.numeric import known, number
+from ..functions.strings import strip
 from ..schemas import BAR_COLUMNS, PRICE_COLUMNS, WATCH_LEVELS, require
 
 
@@ -36,6 +38,14 @@ def enforce(df: DataFrame, rules: Mapping[str, Column], mode: str = "fail", what
     return df.filter(F.when(broken, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
 
 
+def refuse_empty(df: DataFrame, message: str) -> DataFrame:
+    """`df`, or an error when it has no row; checked while it runs, by a branch that never gives a row."""
+    found = df.limit(1).agg(F.count(F.lit(1))).scalar()
+    check = F.when(found == 0, F.raise_error(F.lit(message)).cast("boolean")).otherwise(F.lit(False))
+    none = df.sparkSession.range(1).filter(check)
+    return df.unionByName(none.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields]))
+
+
 def bar_rules() -> dict[str, Column]:
     values = {name: known(name) for name in PRICE_COLUMNS}
     o, h, l, c = (values[name] for name in ("open", "high", "low", "close"))
@@ -97,9 +107,13 @@ def assert_ohlcv_quality(bars: DataFrame, seq: list[str], seq_chunk: Column) ->
 def validate_point_in_time(
     df: DataFrame, as_of: str = "as_of", observed: str = "observed_at", mode: str = "fail"
 ) -> DataFrame:
-    """Reject (or flag in `lookahead`) rows known before the date they are about."""
+    """Reject (or flag in `lookahead`) rows known before the date they are about.
+
+    Text stamps are read as times, so offsets count; text that is no time compares as missing.
+    """
     require(df, (as_of, observed), "frame")
-    future = F.coalesce(F.col(as_of) > F.col(observed), F.lit(False))
+    moment = lambda c: F.col(c).try_cast("timestamp") if isinstance(df.schema[c].dataType, T.StringType) else F.col(c)
+    future = F.coalesce(moment(as_of) > moment(observed), F.lit(False))
     if mode == "quarantine":
         return df.withColumn("lookahead", future)
     return enforce(df, {f"lookahead detected, {as_of} is later than {observed}": future}, "fail", "row")
@@ -115,7 +129,7 @@ def _outside(c: str, low: float, high: float) -> Column:
 
 
 def _blank(c: str) -> Column:
-    return F.coalesce(F.trim(F.col(c)) == "", F.lit(True))
+    return F.coalesce(strip(c) == "", F.lit(True))
 
 
 def row_constraints(kind: str) -> dict[str, Column]:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import math
+from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clip, clip_or, number, rounded
@@ -17,37 +18,17 @@ from .scoring import add_risk_reward, flow_score_100, snapshot_score
 NO_SIGNAL_LINE = "🔴 BUGÜN KALİTELİ TAVAN SİNYALİ YOK."
 CANDIDATE_FORMAT = "%d. %s | skor=%.2f | veri-kapsamı=%.0f%%"
 UNIVERSE_FORMAT = "Evren: %d | OHLCV satırı: %d"
+SOURCES_FORMAT = "Kaynaklar: HISTORICAL + KAP:%d + NEWS:%d + FUND:%d"
+BOARD_TITLE = "BIST PERFORMANS LİDERLERİ"
+EMPTY_BOARD_LINE = "• Yeterli geçmiş veri yok."
+THIN_FORMAT = "%d. %s | skor=%s"
+NO_CANDIDATE_LINES = ("🔴 BUGÜN KALİTELİ TAVAN SİNYALİ YOK", "Veri kaynağından aday üretilemedi.")
 BOARD_FORMAT = "%2d. %-8s %%%7.2f %s%02d"
 SIGNAL, NO_SIGNAL = "SIGNAL", "NO_QUALITY_SIGNAL"
 
 
-@dataclass(frozen=True)
-class LayerWeights:
-    market: float = 0.50
-    smart_money: float = 0.20
-    consensus: float = 0.10
-    research: float = 0.10
-    fundamentals: float = 0.10
-
-    def __post_init__(self) -> None:
-        values = self.by_layer().values()
-        if min(values) < 0 or abs(sum(values) - 1.0) > 1e-8:
-            raise ValueError("layer weights must be non-negative and sum to 1")
-
-    def by_layer(self) -> dict[str, float]:
-        return dict(self.__dict__)
-
-
-@dataclass(frozen=True)
-class RankingConfig:
-    min_score: float = 65.0
-    top_k: int = 20
-    technical_weight: float = 0.10
-    weights: LayerWeights = field(default_factory=LayerWeights)
-
-    def __post_init__(self) -> None:
-        if not 0 <= self.technical_weight <= 1:
-            raise ValueError("technical_weight must be between 0 and 1")
+# Share of each layer in the blended score.
+LAYER_WEIGHTS = {"market": 0.50, "smart_money": 0.20, "consensus": 0.10, "research": 0.10, "fundamentals": 0.10}
 
 
 _SOURCES = {
@@ -56,16 +37,20 @@ _SOURCES = {
 }
 
 
-def composite_score(df: DataFrame, weights: LayerWeights | None = None, missing_is_null: bool = False) -> DataFrame:
+def composite_score(df: DataFrame, weights: Mapping[str, float] = LAYER_WEIGHTS, missing_is_null: bool = False) -> DataFrame:
     """Blend the market score with optional layers; absent layers count as a neutral 50.
 
+    `weights` gives each layer its share; shares are not negative and add up to one.
+
     Coverage is the share of layers that differ from 50, so a genuine 50 counts as missing. With
     `missing_is_null` it counts the layers that were really there.
     """
     require(df, ("symbol", "score"), "frame")
+    if set(weights) != set(_SOURCES) or any(w < 0 for w in weights.values()) or not math.isclose(sum(weights.values()), 1.0, abs_tol=1e-8):
+        raise ValueError(f"weights must share one among {', '.join(_SOURCES)}")
     total, covered = F.lit(0.0), F.lit(0)
     layers: dict[str, Column] = {}
-    for layer, weight in (weights or LayerWeights()).by_layer().items():
+    for layer, weight in weights.items():
         source = _SOURCES[layer]
         given = number(source) if source in df.columns else F.lit(None).cast("double")
         layers[f"{layer}_layer"] = clip_or(given, 50.0, 0.0, 100.0)
@@ -85,19 +70,25 @@ def rank_latest(
     bars: DataFrame,
     layers: dict[str, DataFrame] | None = None,
     watch: DataFrame | None = None,
-    config: RankingConfig | None = None,
+    *,
+    min_score: float = 65.0,
+    top_k: int = 20,
+    weights: Mapping[str, float] = LAYER_WEIGHTS,
+    watch_share: float = 0.10,
 ) -> DataFrame:
     """Top symbols by the latest bar's score, blended with layers and gated by watchlist reward/risk.
 
     Bars are cut to the last 21 per symbol before any feature is computed, and layers join after that, to
-    one row per symbol. Layer and watch columns may also come on the bars themselves.
+    one row per symbol. Layer and watch columns may also come on the bars themselves. `watch_share` is the part of the
+    watch score in the score of a symbol that passes the gate.
     """
-    config = config or RankingConfig()
+    if not 0 <= watch_share <= 1:
+        raise ValueError("watch_share lies between 0 and 1")
     latest = latest_ranker_features(bars)
     if layers:
         latest = attach_layers(latest, layers)
     if set(LAYER_COLUMNS) & set(latest.columns):
-        ranked = composite_score(latest, config.weights)
+        ranked = composite_score(latest, weights)
     else:
         ranked = latest.withColumn("institutional_score", F.col("score")).withColumn(
             "institutional_data_coverage", F.lit(0.0)
@@ -106,11 +97,11 @@ def rank_latest(
         watch = latest.select("symbol", *WATCH_LEVELS)
         ranked = ranked.drop(*WATCH_LEVELS)
     if watch is not None:
-        ranked = _technical_gate(ranked, watch, config.technical_weight)
+        ranked = _technical_gate(ranked, watch, watch_share)
     return (
-        ranked.filter(F.col("institutional_score") >= config.min_score)
+        ranked.filter(F.col("institutional_score") >= min_score)
         .orderBy(F.col("institutional_score").desc(), "symbol")
-        .limit(config.top_k)
+        .limit(top_k)
     )
 
 
@@ -188,9 +179,17 @@ def daily_signal(ranked: DataFrame, strong: float = 85.0) -> DataFrame:
     return ranked.withColumn("signal", F.when(F.col("score") >= strong, "STRONG").otherwise("WATCH"))
 
 
-def morning_report(ranked: DataFrame, bars: DataFrame, universe: DataFrame, title: str, top_k: int = 20) -> DataFrame:
-    """Report lines (line, text): title, universe size, then the ranked symbols or the no-signal line.
+def morning_report(
+    ranked: DataFrame,
+    bars: DataFrame,
+    universe: DataFrame,
+    title: str,
+    top_k: int = 20,
+    sources: tuple[DataFrame, DataFrame, DataFrame] | None = None,
+) -> DataFrame:
+    """Report lines (line, text): title, universe size, then the ranked symbols or the no-signal line, then the sources.
 
+    `sources` are the disclosure, news and fund rows whose numbers the last line gives; without them it is left out.
     The at most `top_k` ranked rows are folded into one array, so the ranking itself is evaluated once.
     """
     entry = F.struct((-F.col("institutional_score")).alias("k"), "symbol", "institutional_score", "institutional_data_coverage")
@@ -204,6 +203,10 @@ def morning_report(ranked: DataFrame, bars: DataFrame, universe: DataFrame, titl
 
     nothing = F.array(F.struct(F.lit(3).alias("line"), F.lit(NO_SIGNAL_LINE).alias("text")))
     lines = F.when(F.size("rows") > 0, F.transform("rows", candidate)).otherwise(nothing)
+    if sources:
+        counts = [source.agg(F.count(F.lit(1))).scalar() for source in sources]
+        last = F.struct((F.greatest(F.size("rows"), F.lit(1)) + 3).alias("line"), F.format_string(SOURCES_FORMAT, *counts).alias("text"))
+        lines = F.concat(lines, F.array(last))
     symbols = universe.agg(F.countDistinct("symbol")).scalar()
     sizes = bars.agg(F.count(F.lit(1)).alias("n")).withColumn("symbols", symbols)
     head = F.array(
@@ -213,13 +216,30 @@ def morning_report(ranked: DataFrame, bars: DataFrame, universe: DataFrame, titl
     return sizes.select(F.inline(head)).unionByName(folded.select(F.inline(lines)))
 
 
-def board_lines(board: DataFrame) -> DataFrame:
-    """Leaderboard lines with an arrow for the rank change."""
+def _with_head(lines: DataFrame, head: list[str], nothing: list[str]) -> DataFrame:
+    """Lines numbered from 1 behind the `head`, or the lines of `nothing` when there is none."""
+    some = lines.limit(1).agg(F.count(F.lit(1))).scalar() > 0
+    texts = lambda found: F.array(*[F.struct(F.lit(i).alias("line"), F.lit(t).alias("text")) for i, t in enumerate(found)])
+    heads = F.when(some, texts(head)).otherwise(texts(nothing))
+    first = lines.sparkSession.range(1).select(F.inline(heads))
+    return first.unionByName(lines.select(F.col("line").cast("int"), "text"))
+
+
+def thin_report(records: DataFrame, order: str, title: str, top_k: int = 20) -> DataFrame:
+    """Lines (line, text) of the first records by `order`, with a question mark for what is missing; a notice without any."""
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("?")) if c in records.columns else F.lit("?")
+    first = records.orderBy(order).limit(top_k).select(shown("symbol").alias("symbol"), shown("score").alias("score"), F.row_number().over(Window.orderBy(order)).alias("line"))
+    return _with_head(first.select("line", F.format_string(THIN_FORMAT, "line", "symbol", "score").alias("text")), [title], list(NO_CANDIDATE_LINES))
+
+
+def board_lines(board: DataFrame, title: str | None = None) -> DataFrame:
+    """Leaderboard lines with an arrow for the rank change; with a `title` as line 0, and a notice for an empty board."""
     arrow = F.when(F.col("rank_change") > 0, "↑").when(F.col("rank_change") < 0, "↓").otherwise("→")
     text = F.format_string(
         BOARD_FORMAT, F.col("rank"), F.col("symbol"), F.col("period_return_pct"), arrow, F.abs("rank_change")
     )
-    return board.select(F.col("rank").alias("line"), text.alias("text"))
+    lines = board.select(F.col("rank").alias("line"), text.alias("text"))
+    return lines if title is None else _with_head(lines, [title], [title, EMPTY_BOARD_LINE])
 
 
 def paper_selection(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clip, clip_or, rounded, saturated_tanh
-from ..schemas import WATCH_LEVELS
+from ..schemas import WATCH_LEVELS, require
 from .quality import enforce, validate_watchlist
 
 # Default weights and label limits.
@@ -145,7 +145,8 @@ def flow_direction(flow: str | Column) -> Column:
 
 
 def estimate_exposure(positions: DataFrame, weight: str = "weight", aum: str = "aum") -> DataFrame:
-    """AUM x weight; NULL where AUM is unknown, never imputed."""
+    """AUM x weight; NULL where AUM is unknown, never imputed. Positions have a symbol, a manager and a weight."""
+    require(positions, ("symbol", "manager", weight), "positions")
     value = F.col(aum) * F.col(weight) if aum in positions.columns else F.lit(None).cast("double")
     return positions.withColumn("estimated_exposure", value)
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
 from ..sources import bars as bar_io
 from ..sources import feeds, ledger, payloads, sample
 from .domain_sql import day, moment, r6, strip_sql
@@ -214,7 +217,9 @@ SELECT 'signal_outcome' AS type, symbol || '@' || {day('timestamp')} AS signal_i
        future_return >= 0.0025 AS hit FROM predictions""")
 def append_ledger(spark: SparkSession, d: str) -> DataFrame:
     facts = ledger.outcome_facts(sample.outcomes(sample.predictions(spark, d)), hit_threshold=0.0025)
-    return ledger.as_ledger(facts).select("type", "signal_id", "outcome_return", "hit")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/ledgers/{uuid.uuid4().hex}"
+    ledger.append_ledger(ledger.as_ledger(facts), path)
+    return ledger.read_ledger(spark, path).select("type", "signal_id", "outcome_return", "hit")
 
 
 @query("ledger_summary", tables=("bars", "predictions"), sql="""

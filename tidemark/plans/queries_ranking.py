@@ -46,7 +46,7 @@ _TABLES = ("featured", "watchlist", *LAYER_TABLES)
 
 def ranked(spark: SparkSession, d: str, min_score: float = 0.0) -> DataFrame:
     bars = sample.bars(spark, d)
-    return ops.rank_latest(bars, layers(spark, d), sample.watchlist(bars), ops.RankingConfig(min_score=min_score))
+    return ops.rank_latest(bars, layers(spark, d), sample.watchlist(bars), min_score=min_score)
 
 
 @query("composite_score", tables=("featured", *LAYER_TABLES), sql=_LAYERS_SQL + """

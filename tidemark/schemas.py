@@ -16,20 +16,6 @@ BARS = T.StructType(
     + [T.StructField(name, T.DoubleType()) for name in PRICE_COLUMNS]
 )
 
-NEWS = T.StructType(
-    [
-        T.StructField("source", T.StringType()),
-        T.StructField("published_at", T.TimestampType()),
-        T.StructField("title", T.StringType()),
-        T.StructField("url", T.StringType()),
-        T.StructField("event_type", T.StringType()),
-        T.StructField("symbols", T.ArrayType(T.StringType())),
-        T.StructField("sentiment", T.DoubleType()),
-        T.StructField("reliability", T.DoubleType()),
-        T.StructField("language", T.StringType()),
-    ]
-)
-
 # One superset schema for every kind of fact in an append-only research ledger.
 LEDGER = T.StructType(
     [

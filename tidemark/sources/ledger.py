@@ -71,9 +71,14 @@ def ledger_summary(ledger: DataFrame) -> DataFrame:
     )
 
 
+def recent_feedback(feedback: DataFrame, order: list[Column], limit: int = 500) -> DataFrame:
+    """The last `limit` feedback rows, latest first."""
+    return feedback.orderBy(*order).limit(limit)
+
+
 def feedback_summary(feedback: DataFrame, order: list[Column], limit: int = 500) -> DataFrame:
     """Means over the last `limit` experiments; zeros when there are none."""
-    recent = feedback.orderBy(*order).limit(limit)
+    recent = recent_feedback(feedback, order, limit)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     n = F.count(F.lit(1))
     return recent.agg(

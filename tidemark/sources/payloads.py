@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import number
 from ..functions.strings import TICKER_SUFFIX, strip
-from ..operators.quality import enforce
+from ..operators.quality import enforce, refuse_empty
 from ..schemas import PRICE_COLUMNS
 
 RSS_SYMBOL = "^[A-Z0-9]{3,6}$"
@@ -47,7 +47,8 @@ def zip_chart_arrays(df: DataFrame, keep: list[str]) -> DataFrame:
 def provider_bars(rows: DataFrame, strict: bool = False) -> DataFrame:
     """Provider rows (all text) to bars: `timestamp` else `date`, volume 0 when absent.
 
-    The lenient form skips rows whose prices are not numbers; the strict form raises on the first of them.
+    The lenient form skips rows whose prices are not numbers, and raises when none is left; the strict form raises on
+    the first of them.
     """
     stamp = F.coalesce(*[F.col(c) for c in ("timestamp", "date") if c in rows.columns])
     volume = F.coalesce(F.col("volume"), F.lit("0")) if "volume" in rows.columns else F.lit("0")
@@ -59,7 +60,7 @@ def provider_bars(rows: DataFrame, strict: bool = False) -> DataFrame:
         for c in PRICE_COLUMNS:
             missing = missing | F.col(c).isNull()
         return enforce(bars, {"missing price": missing}, "fail", "provider row")
-    return bars.na.drop(subset=list(PRICE_COLUMNS))
+    return refuse_empty(bars.na.drop(subset=list(PRICE_COLUMNS)), "provider rows hold no usable bar")
 
 
 def _first(df: DataFrame, *names: str) -> Column:
@@ -68,15 +69,16 @@ def _first(df: DataFrame, *names: str) -> Column:
 
 
 def symbol_universe(rows: DataFrame, seq: str) -> DataFrame:
-    """Distinct normalized symbols with the position of their first appearance."""
+    """Distinct normalized symbols with the position of their first appearance. No symbol at all is an error."""
     raw = F.coalesce(_first(rows, "symbol", "code", "ticker"), F.lit(""))
     symbol = F.regexp_replace(strip(F.upper(raw)), TICKER_SUFFIX, "")
-    return (
+    symbols = (
         rows.select(symbol.alias("symbol"), F.col(seq).alias("first_seen"))
         .filter(F.col("symbol") != "")
         .groupBy("symbol")
         .agg(F.min("first_seen").alias("first_seen"))
     )
+    return refuse_empty(symbols, "no symbols")
 
 
 def disclosure_alias(rows: DataFrame) -> DataFrame:
