@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.chunked import running
+from ..functions.lineage import written
 from ..functions.numeric import known, rounded
 from ..schemas import require
 from .features import equity_curve
@@ -108,8 +109,11 @@ def topk_daily(predictions: DataFrame, top_k: int = 5, event_threshold: float =
 
 
 def topk_metrics(predictions: DataFrame, top_k: int = 5, event_threshold: float = 0.10) -> DataFrame:
-    """Top-k precision, recall, event-day rate of the universe, gap between hit days, compounded return, drawdown."""
-    curve = equity_curve(topk_daily(predictions, top_k, event_threshold))
+    """Top-k precision, recall, event-day rate of the universe, gap between hit days, compounded return, drawdown.
+
+    The daily rows, one a day, are stored: the curve reads them several times.
+    """
+    curve = equity_curve(written(topk_daily(predictions, top_k, event_threshold)))
     hit_day = F.when(F.col("hits") > 0, F.unix_seconds(F.col("timestamp").cast("timestamp")))
     total = curve.agg(
         F.sum("hits").alias("hits"),

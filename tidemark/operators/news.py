@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clip, clip_or, number
+from ..functions.lineage import written
 from ..functions.strings import casefold, digest, headline, iso_timestamp, strip, ticker
 
 # These words and numbers define the scores and must stay as they are.
@@ -75,21 +76,25 @@ def event_risk(events: DataFrame) -> DataFrame:
 
 
 def event_batch(events: DataFrame, profiles: DataFrame, tie: str) -> DataFrame:
-    """Deduplicate by (title, url), count repeats by title alone, apply source profiles, score risk."""
-    title_key = digest(strip(casefold("title")))
-    repeats = (
-        events.select(title_key.alias("title_key"))
-        .groupBy("title_key")
-        .agg((F.count(F.lit(1)) - 1).alias("duplicate_count"))
+    """Deduplicate by (title, url), count repeats by title alone, apply source profiles, score risk.
+
+    The texts are read and their keys made once: one grouping keeps the first item of each (title, url) and how many there
+    were, and is stored; the repeats of a title are summed over that smaller table.
+    """
+    keyed = events.withColumns({"_title": digest(strip(casefold("title"))), "_key": title_url_key()})
+    reduced = written(
+        keyed.groupBy("_title", "_key")
+        .agg(F.min_by(F.struct(*events.columns), F.struct("published_at", tie)).alias("_first"), F.count(F.lit(1)).alias("_n"))
+        .select("_title", "_n", "_first.*")
     )
+    repeats = reduced.groupBy("_title").agg((F.sum("_n") - 1).alias("duplicate_count"))
     known = profiles.select("source", F.col("reliability").alias("profile_reliability"))
     joined = (
-        dedupe_news(events, tie)
-        .withColumn("title_key", title_key)
-        .join(repeats, "title_key")
+        reduced.drop("_n")
+        .join(repeats, "_title")
         .join(known, "source", "left")
         .withColumn("profile_reliability", F.coalesce("profile_reliability", F.lit(UNKNOWN_SOURCE_RELIABILITY)))
-        .drop("title_key")
+        .drop("_title")
     )
     return event_risk(joined)
 

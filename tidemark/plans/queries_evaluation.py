@@ -49,7 +49,7 @@ SELECT {r6('(SELECT sum(hits) / sum(selected) FROM daily)')} AS top_k_precision,
        {r6('(SELECT avg(gap) FROM hd)')} AS mean_hit_gap_days, {r6('(SELECT avg(gap) FROM hd)')} AS mean_lead_days,
        {r6('(SELECT max_by(equity, timestamp) - 1 FROM dd)')} AS net_pnl, {r6('(SELECT min(drawdown) FROM dd)')} AS max_drawdown""")
 def topk_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return ops.topk_metrics(sample.predictions(spark, d), top_k=5, event_threshold=0.0025)
+    return ops.topk_metrics(sample.stored_predictions(spark, d), top_k=5, event_threshold=0.0025)
 
 
 @query("learning_report", tables=("predictions",), sql=f"""
@@ -60,7 +60,7 @@ SELECT count(*) AS closed_signals, {r6('avg(CASE WHEN future_return >= 0.0025 TH
          || 'RUN_FEATURE_ABLATION,RUN_WALK_FORWARD_REWEIGHTING_EXPERIMENT' AS research_actions
 FROM predictions""")
 def learning_report(spark: SparkSession, d: str) -> DataFrame:
-    return ops.learning_report(sample.outcomes(sample.predictions(spark, d)), hit_threshold=0.0025)
+    return ops.learning_report(sample.outcomes(sample.stored_predictions(spark, d)), hit_threshold=0.0025)
 
 
 @query("learning_feature_edge", tables=("predictions",), digits=8, sql="""
@@ -69,7 +69,7 @@ def learning_report(spark: SparkSession, d: str) -> DataFrame:
 SELECT feature, round_even(avg(v * future_return), 8) AS edge
 FROM parts JOIN predictions p ON p.symbol = parts.symbol AND p.timestamp = parts.timestamp GROUP BY feature""")
 def learning_feature_edge(spark: SparkSession, d: str) -> DataFrame:
-    signals = sample.signals(sample.bars(spark, d))
+    signals = sample.signals(sample.stored_bars(spark, d))
     return ops.feature_edge(signals, sample.outcomes(sample.predictions(spark, d)), "timestamp")
 
 

@@ -40,20 +40,20 @@ FROM a WHERE n >= 2"""
 
 @query("feature_snapshot", tables=("bars",), sql=SNAPSHOT_SQL)
 def feature_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    return ops.feature_snapshot(sample.bars(spark, d))
+    return ops.feature_snapshot(sample.stored_bars(spark, d))
 
 
 @query("ranker_features", tables=("featured",), sql=f"""
 SELECT symbol, {day('timestamp')} AS timestamp, {', '.join(f'{r6(c)} AS {c}' for c in _RANKER)} FROM featured""")
 def ranker_features(spark: SparkSession, d: str) -> DataFrame:
-    return ops.ranker_features(sample.bars(spark, d)).select("symbol", "timestamp", *_RANKER)
+    return ops.ranker_features(sample.stored_bars(spark, d)).select("symbol", "timestamp", *_RANKER)
 
 
 @query("limit_up_dataset", tables=("limit_up_rows",), sql=f"""
 SELECT symbol, {day('timestamp')} AS timestamp, {', '.join(f'{r6(c)} AS {c}' for c in ops.MODEL_FEATURES)}, target
 FROM limit_up_rows""")
 def limit_up_dataset(spark: SparkSession, d: str) -> DataFrame:
-    return ops.limit_up_dataset(sample.bars(spark, d)).select("symbol", "timestamp", *ops.MODEL_FEATURES, "target")
+    return ops.limit_up_dataset(sample.stored_bars(spark, d)).select("symbol", "timestamp", *ops.MODEL_FEATURES, "target")
 
 
 @query("forward_labels", tables=("bars",), sql=f"""
@@ -62,7 +62,7 @@ SELECT symbol, {day('timestamp')} AS timestamp,
        lead(high, 3) OVER w IS NOT NULL AS label_available
 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY timestamp)""")
 def forward_labels(spark: SparkSession, d: str) -> DataFrame:
-    labelled = ops.forward_labels(sample.bars(spark, d), limit_pct=0.10, horizon_bars=3)
+    labelled = ops.forward_labels(sample.stored_bars(spark, d), limit_pct=0.10, horizon_bars=3)
     return labelled.select("symbol", "timestamp", "hit_limit_forward", "label_available")
 
 
@@ -121,7 +121,7 @@ def is_limit_up_close(spark: SparkSession, d: str) -> DataFrame:
     def previous(df: DataFrame, w: WindowSpec) -> DataFrame:
         return df.withColumn("reference_price", F.lag("close").over(w))
 
-    rows = over_chunks(sample.bars(spark, d), ["symbol"], ["timestamp"], F.year("timestamp"), previous, before=1, needs=["close"])
+    rows = over_chunks(sample.stored_bars(spark, d), ["symbol"], ["timestamp"], F.year("timestamp"), previous, before=1, needs=["close"])
     flag = ops.is_limit_up_close(F.col("close"), F.col("reference_price"), 0.10)
     return rows.filter("reference_price is not null").select("symbol", "timestamp", "reference_price", flag.alias("is_limit_up_close"))
 
@@ -143,7 +143,7 @@ SELECT symbol, {day('timestamp')} AS event_time, {r6('ref')} AS reference_price,
        {r6('close')} AS close_price, first_touch, close >= ref * 1.10::DOUBLE - 1e-6 AS held_at_close
 FROM f WHERE touched""")
 def limit_up_events(spark: SparkSession, d: str) -> DataFrame:
-    return ops.limit_up_events(sample.bars(spark, d))
+    return ops.limit_up_events(sample.stored_bars(spark, d))
 
 
 @query("latest_per_symbol", tables=("bars",), sql=f"""
@@ -176,7 +176,7 @@ _TOPK_SQL = """
 SELECT {day('timestamp')} AS timestamp, {r6('daily_return')} AS daily_return, {r6('equity')} AS equity,
        {r6('drawdown')} AS drawdown FROM dd""")
 def equity_curve(spark: SparkSession, d: str) -> DataFrame:
-    daily = topk_daily(sample.predictions(spark, d), top_k=5, event_threshold=0.0025)
+    daily = topk_daily(sample.stored_predictions(spark, d), top_k=5, event_threshold=0.0025)
     return ops.equity_curve(daily).select("timestamp", "daily_return", "equity", "drawdown")
 
 

@@ -22,7 +22,7 @@ _ORDERED = """
 
 def _dataset(spark: SparkSession, d: str) -> DataFrame:
     """Training rows as a written table: every fit and fold reads them again."""
-    rows = limit_up_dataset(sample.bars(spark, d))
+    rows = limit_up_dataset(sample.stored_bars(spark, d))
     return written(rows.select("symbol", "timestamp", *MODEL_FEATURES, "target"))
 
 
@@ -149,7 +149,7 @@ def sweep(spark: SparkSession, d: str) -> DataFrame:
             for h in (1, 2, 3)])
         return ranker_columns(df, w).withColumn("moves", moves)
 
-    rows = over_chunks(sample.bars(spark, d), ["symbol"], ["timestamp"], F.year("timestamp"), ahead,
+    rows = over_chunks(sample.stored_bars(spark, d), ["symbol"], ["timestamp"], F.year("timestamp"), ahead,
                        before=20, after=3, needs=["close", "high", "volume"])
     predictions = rows.select((F.col("score") / 100).alias("score"), F.inline("moves")).filter("future_return is not null")
     grid = ops.parameter_grid(spark, {

@@ -45,7 +45,7 @@ _TABLES = ("featured", "watchlist", *LAYER_TABLES)
 
 
 def ranked(spark: SparkSession, d: str, min_score: float = 0.0) -> DataFrame:
-    bars = sample.bars(spark, d)
+    bars = sample.stored_bars(spark, d)
     return ops.rank_latest(bars, layers(spark, d), sample.watchlist(bars), min_score=min_score)
 
 
@@ -54,7 +54,7 @@ def ranked(spark: SparkSession, d: str, min_score: float = 0.0) -> DataFrame:
 """ + _BLEND + f"""
 SELECT symbol, {day('timestamp')} AS timestamp, {r6('score')} AS score, institutional_score, institutional_data_coverage FROM comp""")
 def composite_score(spark: SparkSession, d: str) -> DataFrame:
-    scored = ops.composite_score(attach_layers(ranker_features(sample.bars(spark, d)), layers(spark, d)))
+    scored = ops.composite_score(attach_layers(ranker_features(sample.stored_bars(spark, d)), layers(spark, d)))
     return scored.select("symbol", "timestamp", "score", "institutional_score", "institutional_data_coverage")
 
 
@@ -102,7 +102,7 @@ SELECT 1::BIGINT AS line, 'Morning ranking' AS text
 UNION ALL SELECT 2, (SELECT printf('Evren: %d | OHLCV satırı: %d', count(DISTINCT symbol), count(*)) FROM bars)
 UNION ALL SELECT n + 2, printf('%d. %s | skor=%.2f | veri-kapsamı=%.0f%%', n, symbol, institutional_score, institutional_data_coverage * 100) FROM ranked""")
 def morning_report(spark: SparkSession, d: str) -> DataFrame:
-    bars = sample.bars(spark, d)
+    bars = sample.stored_bars(spark, d)
     return ops.morning_report(ranked(spark, d), bars, bars.select("symbol"), "Morning ranking")
 
 

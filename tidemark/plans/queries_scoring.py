@@ -30,7 +30,7 @@ _SQL_DIMS = ", ".join(f"{e.replace('.0', '.0::DOUBLE').replace('0.5', '0.5::DOUB
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    bars = ranker_features(sample.bars(spark, d))
+    bars = ranker_features(sample.stored_bars(spark, d))
     return bars.select("symbol", "timestamp", *[F.expr(e.replace(".0", ".0D").replace("0.5", "0.5D").replace("0.6", "0.6D")).alias(n) for n, e in _DIMENSIONS.items()])
 
 
@@ -102,7 +102,7 @@ _DAILY_SQL = """
 
 
 def _market_days(spark: SparkSession, d: str) -> DataFrame:
-    f = ranker_features(sample.bars(spark, d))
+    f = ranker_features(sample.stored_bars(spark, d))
     bounded = lambda c: F.avg(clip_or(c, 0.0, 0.0, 1.0))
     zero = lambda c, v=0.0: F.coalesce(F.col(c), F.lit(v))
     return f.groupBy("timestamp").agg(
@@ -208,7 +208,7 @@ _DECIDE = """CASE WHEN ret <= -0.03 THEN 'EXIT' WHEN cur < 55 AND cur < entry_sc
 , f AS (SELECT symbol, timestamp, score AS cur, close / open - 1 AS ret, 60 + volume % 30 AS entry_score FROM featured)
 SELECT symbol, {day('timestamp')} AS timestamp, {_DECIDE} AS decision FROM f""")
 def hold_exit_cancel(spark: SparkSession, d: str) -> DataFrame:
-    rows = ranker_features(sample.bars(spark, d))
+    rows = ranker_features(sample.stored_bars(spark, d))
     decision = ops.hold_exit_cancel(F.lit(60.0) + F.col("volume") % 30, F.col("score"), F.col("close") / F.col("open") - 1)
     return rows.select("symbol", "timestamp", decision.alias("decision"))
 
@@ -221,7 +221,7 @@ def hold_exit_cancel(spark: SparkSession, d: str) -> DataFrame:
 SELECT symbol || '@' || {day('timestamp')} AS signal_id, feature,
        {r6('CASE WHEN g1 + g2 + g3 <> 0 THEN v / (g1 + g2 + g3) * score ELSE 0 END')} AS contribution FROM p""")
 def attribution(spark: SparkSession, d: str) -> DataFrame:
-    rows = sample.signals(sample.bars(spark, d)).withColumnRenamed("feature_contributions", "feature_scores")
+    rows = sample.signals(sample.stored_bars(spark, d)).withColumnRenamed("feature_contributions", "feature_scores")
     shared = ops.attribution(rows)
     return shared.select("signal_id", F.explode("feature_contributions").alias("feature", "contribution"))
 
@@ -240,4 +240,4 @@ def snapshot_ctes(also: tuple[str, ...] = ()) -> str:
 
 @query("snapshot_score", sql=snapshot_ctes() + f" SELECT symbol, {_SNAP} AS snapshot_score FROM snap")
 def snapshot_score(spark: SparkSession, d: str) -> DataFrame:
-    return feature_snapshot(sample.bars(spark, d)).select("symbol", ops.snapshot_score().alias("snapshot_score"))
+    return feature_snapshot(sample.stored_bars(spark, d)).select("symbol", ops.snapshot_score().alias("snapshot_score"))

@@ -298,25 +298,31 @@ def equity_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summed.select("account", "timestamp", "seq", (F.lit(1_000_000.0) + F.col("_sum")).alias("equity"))
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored bars with the damped return to the next bar; `actual` marks a move of a quarter percent.
+def stored_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars as a written table, for operators that read their input several times (rims and carries of chunks)."""
+    return written(bars(spark, sf_dir))
 
-    A written table: the metrics read it more than once.
-    """
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored bars with the damped return to the next bar; `actual` marks a move of a quarter percent."""
 
     def scored(df: DataFrame, w: WindowSpec) -> DataFrame:
         move = F.lit(0.05) * (F.lead("close").over(w) / F.col("close") - 1)
         return ranker_columns(df, w).withColumn("future_return", move)
 
     rows = over_chunks(
-        bars(spark, sf_dir), ["symbol"], ["timestamp"], F.year("timestamp"), scored,
+        stored_bars(spark, sf_dir), ["symbol"], ["timestamp"], F.year("timestamp"), scored,
         before=20, after=1, needs=["close", "high", "volume"],
     )
-    labelled = rows.filter(F.col("future_return").isNotNull()).select(
+    return rows.filter(F.col("future_return").isNotNull()).select(
         "symbol", "timestamp", (F.col("score") / 100).alias("score"), "future_return",
         (F.col("future_return") >= 0.0025).alias("actual"),
     )
-    return written(labelled)
+
+
+def stored_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions as a written table, for metrics that read them several times."""
+    return written(predictions(spark, sf_dir))
 
 
 def signals(bars_df: DataFrame) -> DataFrame:
