@@ -99,6 +99,35 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+# Smallest id reachable over links, by spreading labels until none changes.
+_REACHED = """
+reach AS (
+  SELECT id, id AS least FROM nodes
+  UNION
+  SELECT l.b, r.least FROM reach r JOIN links l ON l.a = r.id WHERE r.least < l.b),
+roots AS (SELECT id, min(least) AS component_id FROM reach GROUP BY id)
+"""
+_OP7 = f"""
+WITH RECURSIVE nodes AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+sound AS (SELECT id, v FROM nodes WHERE v IS NOT NULL AND len(list_filter(v, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(v, lambda c: c <> 0)) > 0),
+links AS (SELECT x.id AS a, y.id AS b FROM sound x JOIN sound y ON x.id <> y.id AND len(x.v) = len(y.v) AND list_cosine_similarity(x.v, y.v) >= 0.9),
+{_REACHED}
+SELECT n.id AS vec_id, (SELECT count(*) FROM links l WHERE l.a = n.id) AS n_links, component_id, n.id = component_id AS kept
+FROM nodes n JOIN roots r ON r.id = n.id
+"""
+_OP10 = f"""
+WITH RECURSIVE nodes AS (SELECT doc_id AS id FROM documents),
+tokens AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM tokens WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common c JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c.n >= 85 * (x.n + y.n - c.n)),
+{_REACHED}
+SELECT r.id AS doc_id, coalesce(n, 0) AS n_shingles, component_id, r.id = component_id AS kept FROM roots r LEFT JOIN sizes s ON s.doc_id = r.id
+"""
+
 QUERIES: dict[str, Build] = {"op1_substring_dedup": op1_substring_dedup, "op2_sentencepiece": op2_sentencepiece, "op3_quality_classifier": op3_quality_classifier, "op4_sharding": op4_sharding, "op5_line_dedup": op5_line_dedup, "op7_embedding_near_dedup": op7_embedding_near_dedup,
                              "op8_lm_scoring": op8_lm_scoring, "op9_benchmark_decontamination": op9_benchmark_decontamination, "op10_minhash_near_dedup": op10_minhash_near_dedup}
-SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op4_sharding": _OP4}
+SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op4_sharding": _OP4, "op7_embedding_near_dedup": _OP7, "op10_minhash_near_dedup": _OP10}
