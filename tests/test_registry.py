@@ -9,7 +9,7 @@ from oracle import check, connect
 
 from tidemark.plans.catalog import QUERIES, SQL
 
-ROWS_ONLY = {"normalize_title", "logistic_fit_predict", "chrono_train_test", "walk_forward_expanding"}
+ROWS_ONLY = {"logistic_fit_predict", "chrono_train_test", "walk_forward_expanding"}
 
 
 @pytest.fixture(scope="module")

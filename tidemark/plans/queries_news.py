@@ -24,9 +24,14 @@ def dedupe_news(spark: SparkSession, d: str) -> DataFrame:
     return kept.select("news_id", "source", "published_at", F.md5("title").alias("title_md5"))
 
 
-@query("normalize_title", tables=("news",))
+def _wide(news: DataFrame) -> DataFrame:
+    """Titles with some letters in their full-width form, which the compatibility form takes back."""
+    return news.withColumn("title", F.translate("title", "aeinsthr", "ａｅｉｎｓｔｈｒ"))
+
+
+@query("normalize_title", tables=("news",), sql=f"SELECT news_id, {_HEAD} AS normalized_title FROM news")
 def normalize_title(spark: SparkSession, d: str) -> DataFrame:
-    return ops.with_headline(sample.news(spark, d)).select("news_id", "normalized_title")
+    return ops.with_headline(_wide(sample.news(spark, d))).select("news_id", "normalized_title")
 
 
 @query("normalize_title_folded", tables=("news",), sql=f"SELECT news_id, {_HEAD} AS normalized_title FROM news")
@@ -37,7 +42,7 @@ def normalize_title_folded(spark: SparkSession, d: str) -> DataFrame:
 @query("news_fingerprint", tables=("news",), sql=f"""
 SELECT news_id, sha256(strftime(published_at, '%Y-%m-%dT%H:%M:%S') || '|' || source || '|' || {_HEAD}) AS fingerprint FROM news""")
 def news_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    return ops.with_fingerprint(sample.news(spark, d), unicode_form=False).select("news_id", "fingerprint")
+    return ops.with_fingerprint(_wide(sample.news(spark, d))).select("news_id", "fingerprint")
 
 
 @query("dedupe_fingerprint", tables=("news",), sql=f"""
@@ -49,7 +54,7 @@ def dedupe_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     news = sample.news(spark, d).select(
         "news_id", F.col("source").alias("outlet"), F.lit("wire").alias("source"), "title",
         F.col("published_at").cast("date").cast("timestamp_ntz").alias("published_at"))
-    kept = ops.dedupe_fingerprint(news, "news_id", unicode_form=False)
+    kept = ops.dedupe_fingerprint(_wide(news), "news_id")
     return kept.select("news_id", F.col("outlet").alias("source"), F.to_date("published_at").alias("published_on"))
 
 
