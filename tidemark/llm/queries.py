@@ -16,6 +16,7 @@ from .pieces import decode_pieces, encode_pieces
 from .quality import quality_scores
 from .sharding import interleave_shards
 from .substring import remove_repeated_passages
+from .token_counts import edited_token_counts, release_edits
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -99,6 +100,12 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of all documents before and after the edits of a release, with the checksum of the edited text."""
+    counted = edited_token_counts(release_edits(_read(spark, sf_dir, "documents")))
+    return counted.select("doc_id", "n_pretokens", "n_tokens", "n_tokens_edited", "n_reencoded", F.sha2("edited", 256).alias("edited_sha256"))
+
+
 # Smallest id reachable over links, by spreading labels until none changes.
 _REACHED = """
 reach AS (
@@ -128,6 +135,7 @@ links AS (SELECT a, b FROM common c JOIN sizes x ON x.doc_id = a JOIN sizes y ON
 SELECT r.id AS doc_id, coalesce(n, 0) AS n_shingles, component_id, r.id = component_id AS kept FROM roots r LEFT JOIN sizes s ON s.doc_id = r.id
 """
 
-QUERIES: dict[str, Build] = {"op1_substring_dedup": op1_substring_dedup, "op2_sentencepiece": op2_sentencepiece, "op3_quality_classifier": op3_quality_classifier, "op4_sharding": op4_sharding, "op5_line_dedup": op5_line_dedup, "op7_embedding_near_dedup": op7_embedding_near_dedup,
+QUERIES: dict[str, Build] = {"op1_substring_dedup": op1_substring_dedup, "op2_sentencepiece": op2_sentencepiece, "op3_quality_classifier": op3_quality_classifier, "op4_sharding": op4_sharding, "op5_line_dedup": op5_line_dedup, "op6_token_counts": op6_token_counts,
+                             "op7_embedding_near_dedup": op7_embedding_near_dedup,
                              "op8_lm_scoring": op8_lm_scoring, "op9_benchmark_decontamination": op9_benchmark_decontamination, "op10_minhash_near_dedup": op10_minhash_near_dedup}
 SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op4_sharding": _OP4, "op7_embedding_near_dedup": _OP7, "op10_minhash_near_dedup": _OP10}
