@@ -26,6 +26,7 @@ from tidemark.llm.pieces import DEFAULT_MODEL, Encoder, PieceModel, decode_piece
 from tidemark.llm.quality import isotonic, quality_kept, quality_scores
 from tidemark.llm.sharding import interleave_shards
 from tidemark.llm.substring import remove_repeated_passages
+from tidemark.llm.token_counts import DEFAULT_RANKS, Counter, TokenTree, edited_token_counts, load_ranks, release_edits
 
 SPACES = re.compile(rb"[^\x20\x09-\x0d]+")
 
@@ -424,3 +425,58 @@ def test_pipeline_stages(spark, sf_dir):
     assert kept["decontamination"] == kept["near_dedup"] - found and kept["encoding"] == kept["decontamination"]
     assert hashlib.sha256(str(sorted(kept["encoding"])).encode()).hexdigest() == hashlib.sha256(
         str(sorted(r.doc_id for r in pipeline.run(spark, sf_dir).collect())).encode()).hexdigest()
+
+
+# 6: token counts under edits
+
+
+@pytest.fixture(scope="module")
+def byte_counter():
+    return Counter(load_ranks(DEFAULT_RANKS))
+
+
+def plain_count(counter, text):
+    return len(counter.encoding.encode_ordinary(text))
+
+
+def test_token_trees_follow_any_edits(byte_counter):
+    draw = np.random.default_rng(6)
+    letters = list("ab'slrevtm  \n\t!?.1é日😀")
+    some = lambda n: "".join(draw.choice(letters, draw.integers(0, n)))
+    for size in [40] * 300 + [5000] * 10:
+        tree = TokenTree(some(size) or "x", byte_counter)
+        for _ in range(6):
+            start = int(draw.integers(0, len(tree.text) + 2))
+            stop, put, before = start + int(draw.integers(0, 9)), some(7), tree.text
+            tree.edit(start, stop, put)
+            start = min(start, len(before))
+            assert tree.text == before[:start] + put + before[max(start, min(stop, len(before))) :]
+            assert tree.total == plain_count(byte_counter, tree.text) and tree.chars[1] == len(tree.text)
+            assert [n for b in tree.blocks for n, _ in b] == [len(p) for p in byte_counter.pieces(tree.text)]
+
+
+def test_token_trees_encode_only_around_the_edit(byte_counter):
+    text = " ".join(f"word{i}" for i in range(20_000))
+    tree = TokenTree(text, byte_counter)
+    tree.edit(60_000, 60_003, "new")
+    assert tree.encoded < 12 and tree.total == plain_count(byte_counter, tree.text)
+    tree.edit(100, 100, " and".join(map(str, range(3000))))  # a block that outgrows its size is dealt anew
+    assert tree.total == plain_count(byte_counter, tree.text) and max(map(len, tree.blocks)) <= TokenTree.BLOCK
+
+
+def test_edited_counts_of_all_rows(spark, sf_dir, awkward, empty, byte_counter):
+    for docs in (documents(spark, sf_dir), awkward):
+        got = edited_token_counts(release_edits(docs)).collect()
+        texts = sorted((str(r.doc_id), r.text or "") for r in docs.select("doc_id", "text").collect())
+        assert sorted((str(r.doc_id), r.n_tokens) for r in got) == sorted((d, plain_count(byte_counter, t)) for d, t in texts)
+        assert all(r.n_tokens_edited == plain_count(byte_counter, r.edited) for r in got)
+    by = {r.doc_id: r.edited for r in edited_token_counts(release_edits(awkward)).collect()}
+    assert by[2] == "s0: The quick brown fox jumps over the lazy dog again and again" and by[4] == "unknown: "
+    odd = spark.createDataFrame([(1, "abc", None), (2, None, [(5, 1, "x"), None, (None, None, None)])], "doc_id long, text string, edits array<struct<start:int,stop:int,put:string>>")
+    assert {r.doc_id: r.edited for r in edited_token_counts(odd).collect()} == {1: "abc", 2: "x"}
+    assert edited_token_counts(release_edits(empty)).count() == 0
+
+
+def test_release_masks_the_first_address(spark):
+    df = spark.createDataFrame([(1, "write to a.b@c.org or d@e.com\nlast x@y.org", "s"), (2, "only\nx@y.org", "s")], "doc_id long, text string, source string")
+    assert {r.doc_id: r.edited for r in edited_token_counts(release_edits(df)).collect()} == {1: "s: write to [email] or d@e.com", 2: "s: only"}
