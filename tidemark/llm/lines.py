@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, counted_ranges, mix, slices, span_hashes, stored, utf8
+from .common import U64, counted_ranges, free_name, mix, slices, span_hashes, stored, utf8
 from .components import components
 from .lexicon import edit_distance, normal_words
 
+#: The bits of a byte, each in a byte of its own.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(U64).ravel()
 _SIEVE = 23  # bits of the index into the fixed-size sieve of documents whose lines are to be fetched
 
 
@@ -26,6 +28,14 @@ def _line_cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, counts
 
 
+def _bit_counts(hashes: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How often each bit is set among the hashes of each line: eight counters to a 64-bit word, 255 hashes at a time."""
+    parts = -(-size // 255)
+    start = np.repeat(first, parts) + 255 * counted_ranges(np.zeros(len(size), np.int64), parts)
+    sums = np.add.reduceat(_SPREAD[hashes.view(np.uint8)], start, axis=0).view(np.uint8)
+    return np.add.reduceat(sums, np.cumsum(parts) - parts, axis=0, dtype=np.int32)
+
+
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for every line with a word: the hash of its normal words, and its 120-bit SimHash in two 60-bit halves."""
     for batch in slices(batches, "text", 1 << 20):
@@ -40,8 +50,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((len(full), 3), U64)
         if len(full):
             out[:, 0] = np.add.reduceat(mix(hashes + place * U64(0x2545F4914F6CDD1D)), at)
-            bits = np.unpackbits(np.stack([mix(hashes), mix(hashes ^ U64(0xA0761D6478BD642F))], axis=1).view(np.uint8), axis=1)
-            ones = 2 * np.add.reduceat(bits, at, axis=0, dtype=np.int32) > size[:, None]
+            ones = 2 * _bit_counts(np.stack([mix(hashes), mix(hashes ^ U64(0xA0761D6478BD642F))], axis=1), at, size) > size[:, None]
             packed = np.packbits(np.concatenate((ones[:, :60], np.zeros((len(full), 4), bool), ones[:, 64:124], np.zeros((len(full), 4), bool)), axis=1), axis=1)
             out[:, 1:] = packed.view(">u8").astype(U64) >> U64(4)
         doc = np.repeat(np.arange(batch.num_rows), counts)[full]
@@ -73,6 +82,9 @@ def similar(a: str, b: str, similarity: float) -> bool:
     budget = int((1 - similarity) * longer + 1e-9)
     if abs(len(a) - len(b)) > budget:
         return False
+    x, y = a.split(" "), b.split(" ")
+    if len(x) == len(y) and sum(max(len(u), len(v)) for u, v in zip(x, y) if u != v) <= budget:
+        return True  # words replaced in their places are edits enough
     short = min(len(a), len(b))
     head = next((k for k in range(short) if a[k] != b[k]), short)
     a, b = a[head:], b[head:]
@@ -222,12 +234,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **h
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how: float) -> DataFrame:
     """The rows of `docs`, with all their columns, and the lines of `repeated_lines` cut from the text; rows that lose their last line go."""
-    removed = repeated_lines(docs, id_col=id_col, text=text, **how).withColumnsRenamed({"row": "_row", "removed": "_removed"})
+    row, removed = free_name(docs, "_row"), free_name(docs, "_removed")
+    numbers = repeated_lines(docs, id_col=id_col, text=text, **how).withColumnsRenamed({"row": row, "removed": removed})
+    columns = list(docs.columns)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
             kept, keep = [], []
-            for body, lines in zip(batch.column(text).to_pylist(), batch.column("_removed").to_pylist()):
+            for body, lines in zip(batch.column(text).to_pylist(), batch.column(removed).to_pylist()):
                 if lines:
                     gone = set(lines)
                     left = [x for k, x in enumerate(body.split("\n")) if k not in gone]
@@ -236,8 +250,8 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str =
                 else:
                     keep.append(True)
                 kept.append(body)
-            names = [n for n in batch.schema.names if n not in ("_row", "_removed")]
-            columns = [pa.array(kept, pa.string()) if n == text else batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep, pa.bool_()))
+            arrays = [pa.array(kept, pa.string()) if n == text else batch.column(n) for n in columns]
+            yield pa.RecordBatch.from_arrays(arrays, columns).filter(pa.array(keep, pa.bool_()))
 
-    return docs.withColumn("_row", _row(id_col, text)).join(removed, "_row", "left").select(*[f"`{c}`" for c in docs.columns], "_removed").mapInArrow(cut, docs.schema)
+    joined = docs.withColumn(row, _row(id_col, text)).join(numbers, row, "left")
+    return joined.select(*[f"`{c}`" for c in columns], removed).mapInArrow(cut, docs.schema)
