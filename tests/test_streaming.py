@@ -51,6 +51,20 @@ def test_decisions(spark, sf_dir, ticks_dir, tmp_path):
     assert {tuple(r) for r in spark.table("decisions").collect()} == {tuple(r) for r in batch.collect()}
 
 
+def test_decisions_of_every_batch_have_the_lookback_and_cancel(spark, sf_dir, ticks_dir, tmp_path):
+    path, ticks = ticks_dir
+    held = sample.positions(spark, sf_dir)
+    held = held.unionByName(held.limit(1).withColumn("symbol", F.lit("NOBAR")))
+    shape = lambda df: df.select("symbol", F.col("ts").alias("timestamp"), F.col("price").alias("close"))
+    stream = shape(spark.readStream.schema(ticks.schema).option("maxFilesPerTrigger", 1).parquet(path))
+    seen = []
+    writer = intraday.decide_batches(held, lambda df, _: seen.append({tuple(r) for r in df.collect()}))
+    run(intraday.latest_bars_stream(stream), "each", "complete", tmp_path, foreachBatch=writer)
+    batch = {tuple(r) for r in intraday.intraday_decisions(shape(ticks), held).collect()}
+    assert len(seen) == 3 and seen[-1] == batch
+    assert ("NOBAR", None, None, "CANCEL") in batch and {r[3] for r in batch} > {"CANCEL"}
+
+
 def test_no_bar_cancels_and_payload_scores(spark):
     bars = spark.createDataFrame(
         [("A", dt.datetime(2024, 1, 1, 10), 100.0, 40.0), ("B", dt.datetime(2024, 1, 1, 10), 100.0, None), ("OLD", dt.datetime(2024, 1, 1, 1), 100.0, 99.0)],

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,8 +49,10 @@ def _decided(joined: DataFrame, has_score: bool) -> DataFrame:
     )
 
 
-def _latest(bars: DataFrame, keys: list[str], has_score: bool) -> DataFrame:
+def _latest(bars: DataFrame, keys: list[str], has_score: bool, newest: bool = False) -> DataFrame:
     aggs = [F.max_by("close", "timestamp").alias("close")]
+    if newest:
+        aggs.append(F.max("timestamp").alias("timestamp"))
     if has_score:
         aggs.append(F.max_by("score", "timestamp").alias("score"))
     return bars.groupBy(*keys).agg(*aggs)
@@ -78,7 +82,28 @@ def intraday_decisions(
 def intraday_decisions_stream(bars: DataFrame, positions: DataFrame, payload_score: bool = False) -> DataFrame:
     """The same decisions on a stream of bars joined to a static position table; run in update mode.
 
-    State is one row per open position. A position without bars has no stream row, and is CANCEL to the reader.
+    State is one row per open position. A position without bars has no stream row, and the lookback is not applied;
+    `decide_batches` gives both.
     """
     keys = ["symbol", "entry_price", "entry_score"]
     return _decided(_latest(bars.join(positions, "symbol"), keys, payload_score), payload_score)
+
+
+def latest_bars_stream(bars: DataFrame, payload_score: bool = False) -> DataFrame:
+    """The newest bar of every symbol of a stream, one row of state each; run in complete mode."""
+    return _latest(bars, ["symbol"], payload_score, newest=True)
+
+
+def decide_batches(
+    positions: DataFrame, sink: Callable[[DataFrame, int], None], lookback_hours: int = 8, payload_score: bool = False
+) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch writer for `latest_bars_stream`: after every batch `sink` gets the decisions of all positions.
+
+    They are those of `intraday_decisions` over all bars so far: positions whose newest bar lies outside the lookback before
+    the newest bar of all, and positions without a bar, are CANCEL.
+    """
+
+    def decide(latest: DataFrame, batch: int) -> None:
+        sink(intraday_decisions(latest, positions, lookback_hours=lookback_hours, payload_score=payload_score), batch)
+
+    return decide
