@@ -76,10 +76,10 @@ TABLES: dict[str, tuple[str, tuple[str, ...]]] = {
                                                    ROWS UNBOUNDED PRECEDING) AS equity
         FROM cash_moves""", ("cash_moves",)),
     "order_requests": ("""
-        SELECT o_orderkey AS order_id, 1.0::DOUBLE AS quantity, o_totalprice AS price,
+        SELECT o_orderkey AS order_id, CASE WHEN o_orderkey % 11 = 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS quantity, o_totalprice AS price,
                500000.0::DOUBLE + 50.0::DOUBLE*c_acctbal AS equity,
                (500000.0::DOUBLE + 50.0::DOUBLE*c_acctbal) * (1.0::DOUBLE + (o_custkey % 5)*0.01::DOUBLE) AS day_start_equity,
-               o_custkey % 7 AS open_positions
+               o_custkey % 7 AS open_positions, o_orderkey % 4 = 0 AS already_held
         FROM orders JOIN customer ON o_custkey = c_custkey""", ()),
     "featured": ("""
         SELECT *, least(100.0, greatest(0.0, 50

@@ -109,6 +109,38 @@ def row_constraints_holdings(spark: SparkSession, d: str) -> DataFrame:
     return checked.select("as_of", "fund_code", F.col("name").alias("symbol"), "violations")
 
 
+@query("row_constraints_signal", sql="""
+SELECT doc_id, array_to_string(list_filter([CASE WHEN NOT (n_chars / 50.0::DOUBLE - 5 BETWEEN 0 AND 100) THEN 'score_range' END,
+                  CASE WHEN NOT ((doc_id % 13 - 1) / 10.0::DOUBLE BETWEEN 0 AND 1) THEN 'confidence_range' END],
+                  lambda x: x IS NOT NULL), ',') AS violations
+FROM documents""")
+def row_constraints_signal(spark: SparkSession, d: str) -> DataFrame:
+    signals = sample.table(spark, d, "documents").select(
+        "doc_id", (F.col("n_chars") / 50.0 - 5).alias("score"), ((F.col("doc_id") % 13 - 1) / 10.0).alias("confidence"))
+    return ops.enforce(signals, ops.row_constraints("signal"), "quarantine").select("doc_id", "violations")
+
+
+@query("row_constraints_fund_holding", tables=("holdings",), sql=f"""
+SELECT {day('as_of')} AS as_of, fund_code, symbol,
+       CASE WHEN NOT (portfolio_weight * 10 BETWEEN 0 AND 1) THEN 'weight_range' ELSE '' END AS violations FROM holdings""")
+def row_constraints_fund_holding(spark: SparkSession, d: str) -> DataFrame:
+    held = sample.holdings(spark, d).withColumn("portfolio_weight", F.col("portfolio_weight") * 10)
+    return ops.enforce(held, ops.row_constraints("fund_holding"), "quarantine").select("as_of", "fund_code", "symbol", "violations")
+
+
+@query("row_constraints_evidence", sql="""
+SELECT o_orderkey AS order_id, array_to_string(list_filter([
+         CASE WHEN NOT (o_orderkey % 12 / 10.0::DOUBLE BETWEEN 0 AND 1) THEN 'confidence_range' END,
+         CASE WHEN o_orderkey % 5 < 2 THEN 'lookahead' END], lambda x: x IS NOT NULL), ',') AS violations
+FROM orders""")
+def row_constraints_evidence(spark: SparkSession, d: str) -> DataFrame:
+    day_of = F.col("o_orderdate").cast("date")
+    evidence = sample.table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("order_id"), (F.col("o_orderkey") % 12 / 10.0).alias("confidence"),
+        day_of.alias("as_of"), F.date_add(day_of, (F.col("o_orderkey") % 5 - 2).cast("int")).alias("observed_at"))
+    return ops.enforce(evidence, ops.row_constraints("evidence"), "quarantine").select("order_id", "violations")
+
+
 @query("validate_watchlist", tables=("trades",), sql=f"""
 , w AS (SELECT symbol, close AS last_price, low AS entry_low, CASE WHEN l_returnflag = 'R' THEN NULL ELSE high END AS entry_high,
                open * 1.05::DOUBLE AS target, low * 0.99::DOUBLE AS stop FROM trades)
@@ -142,7 +174,7 @@ def time_split(spark: SparkSession, d: str) -> DataFrame:
 @query("order_limit_flags", tables=("order_requests",), sql=f"""
 , f AS (SELECT *, CASE WHEN quantity <= 0 OR price <= 0 THEN 'INVALID_ORDER'
                        WHEN quantity * price > 100000 THEN 'ORDER_NOTIONAL_LIMIT'
-                       WHEN open_positions >= 5 THEN 'MAX_OPEN_POSITIONS'
+                       WHEN NOT already_held AND open_positions >= 5 THEN 'MAX_OPEN_POSITIONS'
                        WHEN quantity * price > equity * 0.10::DOUBLE THEN 'POSITION_SIZE_LIMIT'
                        WHEN equity < day_start_equity * 0.97::DOUBLE THEN 'DAILY_LOSS_LIMIT' ELSE 'OK' END AS reason
         FROM order_requests)

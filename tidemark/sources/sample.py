@@ -281,12 +281,12 @@ def order_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .select(
             F.col("o_orderkey").alias("order_id"),
-            F.lit(1.0).alias("quantity"),
+            F.when(F.col("o_orderkey") % 11 == 0, F.lit(-1.0)).otherwise(F.lit(1.0)).alias("quantity"),
             F.col("o_totalprice").alias("price"),
             equity.alias("equity"),
             (equity * (F.lit(1.0) + (F.col("o_custkey") % 5) * F.lit(0.01))).alias("day_start_equity"),
             (F.col("o_custkey") % 7).cast("int").alias("open_positions"),
-            F.lit(False).alias("already_held"),
+            (F.col("o_orderkey") % 4 == 0).alias("already_held"),
         )
     )
 
