@@ -46,7 +46,7 @@ def interleave_shards(docs: DataFrame, shards: int = 8, seed: int = 42, stratum:
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")).alias("_key"))
     rows = stored(rows)
     total = rows.count()
-    buckets = pieces_of(total, bucket_rows)
+    buckets = max(64, pieces_of(total, bucket_rows))
     ties = [F.col("_stratum").asc_nulls_first(), "_key", "text_crc32", "size"]
     # The first 8 hex digits of the key, scaled to the number of buckets: monotone in the key.
     coarse = F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * buckets / F.lit(16**8)).cast("int")
