@@ -37,3 +37,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         seen = row
     roots = edges.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+
+
+def joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of `found` (as `components` gives them) after further links: known ones enter as one link a node."""
+    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links.select("a", "b")))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, counted_ranges, free_name, mix, slices, span_hashes, stored, utf8
-from .components import components
+from .components import components, joined
 from .lexicon import edit_distance, normal_words
 
 #: The bits of a byte, each in a byte of its own.
@@ -136,7 +136,7 @@ def _fetched(pairs: DataFrame, places: DataFrame, texts: DataFrame) -> DataFrame
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = stored(nodes.join(places, "node").groupBy("row").agg(F.collect_list("line").alias("lines"), F.collect_list("node").alias("nodes")))
     at = F.col("row").bitwiseAND(F.lit((1 << _SIEVE) - 1))
-    marks = wanted.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, int(row & 63))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
+    marks = wanted.select(F.shiftright(at, 6).alias("word"), F.expr("shiftleft(1L, int(row & 63))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
     sieve = np.zeros(1 << (_SIEVE - 6), np.int64)
     for word, bits in marks:
         sieve[word] = bits
@@ -185,7 +185,7 @@ def _groups(forms: DataFrame, texts: DataFrame, similarity: float, within: int)
     if rest.isEmpty():
         return found
     more = _confirmed(rest, forms, texts, similarity)
-    return found if more.isEmpty() else components(links.unionByName(more))
+    return found if more.isEmpty() else joined(found, more)
 
 
 def _row(id_col: str, text: str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, lowered, mix, rolled, slices, span_hashes, stored, utf8, words
-from .components import components
+from .components import components, joined
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +193,7 @@ def minhash_groups(docs: DataFrame, percent: int = 85, width: int = 5, bands: in
     found = components(links)
     more = stored(_open_links(met, found, sets, percent))
     if not more.isEmpty():
-        found = components(links.unionByName(more))
+        found = joined(found, more)
     named = classes.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "doc").alias("component_id"))
     out = signed.drop("bands").join(named, ["set_a", "set_b", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
