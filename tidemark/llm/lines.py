@@ -176,10 +176,10 @@ def _groups(forms: DataFrame, texts: DataFrame, similarity: float, within: int)
     links = _confirmed(star, forms, texts, similarity)
     found = components(links)
     placed = met.join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    mixed = placed.groupBy("block").agg(F.min("c").alias("c_min"), F.max("c").alias("c_max"), F.mode("c").alias("main")).where("c_min <> c_max")
+    mixed = placed.groupBy("block").agg(F.min("c").alias("c_min"), F.max("c").alias("c_max"), F.mode("c", True).alias("main")).where("c_min <> c_max")
     open_ = placed.join(mixed.select("block", "main"), "block").select("block", "node", "sim_a", "sim_b", "c", "main")
     rest = open_.where("c <> main").alias("l").join(open_.alias("r"), F.expr(
-        f"l.block = r.block and l.c <> r.c and (r.c = r.main or l.node < r.node) and {_near('l', 'r', within)}"))
+        f"l.block = r.block and l.c <> r.c and (r.c = l.main or l.node < r.node) and {_near('l', 'r', within)}"))
     rest = rest.select(F.greatest("l.node", "r.node").alias("a"), F.least("l.node", "r.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     rest = stored(rest)
     if rest.isEmpty():
