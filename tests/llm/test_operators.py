@@ -237,6 +237,18 @@ def test_lines_find_exact_and_most_near_repeats(spark, sf_dir):
     assert all(got[d].n_removed >= exact[d] for d in got) and sum(r.n_removed for r in got.values()) >= sum(exact.values())
 
 
+def test_lines_with_a_word_changed_are_found(spark):
+    draw = np.random.default_rng(8)
+    rows = []
+    for k, n in enumerate([4, 6, 10, 10, 10, 15, 20, 20, 30, 30, 50, 100] * 4):
+        line = ["".join(draw.choice(list("abcdefghijklmnop"), 6)) for _ in range(n)]
+        at = int(draw.integers(0, n))
+        changed = [*line[:at], "q" + line[at][1:] if n < 10 else "changed"[:6], *line[at + 1 :]]
+        rows += [(2 * k, " ".join(line)), (2 * k + 1, " ".join(changed))]
+    got = {r.doc_id: r.n_removed for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d % 2 for d, _ in rows}
+
+
 # 7: vectors
 
 

@@ -1,8 +1,11 @@
-"""Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one occurrence per connected group."""
+"""Fuzzy line dedup: segments of short and MinHash bands of long normalised lines, edit similarity, one occurrence per connected group."""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +15,10 @@ from pyspark.sql import functions as F
 from .common import U64, counted_ranges, free_name, mix, slices, span_hashes, stored, utf8
 from .components import components, joined
 from .lexicon import edit_distance, normal_words
+from .minhash import min_max
 
-#: The bits of a byte, each in a byte of its own.
-_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(U64).ravel()
+_BANDS, _ROWS = 16, 3  # MinHash bands of long lines
+_FEW = 5  # pairs with at most so many edits to spare meet by their segments, with certainty
 _SIEVE = 23  # bits of the index into the fixed-size sieve of documents whose lines are to be fetched
 
 
@@ -28,37 +32,97 @@ def _line_cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, counts
 
 
-def _bit_counts(hashes: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """How often each bit is set among the hashes of each line: eight counters to a 64-bit word, 255 hashes at a time."""
-    parts = -(-size // 255)
-    start = np.repeat(first, parts) + 255 * counted_ranges(np.zeros(len(size), np.int64), parts)
-    sums = np.add.reduceat(_SPREAD[hashes.view(np.uint8)], start, axis=0).view(np.uint8)
-    return np.add.reduceat(sums, np.cumsum(parts) - parts, axis=0, dtype=np.int32)
-
-
-def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for every line with a word: the hash of its normal words, and its 120-bit SimHash in two 60-bit halves."""
-    for batch in slices(batches, "text", 1 << 20):
-        data, offsets = utf8(batch.column("text"))
-        starts, ends, counts = _line_cuts(data, offsets)
-        word_a, word_b, _ = normal_words(data, np.unique(np.concatenate((starts, ends)))) if len(data) else (starts[:0], starts[:0], None)
-        hashes = span_hashes(data, word_a, word_b)
-        first, last = np.searchsorted(word_a, starts), np.searchsorted(word_a, ends)
-        full = np.flatnonzero(last > first)
-        at, size = first[full], (last - first)[full]
-        place = counted_ranges(np.zeros(len(full), np.int64), size).astype(U64)
-        out = np.zeros((len(full), 3), U64)
-        if len(full):
-            out[:, 0] = np.add.reduceat(mix(hashes + place * U64(0x2545F4914F6CDD1D)), at)
-            ones = 2 * _bit_counts(np.stack([mix(hashes), mix(hashes ^ U64(0xA0761D6478BD642F))], axis=1), at, size) > size[:, None]
-            packed = np.packbits(np.concatenate((ones[:, :60], np.zeros((len(full), 4), bool), ones[:, 64:124], np.zeros((len(full), 4), bool)), axis=1), axis=1)
-            out[:, 1:] = packed.view(">u8").astype(U64) >> U64(4)
-        doc = np.repeat(np.arange(batch.num_rows), counts)[full]
-        number = counted_ranges(np.zeros(len(counts), np.int64), counts)[full]
-        signed = out.view(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(pa.array(doc)), batch.column("row").take(pa.array(doc)), pa.array(number), *[pa.array(signed[:, k]) for k in range(3)]],
-            ["doc_id", "row", "line", "form", "sim_a", "sim_b"])
+def budget(length: int, similarity: float) -> int:
+    """The most edits that a line of so many letters and a shorter one may differ by."""
+    return int((1 - similarity) * length + 1e-9)
+
+
+def _segments(length: int, edits: int) -> list[tuple[int, int]]:
+    """Start and length of edits + 1 segments of even length."""
+    cuts = [length * k // (edits + 1) for k in range(edits + 2)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
+@lru_cache(4096)
+def _spans(length: int, similarity: float) -> list[tuple[bytes, int, int]]:
+    """(tag, start, end) of the parts by which a line of so many letters meets those within `_FEW` edits.
+
+    As the shorter of a pair it shows its edits + 1 segments, of which one is whole in the longer; as the longer it shows, for
+    every shorter length, the places at which a segment can then stand (Pass-Join, with multi-match-aware places).
+    """
+    spans = {}
+    longer = length
+    while longer - budget(longer, similarity) <= length and budget(longer, similarity) <= _FEW:
+        k = budget(longer, similarity)
+        for i, (at, size) in enumerate(_segments(length, k) if 0 < k < length else []):
+            spans[b"%d,%d,%d," % (length, k, i), at, at + size] = None
+        longer += 1
+    k = budget(length, similarity)
+    for shorter in range(max(k + 1, length - k), length + 1) if 0 < k <= _FEW else []:
+        more = length - shorter
+        for i, (at, size) in enumerate(_segments(shorter, k)):
+            for start in range(max(0, at - i, at + more - (k - i)), min(length - size, at + i, at + more + (k - i)) + 1):
+                spans[b"%d,%d,%d," % (shorter, k, i), start, start + size] = None
+    return list(spans)
+
+
+@lru_cache(16384)
+def _segment_keys(normal: str, similarity: float) -> list[int]:
+    return sorted({int.from_bytes(blake2b(tag + normal[a:b].encode(), digest_size=8).digest(), "little") for tag, a, b in _spans(len(normal), similarity)})
+
+
+def _band_keys(hashes: np.ndarray, length: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """`_BANDS` keys of each line by the minimum and maximum, under each permutation, of its set of words; words of less than five bytes count together with the next."""
+    after = np.append(hashes[1:], U64(0))
+    after[at[1:] - 1] = 0
+    values = np.where(length < 5, mix(hashes * U64(0x2545F4914F6CDD1D) + after), hashes)
+    signature = min_max(values, at, _BANDS * _ROWS // 2, 11)
+    keys = np.zeros((len(at), _BANDS), U64)
+    for band in range(_BANDS):
+        key = np.full(len(at), U64(band + 1))
+        for value in signature[band * _ROWS : (band + 1) * _ROWS]:
+            key = mix(key ^ value) + U64(band)
+        keys[:, band] = key
+    return keys
+
+
+def _described(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A row for every line with a word: two hashes of its normal words, its letters, and the keys of the buckets in which it meets others."""
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 20):
+            data, offsets = utf8(batch.column("text"))
+            starts, ends, counts = _line_cuts(data, offsets)
+            word_a, word_b, _ = normal_words(data, np.unique(np.concatenate((starts, ends)))) if len(data) else (starts[:0], starts[:0], None)
+            hashes = span_hashes(data, word_a, word_b)
+            first, last = np.searchsorted(word_a, starts), np.searchsorted(word_a, ends)
+            full = np.flatnonzero(last > first)
+            at, size = first[full], (last - first)[full]
+            place = counted_ranges(np.zeros(len(full), np.int64), size).astype(U64)
+            out, letters, lists = np.zeros((len(full), 2), U64), np.zeros(len(full), np.int64), []
+            if len(full):
+                out[:, 0] = np.add.reduceat(mix(hashes + place * U64(0x2545F4914F6CDD1D)), at)
+                out[:, 1] = np.add.reduceat(mix((hashes ^ U64(0xA0761D6478BD642F)) + place * U64(0x9FB21C651E98DF25)), at)
+                heads = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))  # letters before every byte
+                letters = np.add.reduceat(heads[word_b] - heads[word_a], at) + size - 1
+                bands = _band_keys(hashes, word_b - word_a, at)
+                raw = data.tobytes()
+                for k, n in enumerate(letters.tolist()):
+                    keys = bands[k] if budget(int(n / similarity) + 1, similarity) > _FEW else bands[k, :0]
+                    if budget(n, similarity) <= _FEW:
+                        spans = range(at[k], at[k] + size[k])
+                        short = _segment_keys(b" ".join(raw[word_a[w] : word_b[w]] for w in spans).decode("utf-8", "replace"), similarity)
+                        keys = np.concatenate((keys, np.array(short, U64)))
+                    lists.append(keys)
+            doc = np.repeat(np.arange(batch.num_rows), counts)[full]
+            number = counted_ranges(np.zeros(len(counts), np.int64), counts)[full]
+            signed = out.view(np.int64)
+            keys = pa.ListArray.from_arrays(np.cumsum([0, *map(len, lists)]).astype(np.int32), (np.concatenate([np.zeros(0, U64), *lists]) >> U64(24)).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(doc)), batch.column("row").take(pa.array(doc)), pa.array(number), pa.array(signed[:, 0]), pa.array(signed[:, 1]),
+                 pa.array(letters), keys], ["doc_id", "row", "line", "form", "check", "letters", "keys"])
+
+    return described
 
 
 def _normal_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,12 +143,16 @@ def _normal_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def similar(a: str, b: str, similarity: float) -> bool:
     """Is 1 - edits / longer length at least `similarity`? Common ends are left out of the bit-parallel count."""
     longer = max(len(a), len(b))
-    budget = int((1 - similarity) * longer + 1e-9)
-    if abs(len(a) - len(b)) > budget:
+    most = budget(longer, similarity)
+    if abs(len(a) - len(b)) > most:
         return False
     x, y = a.split(" "), b.split(" ")
-    if len(x) == len(y) and sum(max(len(u), len(v)) for u, v in zip(x, y) if u != v) <= budget:
+    if len(x) == len(y) and sum(max(len(u), len(v)) for u, v in zip(x, y) if u != v) <= most:
         return True  # words replaced in their places are edits enough
+    if longer > 40:  # an edit takes three trigrams at most and brings as many
+        mine, other = Counter(map(hash, zip(a, a[1:], a[2:]))), Counter(map(hash, zip(b, b[1:], b[2:])))
+        if len(a) + len(b) - 4 - 2 * sum(min(n, other[t]) for t, n in mine.items() if t in other) > 6 * most:
+            return False
     short = min(len(a), len(b))
     head = next((k for k in range(short) if a[k] != b[k]), short)
     a, b = a[head:], b[head:]
@@ -93,7 +161,7 @@ def similar(a: str, b: str, similarity: float) -> bool:
     a, b = a[: len(a) - tail], b[: len(b) - tail]
     if len(a) > len(b):
         a, b = b, a
-    return edit_distance(list(a), list(b))[0] <= budget
+    return edit_distance(list(a), list(b))[0] <= most
 
 
 def _verify(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -151,40 +219,36 @@ def _confirmed(pairs: DataFrame, places: DataFrame, texts: DataFrame, similarity
     return stored(both.mapInArrow(_verify(similarity), "a long, b long, linked boolean").where("linked").drop("linked"))
 
 
-def _near(left: str, right: str, within: int) -> str:
-    return f"bit_count({left}.sim_a ^ {right}.sim_a) + bit_count({left}.sim_b ^ {right}.sim_b) <= {within}"
+def _near(left: str, right: str, similarity: float) -> str:
+    """Do the lengths allow it? Edits are as many as letters more, at least."""
+    return f"abs({left}.letters - {right}.letters) <= {1 - similarity!r}D * greatest({left}.letters, {right}.letters) + 1e-6D"
 
 
-def _groups(forms: DataFrame, texts: DataFrame, similarity: float, within: int) -> DataFrame:
+def _groups(lines: DataFrame, places: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """(node, component) of all distinct normal lines that are linked with others.
 
-    Lines meet that agree in one of four 30-bit blocks of their SimHash. First each line is compared with the smallest line
-    that agrees in two neighbouring blocks; so groups of many alike lines become one component by as many comparisons.
-    Then in every bucket the lines outside its commonest component are compared with those of other components.
+    First each line is compared with the smallest line of each of its buckets; so groups of many alike lines become one
+    component by as many comparisons. Then in every bucket the lines outside its commonest component are compared with
+    those of other components.
     """
-    low = F.lit((1 << 30) - 1)
-    parts = [F.shiftright("sim_a", 30), F.col("sim_a").bitwiseAND(low), F.shiftright("sim_b", 30), F.col("sim_b").bitwiseAND(low)]
-    marks = forms.select("node", F.explode(F.array(*[p + F.lit(k << 30) for k, p in enumerate(parts)])).alias("block"))
-    hot = marks.groupBy("block").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    met = stored(marks.join(hot, "block").join(forms.select("node", "sim_a", "sim_b"), "node"))
-    k = F.shiftright("block", 30)
-    following = F.when(k == 0, parts[1]).when(k == 1, parts[2]).when(k == 2, parts[3]).otherwise(parts[0])
-    twin = met.withColumn("next", following)
-    least = twin.groupBy("block", "next").agg(F.min(F.struct("node", "sim_a", "sim_b")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    star = twin.alias("t").join(least, ["block", "next"]).where(f"t.node <> least.node and {_near('t', 'least', within)}")
+    marks = lines.select(F.col("letters").cast("int").alias("letters"), F.col("form").alias("node"), F.explode("keys").alias("block"))
+    hot = marks.groupBy("block").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("block")
+    met = stored(marks.join(hot, "block").distinct())
+    least = met.groupBy("block").agg(F.min(F.struct("node", "letters")).alias("least"))
+    star = met.alias("t").join(least, "block").where(f"t.node <> least.node and {_near('t', 'least', similarity)}")
     star = stored(star.select(F.col("t.node").alias("a"), F.col("least.node").alias("b")).distinct())
-    links = _confirmed(star, forms, texts, similarity)
+    links = _confirmed(star, places, texts, similarity)
     found = components(links)
     placed = met.join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
     mixed = placed.groupBy("block").agg(F.min("c").alias("c_min"), F.max("c").alias("c_max"), F.mode("c", True).alias("main")).where("c_min <> c_max")
-    open_ = placed.join(mixed.select("block", "main"), "block").select("block", "node", "sim_a", "sim_b", "c", "main")
+    open_ = placed.join(mixed.select("block", "main"), "block").select("block", "node", "letters", "c", "main")
     rest = open_.where("c <> main").alias("l").join(open_.alias("r"), F.expr(
-        f"l.block = r.block and l.c <> r.c and (r.c = l.main or l.node < r.node) and {_near('l', 'r', within)}"))
+        f"l.block = r.block and l.c <> r.c and (r.c = l.main or l.node < r.node) and {_near('l', 'r', similarity)}"))
     rest = rest.select(F.greatest("l.node", "r.node").alias("a"), F.least("l.node", "r.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     rest = stored(rest)
     if rest.isEmpty():
         return found
-    more = _confirmed(rest, forms, texts, similarity)
+    more = _confirmed(rest, places, texts, similarity)
     return found if more.isEmpty() else joined(found, more)
 
 
@@ -196,27 +260,29 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.9, within: int = 12, i
     """(row, removed): the numbers of the lines of each text that stand, alike, at an earlier place.
 
     Lines end at line feeds. Their normal form is the words (letters, digits, bytes above ASCII) in lower case; lines without
-    a word are never removed. Lines of equal form, and of forms whose SimHash agrees in a block and differs in `within` of
-    120 bits at most and whose edit similarity (1 - edits / longer length, over the joined words) is `similarity` or more,
-    are linked; of every connected group the first line by (doc_id, line number) stays. Distances up to 3 bits always agree
-    in one of the four blocks; larger ones do so with falling probability.
+    a word are never removed. Lines of equal form, and forms that meet and whose edit similarity (1 - edits / longer length,
+    over the joined words) is `similarity` or more, are linked; of every connected group the first line by
+    (doc_id, line number) stays. Pairs whose similarity leaves up to five edits (59 letters at 0.9) always meet. Longer ones
+    meet by 16 bands of 3 minima and maxima of their words: surely but for a few in ten thousand where nine of ten words
+    are the same, less surely the more words the edits are spread over. Nothing else drops a pair before its edits are
+    counted: `within` is kept for callers and is not read.
 
     `row` is the hash of id and text by which rows are told apart; rows that repeat both keep and lose the same lines.
     Null and empty texts have no line to remove; null ids come first in the order; an empty table gives no rows;
     other columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), _row(id_col, text).alias("row"), F.col(text).alias("text"))
-    schema = "doc_id long, row long, line long, form long, sim_a long, sim_b long"
-    lines = stored(texts.select("doc_id", "row", F.lower("text").alias("text")).mapInArrow(_described, schema))
+    schema = "doc_id long, row long, line long, form long, check long, letters long, keys array<long>"
+    lines = stored(texts.select("doc_id", "row", F.lower("text").alias("text")).mapInArrow(_described(similarity), schema))
     first = F.min(F.struct("doc_id", "line", "row"))
-    forms = lines.groupBy("form", "sim_a", "sim_b").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
-    forms = stored(forms.select(F.monotonically_increasing_id().alias("node"), "form", "sim_a", "sim_b", "first", "n", F.col("first.row").alias("row"), F.col("first.line").alias("line")))
-    found = _groups(forms, texts, similarity, within)
-    named = forms.select("node", "form", "sim_a", "first", "n").join(found, "node", "left")
+    forms = lines.groupBy("form", "check").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
+    forms = stored(forms.select(F.col("form").alias("node"), "form", "check", "first", "n", F.col("first.row").alias("row"), F.col("first.line").alias("line")))
+    found = _groups(lines, forms, texts, similarity)
+    named = forms.join(found, "node", "left")
     several = named.where("component is not null").groupBy("component").agg(F.min("first").alias("keep"))
-    grouped = named.join(several, "component").select("form", "sim_a", "keep")
-    repeated = grouped.unionByName(named.where("component is null and n > 1").select("form", "sim_a", F.col("first").alias("keep")))
-    gone = lines.select("doc_id", "row", "line", "form", "sim_a").join(repeated, ["form", "sim_a"])
+    grouped = named.join(several, "component").select("form", "check", "keep")
+    repeated = grouped.unionByName(named.where("component is null and n > 1").select("form", "check", F.col("first").alias("keep")))
+    gone = lines.select("doc_id", "row", "line", "form", "check").join(repeated, ["form", "check"])
     gone = gone.where("not (row <=> keep.row and line <=> keep.line)")
     return gone.groupBy("row").agg(F.collect_set("line").alias("removed"))
 
