@@ -249,6 +249,13 @@ def test_lines_with_a_word_changed_are_found(spark):
     assert got == {d: d % 2 for d, _ in rows}
 
 
+def test_lines_that_differ_in_case_and_a_word_are_found(spark):
+    line = [f"word{k}" for k in range(20)]
+    rows = [(1, " ".join(line).upper()), (2, " ".join([*line[:9], "other", *line[10:]])), (3, "ÉTÉ " + " ".join(reversed(line)).title()), (4, "été " + " ".join([*line[:9:-1], "chose", *line[8::-1]]))]
+    got = {r.doc_id: r.n_removed for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 1}
+
+
 # 7: vectors
 
 

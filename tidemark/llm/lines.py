@@ -277,7 +277,7 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.9, within: int = 12, i
     first = F.min(F.struct("doc_id", "line", "row"))
     forms = lines.groupBy("form", "check").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
     forms = stored(forms.select(F.col("form").alias("node"), "form", "check", "first", "n", F.col("first.row").alias("row"), F.col("first.line").alias("line")))
-    found = _groups(lines, forms, texts, similarity)
+    found = _groups(lines, forms, texts.select("row", F.lower("text").alias("text")), similarity)
     named = forms.join(found, "node", "left")
     several = named.where("component is not null").groupBy("component").agg(F.min("first").alias("keep"))
     grouped = named.join(several, "component").select("form", "check", "keep")
