@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import LONG, ROWS, passage
 from oracle import check, connect
@@ -20,7 +21,7 @@ from tidemark.llm.eliasfano import EliasFano, Trie
 from tidemark.llm.embeddings import near_duplicate_vectors
 from tidemark.llm.language import _expand, _squeeze, language_scores
 from tidemark.llm.lexicon import edit_distance
-from tidemark.llm.lines import dedup_lines, similar, without_repeated_lines
+from tidemark.llm.lines import dedup_lines, repeated_lines, similar, without_repeated_lines
 from tidemark.llm.minhash import minhash_groups
 from tidemark.llm.pieces import DEFAULT_MODEL, Encoder, PieceModel, decode_pieces, encode_pieces
 from tidemark.llm.quality import isotonic, quality_kept, quality_scores
@@ -256,6 +257,60 @@ def test_lines_that_differ_in_case_and_a_word_are_found(spark):
     assert got == {1: 0, 2: 1, 3: 0, 4: 1}
 
 
+def lines_of(rows):
+    """(doc_id, line number, normal form) in order, lines without a word left out."""
+    found = [(d, k, " ".join(re.findall(r"[0-9a-z\u0080-\U0010ffff]+", line.lower()))) for d, text in sorted(rows) for k, line in enumerate(text.split("\n"))]
+    return [x for x in found if x[2]]
+
+
+def alike(forms):
+    """All pairs of forms within a tenth of the longer's letters; letter counts that differ by more than two an edit need no distance."""
+    forms = sorted(forms, key=len)
+    size = np.array([len(f) for f in forms])
+    letters = np.stack([np.bincount(np.frombuffer(f.encode("utf-32-le"), np.uint32) % 64, minlength=64) for f in forms])
+    pairs = []
+    for a in range(len(forms)):
+        last = np.searchsorted(size, size[a] / 0.9 + 1, "right")
+        for b in np.flatnonzero(np.abs(letters[a + 1 : last] - letters[a]).sum(axis=1) <= 0.2 * size[a + 1 : last] + 1e-6) + a + 1:
+            x, y = forms[a], forms[b]
+            if edit_distance(list(x), list(y))[0] <= 0.1 * len(y) + 1e-9:
+                pairs.append((x, y))
+    return pairs
+
+
+def test_lines_and_their_stage_agree_with_all_pairs(spark, sf_dir):
+    import corpus_pipeline as pipeline
+
+    draw = np.random.default_rng(9)
+    docs = documents(spark, sf_dir).orderBy("doc_id").limit(60)
+    rows = [(r.doc_id, "\n".join(r.text.split("\n")[:12])) for r in docs.collect()]
+    for d, _, form in lines_of(rows)[::3]:
+        words = form.split()
+        words[int(draw.integers(0, len(words)))] = "zx"
+        rows.append((d + 1_000_000, " ".join(words).upper() + "\nown"))
+    df = spark.createDataFrame([(d, t, len(t)) for d, t in rows], "doc_id long, text string, n_chars long").groupBy("doc_id").agg(F.concat_ws("\n", F.sort_array(F.collect_list("text"))).alias("text")).withColumn("n_chars", F.char_length("text"))
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    every = lines_of(rows)
+    pairs = alike({f for *_, f in every})
+    first = {}
+    for d, k, f in every:
+        first.setdefault(f, (d, k))
+    group = roots([(first[x], first[y]) for x, y in pairs], set(first.values()))
+    expected = {(d, k) for d, k, f in every if group[first[f]] != (d, k)}
+    near = {(d, k) for d, k in expected if (d, k) in group}
+    assert len(near) > 100
+    got = {(r.row, k) for r in repeated_lines(df).collect() for k in r.removed}
+    row = {r.doc_id: r.row for r in df.select("doc_id", F.xxhash64("doc_id", "text").alias("row")).collect()}
+    assert got <= {(row[d], k) for d, k in expected} and len(got & {(row[d], k) for d, k in near}) >= 0.99 * len(near)
+    assert {(row[d], k) for d, k in expected - near} <= got | {(row[d], k) for d, k in near}
+    gone = {r.doc_id: r.n_removed for r in dedup_lines(df).collect()}
+    left = {r.doc_id: r.text for r in pipeline.line_dedup(spark, df, sf_dir).collect()}
+    for d, text in rows:
+        lost = {k for r, k in got if r == row[d]}
+        kept = [x for k, x in enumerate(text.split("\n")) if k not in lost]
+        assert gone[d] == len(lost) and left.get(d, "") == ("\n".join(kept) if any(x.strip() for x in kept) else "")
+
+
 # 7: vectors
 
 
