@@ -16,6 +16,7 @@ from .pieces import decode_pieces, encode_pieces
 from .quality import quality_scores
 from .sharding import interleave_shards
 from .substring import remove_repeated_passages
+from .suffixes import remove_repeated_bytes
 from .token_counts import edited_token_counts, release_edits
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -106,7 +107,30 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_pretokens", "n_tokens", "n_tokens_edited", "n_reencoded", F.sha2("edited", 256).alias("edited_sha256"))
 
 
-# Smallest id reachable over links, by spreading labels until none changes.
+def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeated_bytes(_read(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# Bytes as hexadecimal text: two letters a byte, so substrings are cut by letters.
+_OP12 = """
+WITH bytes AS (SELECT doc_id, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (SELECT doc_id, h, unnest(range(0, n - 99)) AS at FROM bytes WHERE n >= 100),
+marked AS (
+  SELECT doc_id, at, row_number() OVER (PARTITION BY substr(h, 2 * at + 1, 200) ORDER BY doc_id, at) > 1 AS gone FROM windows),
+islands AS (SELECT doc_id, at, at > 100 + lag(at, 1, -1000) OVER (PARTITION BY doc_id ORDER BY at) AS opens FROM marked WHERE gone),
+numbered AS (SELECT doc_id, at, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY at) AS span FROM islands),
+spans AS (SELECT doc_id, min(at) AS a, max(at) + 100 AS b FROM numbered GROUP BY doc_id, span),
+gaps AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS z FROM spans),
+cut AS (
+  SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
+  FROM gaps JOIN bytes USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM bytes LEFT JOIN cut USING (doc_id)
+"""
+
+
+# Smallest id reachable, by spreading labels until none changes.
 _REACHED = """
 reach AS (
   SELECT id, id AS least FROM nodes
@@ -137,5 +161,6 @@ SELECT r.id AS doc_id, coalesce(n, 0) AS n_shingles, component_id, r.id = compon
 
 QUERIES: dict[str, Build] = {"op1_substring_dedup": op1_substring_dedup, "op2_sentencepiece": op2_sentencepiece, "op3_quality_classifier": op3_quality_classifier, "op4_sharding": op4_sharding, "op5_line_dedup": op5_line_dedup, "op6_token_counts": op6_token_counts,
                              "op7_embedding_near_dedup": op7_embedding_near_dedup,
-                             "op8_lm_scoring": op8_lm_scoring, "op9_benchmark_decontamination": op9_benchmark_decontamination, "op10_minhash_near_dedup": op10_minhash_near_dedup}
-SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op4_sharding": _OP4, "op7_embedding_near_dedup": _OP7, "op10_minhash_near_dedup": _OP10}
+                             "op8_lm_scoring": op8_lm_scoring, "op9_benchmark_decontamination": op9_benchmark_decontamination, "op10_minhash_near_dedup": op10_minhash_near_dedup,
+                             "op12_suffix_array_dedup": op12_suffix_array_dedup}
+SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op4_sharding": _OP4, "op7_embedding_near_dedup": _OP7, "op10_minhash_near_dedup": _OP10, "op12_suffix_array_dedup": _OP12}
