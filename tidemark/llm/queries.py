@@ -115,12 +115,13 @@ def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Bytes as hexadecimal text: two letters a byte, so substrings are cut by letters.
 _OP12 = """
 WITH bytes AS (SELECT doc_id, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
-windows AS (SELECT doc_id, h, unnest(range(0, n - 99)) AS at FROM bytes WHERE n >= 100),
-marked AS (
-  SELECT doc_id, at, row_number() OVER (PARTITION BY substr(h, 2 * at + 1, 200) ORDER BY doc_id, at) > 1 AS gone FROM windows),
-islands AS (SELECT doc_id, at, at > 100 + lag(at, 1, -1000) OVER (PARTITION BY doc_id ORDER BY at) AS opens FROM marked WHERE gone),
-numbered AS (SELECT doc_id, at, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY at) AS span FROM islands),
-spans AS (SELECT doc_id, min(at) AS a, max(at) + 100 AS b FROM numbered GROUP BY doc_id, span),
+windows AS (SELECT doc_id, h, unnest(range(0, n - 99)) AS place FROM bytes WHERE n >= 100),
+gone AS (
+  SELECT unnest(list_sort(list((doc_id, place)))[2:]) AS w FROM windows GROUP BY substr(h, 2 * place + 1, 200) HAVING count(*) > 1),
+marked AS (SELECT w[1] AS doc_id, w[2] AS place FROM gone),
+islands AS (SELECT doc_id, place, place > 100 + lag(place, 1, -1000) OVER (PARTITION BY doc_id ORDER BY place) AS opens FROM marked),
+numbered AS (SELECT doc_id, place, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY place) AS span FROM islands),
+spans AS (SELECT doc_id, min(place) AS a, max(place) + 100 AS b FROM numbered GROUP BY doc_id, span),
 gaps AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS z FROM spans),
 cut AS (
   SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
