@@ -12,6 +12,7 @@ from .embeddings import near_duplicate_vectors
 from .language import language_scores
 from .lines import dedup_lines
 from .minhash import minhash_groups
+from .periods import looped_text, periodic_runs
 from .pieces import decode_pieces, encode_pieces
 from .quality import quality_scores
 from .sharding import interleave_shards
@@ -107,6 +108,18 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_pretokens", "n_tokens", "n_tokens_edited", "n_reencoded", F.sha2("edited", 256).alias("edited_sha256"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all documents, one in ten of which ends in a loop: their number, the longest, and checksums of all and of what is left."""
+    docs = _read(spark, sf_dir, "documents")
+    found = periodic_runs(docs.select("doc_id", looped_text(F.col("doc_id"), F.col("text")).alias("text")))
+    line = lambda r: F.concat(*[x for name in ("start", "length", "period") for x in (r[name].cast("string"), F.lit("\n" if name == "period" else ","))])
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    return found.withColumn("_longest", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("_longest.s")).alias("start"), F.col("_longest.length").alias("length"),
+        (-F.col("_longest.p")).alias("period"), F.floor(1000 * F.col("_longest.length") / -F.col("_longest.p")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeated_bytes(_read(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -163,5 +176,5 @@ SELECT r.id AS doc_id, coalesce(n, 0) AS n_shingles, component_id, r.id = compon
 QUERIES: dict[str, Build] = {"op1_substring_dedup": op1_substring_dedup, "op2_sentencepiece": op2_sentencepiece, "op3_quality_classifier": op3_quality_classifier, "op4_sharding": op4_sharding, "op5_line_dedup": op5_line_dedup, "op6_token_counts": op6_token_counts,
                              "op7_embedding_near_dedup": op7_embedding_near_dedup,
                              "op8_lm_scoring": op8_lm_scoring, "op9_benchmark_decontamination": op9_benchmark_decontamination, "op10_minhash_near_dedup": op10_minhash_near_dedup,
-                             "op12_suffix_array_dedup": op12_suffix_array_dedup}
+                             "op11_periodic_runs": op11_periodic_runs, "op12_suffix_array_dedup": op12_suffix_array_dedup}
 SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op4_sharding": _OP4, "op7_embedding_near_dedup": _OP7, "op10_minhash_near_dedup": _OP10, "op12_suffix_array_dedup": _OP12}
