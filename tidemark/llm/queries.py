@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import benchmark_matches
+from .divergence import source_divergence
 from .embeddings import near_duplicate_vectors
 from .language import language_scores
 from .lines import dedup_lines
@@ -144,6 +145,31 @@ FROM bytes LEFT JOIN cut USING (doc_id)
 """
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_read(spark, sf_dir, "documents"))
+
+
+_OP13 = """
+WITH texts AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+words AS (SELECT doc_id, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM texts),
+kept AS (SELECT lang, term, count(*) AS lang_n FROM words GROUP BY lang, term HAVING count(DISTINCT doc_id) >= 30),
+known AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+sources AS (SELECT DISTINCT lang, source FROM texts),
+totals AS (SELECT lang, source, coalesce(sum(n), 0) AS total, sum(coalesce(sum(n), 0)) OVER (PARTITION BY lang) AS lang_total FROM sources LEFT JOIN counts USING (lang, source) GROUP BY lang, source),
+shares AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 5)) // (total + 5 * v) AS p, 1 + (1000000000::HUGEINT * (lang_n + 5)) // (lang_total + 5 * v) AS q
+  FROM totals JOIN known USING (lang) JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)),
+sums AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+rows AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+FROM rows QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 50
+"""
+
+
 # Smallest id reachable, by spreading labels until none changes.
 _REACHED = """
 reach AS (
@@ -176,5 +202,6 @@ SELECT r.id AS doc_id, coalesce(n, 0) AS n_shingles, component_id, r.id = compon
 QUERIES: dict[str, Build] = {"op1_substring_dedup": op1_substring_dedup, "op2_sentencepiece": op2_sentencepiece, "op3_quality_classifier": op3_quality_classifier, "op4_sharding": op4_sharding, "op5_line_dedup": op5_line_dedup, "op6_token_counts": op6_token_counts,
                              "op7_embedding_near_dedup": op7_embedding_near_dedup,
                              "op8_lm_scoring": op8_lm_scoring, "op9_benchmark_decontamination": op9_benchmark_decontamination, "op10_minhash_near_dedup": op10_minhash_near_dedup,
-                             "op11_periodic_runs": op11_periodic_runs, "op12_suffix_array_dedup": op12_suffix_array_dedup}
-SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op4_sharding": _OP4, "op7_embedding_near_dedup": _OP7, "op10_minhash_near_dedup": _OP10, "op12_suffix_array_dedup": _OP12}
+                             "op11_periodic_runs": op11_periodic_runs, "op12_suffix_array_dedup": op12_suffix_array_dedup,
+                             "op13_source_divergence": op13_source_divergence}
+SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op4_sharding": _OP4, "op7_embedding_near_dedup": _OP7, "op10_minhash_near_dedup": _OP10, "op12_suffix_array_dedup": _OP12, "op13_source_divergence": _OP13}
