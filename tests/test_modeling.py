@@ -58,18 +58,76 @@ def test_expanding_segments(labelled):
     assert (got.segment == np.searchsorted(edges, got.pos, side="right") - 1).all()
 
 
-def test_walk_forward_expanding(labelled, monkeypatch):
-    monkeypatch.setattr(ops, "logistic_fit", _with_features(ops.logistic_fit))
-    got = ops.walk_forward_expanding(labelled, 2).toPandas().sort_values("fold")
-    assert list(got.fold) == [1, 2] and got.test_precision.between(0.5, 1).all()
-    with pytest.raises(ValueError):
-        ops.walk_forward_expanding(labelled.limit(10), 2)
-    one_class = labelled.withColumn("target", F.lit(1.0))
-    assert ops.walk_forward_expanding(one_class, 2).count() == 0
+def descended(x, y, epochs=400, rate=0.05, l2=0.01):
+    """Plain gradient descent on standardized rows, stopped after `epochs` steps: (means, deviations, weights)."""
+    mean, std = x.mean(0), np.where(x.std(0) == 0, 1.0, x.std(0))
+    z, w = np.c_[np.ones(len(x)), (x - mean) / std], np.zeros(x.shape[1] + 1)
+    for _ in range(epochs):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        w = w - rate * (z.T @ (p - y) / len(y) + l2 * np.r_[0.0, w[1:]])
+    return mean, std, w
 
 
-def _with_features(fit):
-    return lambda train: fit(train, FEATURES)
+def test_descent_stops_where_plain_steps_do(labelled):
+    pdf = labelled.toPandas()
+    mean, std, w = descended(pdf[list(FEATURES)].to_numpy(), pdf.target.to_numpy())
+    model = ops.descent_fit(labelled.repartition(3), FEATURES)
+    assert np.allclose([model.intercept, *model.coefficients], w, atol=1e-12) and np.allclose(model.means, mean) and np.allclose(model.deviations, std)
+    optimum = ops.logistic_fit(labelled, FEATURES)
+    assert abs(optimum.coefficients[0] - w[1]) > 1e-3  # 400 steps do not converge
+
+
+def test_descent_of_constant_features_and_one_label(labelled):
+    flat = labelled.withColumn("b", F.lit(7.0)).withColumn("target", F.lit(1.0))
+    pdf = flat.toPandas()
+    _, _, w = descended(pdf[list(FEATURES)].to_numpy(), pdf.target.to_numpy(), 50)
+    model = ops.descent_fit(flat, FEATURES, epochs=50)
+    assert np.allclose([model.intercept, *model.coefficients], w, atol=1e-12)
+    with pytest.raises(ValueError, match="empty"):
+        ops.descent_fit(labelled.limit(0), FEATURES)
+
+
+def test_chrono_train_test_equals_plain_fit(labelled):
+    model, metrics = ops.chrono_train_test(labelled, 0.2, lambda train: ops.descent_fit(train, FEATURES))
+    pdf = labelled.toPandas().sort_values(["timestamp", "symbol"], ignore_index=True)
+    x, y = pdf[list(FEATURES)].to_numpy(), pdf.target.to_numpy()
+    mean, std, w = descended(x[:320], y[:320])
+    called = (np.c_[np.ones(80), (x[320:] - mean) / std] @ w) >= 0
+    got = metrics.first()
+    assert got.train_rows == 320 and got.test_rows == 80
+    assert got.test_precision == round(y[320:][called].mean(), 6) and got.test_recall == round(called[y[320:] == 1].mean(), 6)
+
+
+@pytest.mark.parametrize("solver", ["descent", "newton"])
+def test_walk_forward_expanding(labelled, solver):
+    got = ops.walk_forward_expanding(labelled, 3, FEATURES, solver).toPandas().sort_values("fold", ignore_index=True)
+    pdf = labelled.toPandas().sort_values(["timestamp", "symbol"], ignore_index=True)
+    x, y = pdf[list(FEATURES)].to_numpy(), pdf.target.to_numpy()
+    edges = np.linspace(0, 400, 5, dtype=int)
+    for fold, (a, b) in enumerate(zip(edges[1:-1], edges[2:])):
+        mean, std, w = descended(x[:a], y[:a], 400 if solver == "descent" else 40_000)
+        called = (np.c_[np.ones(b - a), (x[a:b] - mean) / std] @ w) >= 0
+        assert tuple(got.iloc[fold]) == (fold + 1, b - a, round(y[a:b][called].mean(), 6), round(called[y[a:b] == 1].mean(), 6))
+    with pytest.raises(ValueError):
+        ops.walk_forward_expanding(labelled.limit(10), 2, FEATURES)
+    one_class = labelled.withColumn("target", F.lit(1.0))
+    assert ops.walk_forward_expanding(one_class, 2, FEATURES).count() == 0
+
+
+def test_newton_folds_reach_the_optimum_in_few_scans(labelled, monkeypatch):
+    from tidemark.operators import descent
+
+    scans, totals = [], descent._totals
+    monkeypatch.setattr(descent, "_totals", lambda *a: scans.append(1) or totals(*a))
+    segmented = written(ops.expanding_folds(labelled, 4).select("a", "b", "target", "segment"))
+    fits = descent.fit_folds(segmented, FEATURES, "target", "segment", [1, 2, 3, 4], "newton")
+    assert len(scans) < 12 and len(fits) == 4
+    pdf = segmented.toPandas()
+    for fold, fit in fits.items():
+        part = pdf[pdf.segment < fold]
+        z = np.c_[np.ones(len(part)), (part[list(FEATURES)].to_numpy() - fit.moments.mean) / fit.moments.scale()]
+        gradient = z.T @ (1 / (1 + np.exp(-z @ fit.weights)) - part.target.to_numpy()) / len(part) + 0.01 * np.r_[0, fit.weights[1:]]
+        assert np.abs(gradient).max() < 1e-9
 
 
 def test_rolling_folds_match_slices(labelled):

@@ -1,7 +1,8 @@
 """Standardization, the limit-up classifier, chronological validation, parameter grids and sweeps.
 
 Positions in time order come from counted ranges (see functions.chunked.ordinal).
-Fitting is distributed gradient work in Spark ML; only the handful of fitted parameters live on the driver.
+Fitting is distributed gradient work (Spark ML, or partition sums in operators.descent); only the handful of fitted parameters
+live on the driver.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import types as T
 from ..functions.chunked import ordinal
 from ..functions.lineage import written
 from ..functions.numeric import clip, rounded
+from .descent import Fit, fit_folds
 from .evaluation import ratio
 from .features import MODEL_FEATURES
 
@@ -92,6 +94,23 @@ def logistic_fit(
     )
 
 
+def _fitted(features: Sequence[str], fit: Fit) -> LogisticModel:
+    values = lambda a: tuple(float(v) for v in a)
+    return LogisticModel(tuple(features), values(fit.moments.mean), values(fit.moments.scale()), values(fit.weights[1:]), float(fit.weights[0]))
+
+
+def descent_fit(
+    train: DataFrame, features: Sequence[str] = MODEL_FEATURES, label: str = "target", l2: float = 0.01,
+    learning_rate: float = 0.05, epochs: int = 400,
+) -> LogisticModel:
+    """The fit after exactly `epochs` full-batch gradient steps from zero, stopped there whether or not it has converged."""
+    data = train.select(*features, label, F.lit(0).alias("_segment"))
+    fits = fit_folds(data, features, label, "_segment", [1], "descent", learning_rate, epochs, l2, both_labels=False)
+    if not fits:
+        raise ValueError("cannot fit on an empty dataset")
+    return _fitted(features, fits[1])
+
+
 def in_time_order(df: DataFrame) -> DataFrame:
     """Add `pos` and `n_rows` in (timestamp, symbol) order; missing times and symbols come last."""
     return ordinal(df, ["timestamp", "symbol"])
@@ -114,12 +133,14 @@ def precision_recall(scored: DataFrame, keys: list[str] | None = None, cutoff: f
     )
 
 
-def chrono_train_test(df: DataFrame, test_fraction: float = 0.2) -> tuple[LogisticModel, DataFrame]:
+def chrono_train_test(
+    df: DataFrame, test_fraction: float = 0.2, fit: Callable[[DataFrame], LogisticModel] = descent_fit
+) -> tuple[LogisticModel, DataFrame]:
     """Fit on the earlier rows, measure on the later ones: (model, one-row metrics with train_rows). Needs two rows."""
     split = written(chrono_split(df, test_fraction))
     if len(split.take(2)) < 2:
         raise ValueError("a chronological split needs at least two rows")
-    model = logistic_fit(split.filter(~F.col("is_test")))
+    model = fit(split.filter(~F.col("is_test")))
     scored = model.predict(split.filter("is_test"))
     metrics = precision_recall(scored).withColumn("train_rows", split.filter(~F.col("is_test")).agg(F.count(F.lit(1))).scalar())
     return model, metrics
@@ -135,30 +156,25 @@ def expanding_folds(df: DataFrame, folds: int = 5) -> DataFrame:
     return in_time_order(df).withColumn("segment", segment)
 
 
-def walk_forward_expanding(df: DataFrame, folds: int = 5) -> DataFrame:
-    """Out-of-sample precision per expanding fold; folds whose training rows hold one class only are skipped."""
-    segmented = written(expanding_folds(df, folds))
-    spark = df.sparkSession
-    sizes = {
-        row.segment: row
-        for row in segmented.groupBy("segment").agg(
-            F.count(F.lit(1)).alias("n"), F.min("target").alias("low"), F.max("target").alias("high")
-        ).collect()  # folds + 1 rows
-    }
-    if sum(row.n for row in sizes.values()) < max(20, folds * 4):
+def walk_forward_expanding(
+    df: DataFrame, folds: int = 5, features: Sequence[str] = MODEL_FEATURES, solver: str = "descent"
+) -> DataFrame:
+    """Out-of-sample precision per expanding fold; folds whose training rows hold one class only are skipped.
+
+    All folds are fitted together: a step of the `solver` ("descent", 400 steps, or "newton", to the optimum) is one scan for all of
+    them, and each fold's moments are those of its segments joined. Scoring is one scan too: a row is scored by its segment's model.
+    """
+    segmented = written(expanding_folds(df, folds).select("target", *features, "segment"))
+    sizes = {r.segment: r.n for r in segmented.groupBy("segment").agg(F.count(F.lit(1)).alias("n")).collect()}  # folds + 1 rows
+    if sum(sizes.values()) < max(20, folds * 4):
         raise ValueError("insufficient observations for walk-forward validation")
-    results: DataFrame | None = None
-    for fold in range(1, folds + 1):
-        before = [row for segment, row in sizes.items() if segment < fold]
-        if not before or fold not in sizes or min(r.low for r in before) == max(r.high for r in before):
-            continue
-        model = logistic_fit(segmented.filter(F.col("segment") < fold))
-        scored = model.predict(segmented.filter(F.col("segment") == fold).withColumn("fold", F.lit(fold)))
-        results = scored if results is None else results.unionByName(scored.select(*results.columns))
-        # each fold keeps its own model expression, so the union is one scoring pass
-    if results is None:
-        return spark.createDataFrame([], "fold int, test_rows bigint, test_precision double, test_recall double")
-    return precision_recall(results, ["fold"])
+    fits = fit_folds(segmented, features, "target", "segment", [f for f in range(1, folds + 1) if f in sizes], solver)
+    if not fits:
+        return df.sparkSession.createDataFrame([], "fold int, test_rows bigint, test_precision double, test_recall double")
+    fold = F.col("segment")
+    probability = F.coalesce(*[F.when(fold == k, _fitted(features, fit).probability()) for k, fit in fits.items()])
+    scored = segmented.filter(fold.isin(list(fits))).select(fold.alias("fold"), "target", probability.alias("probability"))
+    return precision_recall(scored, ["fold"])
 
 
 def rolling_folds(df: DataFrame, train_rows: int = 252, test_rows: int = 21) -> DataFrame:
