@@ -77,6 +77,19 @@ def test_descent_stops_where_plain_steps_do(labelled):
     assert abs(optimum.coefficients[0] - w[1]) > 1e-3  # 400 steps do not converge
 
 
+def test_descent_takes_few_scans(labelled, monkeypatch):
+    from tidemark.operators import descent
+
+    scans, totals = [], descent._totals
+    monkeypatch.setattr(descent, "_totals", lambda *a: scans.append(1) or totals(*a))
+    for steps in (0, 1, 2, 5, 400):
+        scans.clear()
+        pdf = labelled.toPandas()
+        _, _, w = descended(pdf[list(FEATURES)].to_numpy(), pdf.target.to_numpy(), steps)
+        model = ops.descent_fit(labelled, FEATURES, epochs=steps)
+        assert np.allclose([model.intercept, *model.coefficients], w, atol=1e-12) and len(scans) <= 10
+
+
 def test_descent_of_constant_features_and_one_label(labelled):
     flat = labelled.withColumn("b", F.lit(7.0)).withColumn("target", F.lit(1.0))
     pdf = flat.toPandas()

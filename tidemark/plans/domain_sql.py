@@ -147,15 +147,16 @@ def _closure(names: tuple[str, ...], seen: dict[str, None]) -> dict[str, None]:
     return seen
 
 
-def with_tables(body: str, names: tuple[str, ...]) -> str:
+def with_tables(body: str, names: tuple[str, ...], recursive: bool = False) -> str:
     """Prefix `body` with the CTEs it needs, dependencies first. `body` may itself start with more CTEs: `, x AS (...)`."""
     body = body.strip()
     needed = _closure(names, {})
+    head = "WITH RECURSIVE " if recursive else "WITH "
     ctes = [f"{name} AS ({TABLES[name][0].strip()})" for name in needed]
     if body.startswith(","):
         body = body[1:].strip() if not ctes else body
     elif ctes:
-        return "WITH " + ",\n".join(ctes) + "\n" + body
+        return head + ",\n".join(ctes) + "\n" + body
     else:
         return body
-    return "WITH " + ",\n".join(ctes) + body
+    return head + ",\n".join(ctes) + body

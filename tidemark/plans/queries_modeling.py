@@ -20,6 +20,33 @@ _ORDERED = """
 """
 
 
+_SEGMENT = " + ".join(f"CAST(pos >= floor(n_rows / 6.0::DOUBLE * {i}.0::DOUBLE) AS INT)" for i in range(1, 6))
+_WEIGHTS = ", ".join(f"w{j}" for j in range(len(MODEL_FEATURES) + 1))
+_LOGIT = " + ".join(["w0", *[f"w{j} * z{j}" for j in range(1, len(MODEL_FEATURES) + 1)]])
+_CHANCE = f"1 / (1 + exp(-greatest(-30.0::DOUBLE, least(30.0::DOUBLE, {_LOGIT}))))"
+_SCALED = ", ".join(f"({c} - m[{j}]) / s[{j}] AS z{j}" for j, c in enumerate(MODEL_FEATURES, 1))
+
+
+def _descent_sql(segment: str, folds: str, both: bool) -> str:
+    """400 plain gradient steps for every fold, trained on the segments below it: fold, moments and weights in `fit`."""
+    return _ORDERED + f"""
+, seg AS MATERIALIZED (SELECT *, {segment} AS segment FROM o),
+   mom AS MATERIALIZED (
+     SELECT fold, count(*) AS n, [{', '.join(f'avg({c})' for c in MODEL_FEATURES)}] AS m,
+            [{', '.join(f'CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END' for c in MODEL_FEATURES)}] AS s
+     FROM (SELECT unnest({folds}) AS fold) JOIN seg ON segment < fold GROUP BY fold {'HAVING min(target) < max(target)' if both else ''}),
+   train AS MATERIALIZED (SELECT fold, n, target AS y, {_SCALED} FROM mom JOIN seg ON segment < fold),
+   gd AS (
+     SELECT 0 AS k, fold, {', '.join(f'0.0::DOUBLE AS w{j}' for j in range(len(MODEL_FEATURES) + 1))} FROM mom
+     UNION ALL
+     SELECT k + 1, fold, w0 - 0.05::DOUBLE * sum(e) / n,
+            {', '.join(f'w{j} - 0.05::DOUBLE * (sum(e * z{j}) / n + 0.01::DOUBLE * w{j})' for j in range(1, len(MODEL_FEATURES) + 1))}
+     FROM (SELECT gd.*, train.* EXCLUDE (fold), {_CHANCE} - y AS e FROM gd JOIN train ON train.fold = gd.fold WHERE k < 400)
+     GROUP BY k, fold, n, {_WEIGHTS}),
+   fit AS (SELECT gd.*, m, s FROM gd JOIN mom ON mom.fold = gd.fold WHERE k = 400)
+"""
+
+
 def _dataset(spark: SparkSession, d: str) -> DataFrame:
     """Training rows as a written table: every fit and fold reads them again."""
     rows = limit_up_dataset(sample.stored_bars(spark, d))
@@ -34,10 +61,12 @@ def standardize(spark: SparkSession, d: str) -> DataFrame:
     return ops.standardize(_dataset(spark, d)).select("symbol", "timestamp", *[f"{c}_z" for c in MODEL_FEATURES])
 
 
-@query("logistic_fit_predict")
+@query("logistic_fit_predict", tables=("limit_up_rows",), recursive=True, sql=_descent_sql("0", "[1]", False) + f"""
+SELECT symbol, {day('timestamp')} AS timestamp, target, {r6(_CHANCE)} AS probability
+FROM (SELECT symbol, timestamp, target, fit.* EXCLUDE (fold), {_SCALED} FROM seg, fit)""")
 def logistic_fit_predict(spark: SparkSession, d: str) -> DataFrame:
     rows = _dataset(spark, d)
-    return ops.logistic_fit(rows).predict(rows).select("symbol", "timestamp", "target", "probability")
+    return ops.descent_fit(rows).predict(rows).select("symbol", "timestamp", "target", "probability")
 
 
 @query("chrono_split", tables=("limit_up_rows",), sql=_ORDERED + f"""
@@ -46,19 +75,26 @@ def chrono_split(spark: SparkSession, d: str) -> DataFrame:
     return ops.chrono_split(_dataset(spark, d), 0.2).select("symbol", "timestamp", "pos", "is_test")
 
 
-@query("chrono_train_test")
+_METRICS = f"""count(*) AS test_rows, {r6('coalesce(count(*) FILTER (p >= 0.5 AND target = 1) / nullif(count(*) FILTER (p >= 0.5), 0), 0)')} AS test_precision,
+       {r6('coalesce(count(*) FILTER (p >= 0.5 AND target = 1) / nullif(count(*) FILTER (target = 1), 0), 0)')} AS test_recall"""
+_SCORED = f"SELECT fold, segment, target, n, {_CHANCE} AS p FROM (SELECT seg.*, fit.*, mom.n, {_SCALED.replace('m[', 'fit.m[').replace('s[', 'fit.s[')} FROM seg JOIN fit ON fit.fold = segment JOIN mom ON mom.fold = fit.fold)"
+
+
+@query("chrono_train_test", tables=("limit_up_rows",), recursive=True, sql=_descent_sql(
+    "CAST(pos >= greatest(1, least(n_rows - 1, CAST(floor(n_rows * 0.8::DOUBLE) AS BIGINT))) AS INT)", "[1]", False) + f"""
+SELECT {_METRICS}, n AS train_rows FROM ({_SCORED}) GROUP BY n""")
 def chrono_train_test(spark: SparkSession, d: str) -> DataFrame:
     return ops.chrono_train_test(_dataset(spark, d))[1]
 
 
 @query("expanding_folds", tables=("limit_up_rows",), sql=_ORDERED + f"""
-SELECT symbol, {day('timestamp')} AS timestamp, CAST({' + '.join(
-    f'CAST(pos >= floor(n_rows / 6.0::DOUBLE * {i}.0::DOUBLE) AS INT)' for i in range(1, 6))} AS BIGINT) AS segment FROM o""")
+SELECT symbol, {day('timestamp')} AS timestamp, CAST({_SEGMENT} AS BIGINT) AS segment FROM o""")
 def expanding_folds(spark: SparkSession, d: str) -> DataFrame:
     return ops.expanding_folds(_dataset(spark, d), 5).select("symbol", "timestamp", "segment")
 
 
-@query("walk_forward_expanding")
+@query("walk_forward_expanding", tables=("limit_up_rows",), recursive=True, sql=_descent_sql(_SEGMENT, "range(1, 6)", True) + f"""
+SELECT CAST(fold AS BIGINT) AS fold, {_METRICS} FROM ({_SCORED}) GROUP BY fold""")
 def walk_forward_expanding(spark: SparkSession, d: str) -> DataFrame:
     return ops.walk_forward_expanding(_dataset(spark, d), 5)
 

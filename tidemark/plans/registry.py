@@ -37,15 +37,15 @@ def comparable(df: DataFrame, digits: int = 6, per_column: dict[str, int] | None
 
 
 def query(name: str, sql: str | None = None, tables: tuple[str, ...] = (), digits: int = 6,
-          per_column: dict[str, int] | None = None) -> Callable[[Build], Build]:
-    """Register `build`; `tables` are the derived market tables the SQL reads."""
+          per_column: dict[str, int] | None = None, recursive: bool = False) -> Callable[[Build], Build]:
+    """Register `build`; `tables` are the derived market tables the SQL reads; `recursive` SQL has a recursive table."""
 
     def add(build: Build) -> Build:
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = lambda spark, sf_dir: comparable(build(spark, sf_dir), digits, per_column)
         if sql is not None:
-            SQL[name] = with_tables(sql, tables)
+            SQL[name] = with_tables(sql, tables, recursive)
         return build
 
     return add
