@@ -90,15 +90,22 @@ def test_news_dedupe(spark, sf_dir, tmp_path):
 def test_equity_state(spark, sf_dir, tmp_path):
     rows = sample.equity_snapshots(spark, sf_dir).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
     rows = rows.select("account", "timestamp", "seq", "equity")
-    for a, b in (("2024-01-01", "2024-01-12"), ("2024-01-12", "2024-03-01")):
-        rows.filter((F.col("timestamp") >= a) & (F.col("timestamp") < b)).coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "e"))
-    sink = equity.state_writer(str(tmp_path / "state"), 1e6, F.to_date("timestamp"))
-    run(stream, "equity", "append", tmp_path, foreachBatch=sink)
-    final = equity.metrics(equity.read_state(spark, str(tmp_path / "state"), 1), 1e6)
     batch = ledger_metrics(rows, 1e6, ["account"], ["timestamp", "seq"], F.to_date("timestamp"))
-    key = lambda df: {r.account: (round(r.net_return, 9), round(r.max_drawdown, 9), r.observations) for r in df.collect()}
-    assert key(final) == key(batch)
-    # replaying a batch starts from the version before it
-    sink(rows.filter(F.col("timestamp") >= "2024-01-12"), 1)
-    assert key(equity.metrics(equity.read_state(spark, str(tmp_path / "state"), 1), 1e6)) == key(batch)
+    latest = {}
+
+    def keep(changed, _):
+        latest.update({r.account: (round(r.net_return, 9), round(r.max_drawdown, 9), r.observations) for r in changed.collect()})
+
+    for a, b in (("2024-01-01", "2024-01-12"), ("2024-01-12", "2024-03-01")):  # the second run starts from the first one's state
+        rows.filter((F.col("timestamp") >= a) & (F.col("timestamp") < b)).coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "e"))
+        run(equity.equity_stream(stream, 1e6), "equity", "update", tmp_path, foreachBatch=keep)
+    assert latest == {r.account: (round(r.net_return, 9), round(r.max_drawdown, 9), r.observations) for r in batch.collect()}
+    # one account more: only its state is touched
+    one = rows.limit(1).withColumn("account", F.lit("NEW")).withColumn("equity", F.lit(2e6))
+    one.write.mode("append").parquet(str(tmp_path / "e"))
+    latest.clear()
+    run(equity.equity_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "e")), 1e6), "equity", "update", tmp_path, foreachBatch=keep)
+    assert latest == {"NEW": (1.0, 0.0, 1.0)}
+    with pytest.raises(ValueError, match="positive"):
+        equity.equity_stream(rows, 0.0)

@@ -6,12 +6,16 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+KEYED_STATE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    KEYED_STATE: ROCKSDB,
 }
 
 
@@ -32,6 +36,12 @@ def local_session(app: str = "tidemark", cores: str = "*", shuffle_partitions: i
     return spark
 
 
+def require_keyed_state(spark: SparkSession) -> None:
+    """Streams with state per key need a state store that keeps several columns and timers a key."""
+    if "RocksDB" not in spark.conf.get(KEYED_STATE, ""):
+        raise RuntimeError(f"set {KEYED_STATE} to {ROCKSDB}")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts: the cluster's setting, else the context's folder, else one of our own on a local master."""
     context = spark.sparkContext

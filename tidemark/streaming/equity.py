@@ -1,18 +1,22 @@
 """Running peak and drawdown per account over micro-batches.
 
-State is a small table (one row per account), written as one version per batch, so a replayed batch starts again from
-the version before it and overwrites its own. Inside a batch a busy account is split by `chunk`, not handed to one task.
-Rows that arrive after later rows of their account count in the batch they arrive in.
+A stream keeps one row of state an account in the state store: a batch reads and writes only the accounts it touches, and a
+restarted or replayed batch starts from the store's version before it. Rows of an account inside a batch are put in order of
+(timestamp, seq); rows that arrive after later rows of their account count in the batch they arrive in. A static table is
+split by `chunk` inside a busy account instead.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from ..functions.chunked import running
+from ..session import require_keyed_state
 
 STATE = "account string, peak double, max_drawdown double, last_equity double, last_at timestamp, last_seq bigint, observations bigint"
 
@@ -68,21 +72,39 @@ def metrics(state: DataFrame, initial_equity: float) -> DataFrame:
     )
 
 
-def read_state(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
-    """State version after batch `batch_id`; before the first batch it is empty."""
-    return empty_state(spark) if batch_id < 0 else spark.read.schema(STATE).parquet(f"{path}/batch={batch_id}")
+class _Drawdown(StatefulProcessor):
+    """One account: peak, deepest drawdown, newest equity, and rows seen."""
 
+    def __init__(self, initial_equity: float) -> None:
+        self.initial_equity = initial_equity
 
-def state_writer(path: str, initial_equity: float, chunk: Column) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that advances the state table under `path` (a shared folder)."""
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("account", "peak double, deepest double, equity double, at long, seq long, seen long")
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.persist()
-        try:
-            advanced = advance(read_state(spark, path, batch_id - 1), batch, initial_equity, chunk)
-            advanced.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        finally:
-            batch.unpersist()
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timers: TimerValues) -> Iterator[Row]:
+        peak, deepest, equity, last, seen = self.initial_equity, 0.0, None, None, 0
+        if self.state.exists():
+            peak, deepest, equity, *last, seen = self.state.get()
+            last = tuple(last)
+        for at, value in sorted(((r.at, r.seq), r.equity) for r in rows):
+            peak = max(peak, value)
+            deepest = min(deepest, value / peak - 1.0)
+            seen += 1
+            if last is None or at >= last:
+                last, equity = at, value
+        self.state.update((peak, deepest, equity, *last, seen))
+        yield Row(account=key[0], net_return=equity / self.initial_equity - 1.0, max_drawdown=deepest, observations=float(seen))
 
-    return write
+
+def equity_stream(rows: DataFrame, initial_equity: float) -> DataFrame:
+    """(account, net_return, max_drawdown, observations) of every account that a batch touches; run in update mode.
+
+    `rows` is a stream of (account, timestamp, seq, equity). What a batch writes grows with the accounts in it, not with all
+    accounts; an account's rows of one batch are sorted in its task, so the source's rate limit bounds them.
+    """
+    if initial_equity <= 0:
+        raise ValueError("initial_equity must be positive")
+    require_keyed_state(rows.sparkSession)
+    numbered = rows.select("account", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("at"), "seq", "equity")
+    return numbered.groupBy("account").transformWithState(
+        _Drawdown(float(initial_equity)), "account string, net_return double, max_drawdown double, observations double", "Update", "None")
