@@ -87,6 +87,57 @@ def test_news_dedupe(spark, sf_dir, tmp_path):
     assert len(got) == len(set(got)) and set(got) == set(want)
 
 
+def arrive(spark, rows, schema, path):
+    """A file that the next batch reads."""
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_silent_positions_are_cancelled_and_dropped(spark, tmp_path):
+    at = lambda hour, minute=0: dt.datetime(2024, 1, 1, hour, minute)
+    held = spark.createDataFrame([(s, 100.0, 60.0) for s in ("LIVE", "SILENT", "NEVER", "LATE")], "symbol string, entry_price double, entry_score double")
+    shape, path = "symbol string, timestamp timestamp, close double", str(tmp_path / "b")
+    batches = [
+        [("LIVE", at(1), 101.0), ("SILENT", at(1), 95.0), ("LATE", at(2), 102.0), ("OTHER", at(2), 1.0)],
+        [("LIVE", at(6), 102.0), ("LATE", at(1, 55), 50.0)],  # an older bar than the newest changes nothing
+        [("LIVE", at(9, 30), 103.0)],  # SILENT is over eight hours old, LATE is not
+        [("LIVE", at(9, 40), 103.0), ("SILENT", at(9, 40), 150.0), ("LATE", at(9, 35), 99.0)],  # too late for SILENT
+    ]
+    got = []
+    for rows in batches:  # every batch is a restart from the checkpoint
+        arrive(spark, rows, shape, path)
+        stream = intraday.open_positions_stream(spark.readStream.schema(shape).parquet(path), held)
+        run(stream, "open", "append", tmp_path, foreachBatch=lambda df, _: got.append({(r.symbol, r.decision, r.at) for r in df.collect()}))
+    told = set().union(*got)
+    assert ("SILENT", "CANCEL", at(9)) in told and [s for s, d, _ in told if d == "CANCEL"].count("SILENT") == 1
+    assert ("SILENT", "EXIT", at(1)) in told and not any(s == "OTHER" for s, *_ in told)
+    assert {s for s, d, _ in told if s == "NEVER"} == {"NEVER"} and {d for s, d, _ in told if s == "NEVER"} == {"CANCEL"}
+    last = {s: d for batch in got for s, d, _ in sorted(batch, key=lambda r: r[2])}
+    bars = spark.createDataFrame([r for rows in batches for r in rows if (r[0], r[1]) != ("SILENT", at(9, 40))], shape)
+    assert last == {r.symbol: r.decision for r in intraday.intraday_decisions(bars, held).collect()}
+    state = spark.read.format("statestore").option("stateVarName", "position").load(str(tmp_path / "c_open"))
+    assert {r.key[0] for r in state.collect()} == {"LIVE", "LATE"}
+
+
+def test_the_earliest_item_within_the_watermark_passes(spark, tmp_path):
+    at = lambda day, hour=0: dt.datetime(2024, 1, day, hour)
+    shape, path = "news_id long, title string, url string, source string, published_at timestamp", str(tmp_path / "w")
+    batches = [
+        [(5, "Alpha ", "u", "s", at(2)), (7, "Beta", "u", "s", at(2, 3)), (9, "Gamma", "v", None, at(2, 5))],
+        [(6, "alpha", " u", "t", at(1, 20)), (3, "BETA", "u", "s", at(2, 3)), (20, "Alpha", "u", "s", at(2, 9))],  # earlier, and a tie
+        [(30, "Delta", "u", "s", at(9))],
+        [(31, "beta", "u", "s", at(9, 1)), (32, "Epsilon", "u", "s", at(15))],  # a key that has passed
+        [(40, "End", "u", "s", at(20))],
+    ]
+    got = []
+    for rows in batches:
+        arrive(spark, rows, shape, path)
+        stream = news.earliest_stream(spark.readStream.schema(shape).parquet(path))
+        run(stream, "earliest", "append", tmp_path, foreachBatch=lambda df, _: got.extend(tuple(r) for r in df.collect()))
+    everything = spark.createDataFrame([r for rows in batches for r in rows], shape)
+    want = {tuple(r) for r in news.dedupe_stream(everything).collect() if r.news_id != 40}  # the last one still waits
+    assert len(got) == len(set(got)) and set(got) == want and {r[0] for r in got} == {6, 3, 9, 30, 32}
+
+
 def test_equity_state(spark, sf_dir, tmp_path):
     rows = sample.equity_snapshots(spark, sf_dir).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
     rows = rows.select("account", "timestamp", "seq", "equity")

@@ -81,7 +81,7 @@ class _Drawdown(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("account", "peak double, deepest double, equity double, at long, seq long, seen long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timers: TimerValues) -> Iterator[Row]:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
         peak, deepest, equity, last, seen = self.initial_equity, 0.0, None, None, 0
         if self.state.exists():
             peak, deepest, equity, *last, seen = self.state.get()
