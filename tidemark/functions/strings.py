@@ -33,18 +33,39 @@ def _folds() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     return "".join(single), "".join(single.values()), tuple(multiple.items())
 
 
+SHARP_S = "\u00df"
+
+
+def _ranges(letters: str) -> str:
+    """The inside of a character class; neighbours are one range, so that a test has few alternatives."""
+    out: list[list[int]] = []
+    for code in sorted(map(ord, letters)):
+        if out and code == out[-1][1] + 1:
+            out[-1][1] = code
+        else:
+            out.append([code, code])
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in out)
+
+
 def casefold(c: str | Column) -> Column:
     """Full Unicode case folding: lower case, then the folds that differ from it.
 
-    One translate covers the one-letter folds; the hundred or so longer ones (sharp s, ligatures) are replaced only in a
-    text that holds one of them.
+    Most texts are done with lower case, or with the sharp s written out: one scan for letters beyond Latin tells so. Only texts
+    that hold one of the rare letters take a translate over the one-letter folds, and only those with one of the hundred or so
+    longer folds (ligatures) the replacements.
     """
     letters, folds, multiple = _folds()
-    text = F.translate(F.lower(col(c)), letters, folds)
+    lower = F.lower(col(c))
+    rare = letters + "".join(letter for letter, _ in multiple if letter != SHARP_S)
+    latin = "".join(letter for letter in rare if ord(letter) < 0x100)
+    beyond = min(ord(letter) for letter in rare if ord(letter) >= 0x100)
+    text = F.translate(lower, letters, folds)
     longer = text
     for letter, fold in multiple:
         longer = F.replace(longer, F.lit(letter), F.lit(fold))
-    return F.when(text.rlike("[" + "".join(letter for letter, _ in multiple) + "]"), longer).otherwise(text)
+    rarely = F.when(text.rlike(f"[{_ranges(''.join(letter for letter, _ in multiple))}]"), longer).otherwise(text)
+    has_rare = lower.rlike(rf"[{_ranges(latin)}\x{{{beyond:X}}}-\x{{10FFFF}}]") & lower.rlike(f"[{_ranges(rare)}]")
+    return F.when(has_rare, rarely).when(F.contains(lower, F.lit(SHARP_S)), F.replace(lower, F.lit(SHARP_S), F.lit("ss"))).otherwise(lower)
 
 
 def ticker(c: str | Column, suffix: bool = True) -> Column:

@@ -29,8 +29,10 @@ def first_per_key(df: DataFrame, key: Column, order: list[Column]) -> DataFrame:
     )
 
 
-def title_url_key() -> Column:
-    return digest(F.to_json(F.struct(strip(casefold("title")).alias("t"), strip("url").alias("u"))))
+def title_url_key(folded: Column | None = None) -> Column:
+    """Key of (title, url); `folded` is the title in its folded form where a column has it."""
+    title = strip(casefold("title")) if folded is None else folded
+    return digest(F.to_json(F.struct(title.alias("t"), strip("url").alias("u"))))
 
 
 def dedupe_news(news: DataFrame, tie: str) -> DataFrame:
@@ -81,7 +83,8 @@ def event_batch(events: DataFrame, profiles: DataFrame, tie: str) -> DataFrame:
     The texts are read and their keys made once: one grouping keeps the first item of each (title, url) and how many there
     were, and is stored; the repeats of a title are summed over that smaller table.
     """
-    keyed = events.withColumns({"_title": digest(strip(casefold("title"))), "_key": title_url_key()})
+    folded = events.withColumn("_folded", strip(casefold("title")))
+    keyed = folded.withColumns({"_title": digest("_folded"), "_key": title_url_key(F.col("_folded"))}).drop("_folded")
     reduced = written(
         keyed.groupBy("_title", "_key")
         .agg(F.min_by(F.struct(*events.columns), F.struct("published_at", tie)).alias("_first"), F.count(F.lit(1)).alias("_n"))
