@@ -189,6 +189,29 @@ def test_sweep_matches_brute_force(spark):
         assert r.net_return == pytest.approx(np.mean(chosen) - r.cost_bps / 1e4 if chosen else 0.0)
 
 
+def test_sweep_day_metrics_match_days_taken_one_by_one(spark):
+    rng = np.random.default_rng(9)
+    day0 = dt.date(2024, 1, 1)
+    rows = [(int(h), day0 + dt.timedelta(days=int(d)), f"S{i}", None if rng.random() < 0.05 else round(float(rng.random()), 1), None if rng.random() < 0.05 else float(rng.normal(0, 0.1)))
+            for h in (1, 2) for d in range(25) for i in range(rng.integers(1, 9))]
+    grid = ops.parameter_grid(spark, {**AXES, "horizon": [1, 2, 3], "threshold": [0.2, 0.5, 0.9, 1.5]})
+    got = ops.sweep(grid, spark.createDataFrame(rows, "horizon int, timestamp date, symbol string, score double, future_return double"), 0.1, top_k=3).collect()
+    assert len(got) == 192
+    for r in got:
+        days = sorted({d for h, d, *_ in rows if h == r.horizon})
+        equity, peak, worst, signals, hits, active = 1.0, None, 0.0, 0, 0, 0
+        for day in days:
+            best = sorted((x for x in rows if x[:2] == (r.horizon, day) and x[3] is not None), key=lambda x: (-x[3], x[2]))[:3]
+            best = [x[4] for x in best if x[3] >= r.threshold]
+            known = [x for x in best if x is not None]
+            equity *= 1 + (sum(known) / len(known) if known else 0.0)
+            peak = equity if peak is None else max(peak, equity)
+            worst = min(worst, equity / peak - 1)
+            signals, hits, active = signals + len(best), hits + sum(x >= 0.1 for x in known), active + bool(best)
+        want = (active / len(days), signals / len(days), hits / signals if signals else 0, equity - 1, worst) if days else (0,) * 5
+        assert [r[c] for c in ops.DAY_METRICS] == pytest.approx(want)
+
+
 def test_evaluator_keeps_run_numbers(spark):
     grid = ops.parameter_grid(spark, AXES)
     got = ops.run_evaluator(grid, lambda c: {"value": c["horizon"] * c["threshold"]}, "run bigint, value double", partitions=3)

@@ -268,22 +268,74 @@ def parameter_grid(
         F.col("id").alias("run"), *[columns[name].alias(name) for name in arrays])
 
 
-def sweep(grid: DataFrame, predictions: DataFrame, event_threshold: float) -> DataFrame:
-    """Signals, hits, precision, recall and net mean return of every configuration.
+def _levels(grid: DataFrame) -> Column:
+    """The distinct thresholds of a grid in order: the values of one axis."""
+    return grid.agg(F.array_sort(F.collect_set("threshold"))).scalar()
 
-    Only (horizon, threshold) change which predictions are selected. Each prediction is put once into the
-    highest threshold it clears; counts are cumulated from the top; costs and the other axes are applied to the
-    resulting few rows. `predictions` has horizon, score, future_return.
-    """
-    levels = grid.agg(F.array_sort(F.collect_set("threshold"))).scalar()  # the distinct values of one axis
-    event = F.coalesce(F.col("future_return") >= event_threshold, F.lit(False))
+
+def _levelled(grid: DataFrame, predictions: DataFrame, event_threshold: float) -> DataFrame:
+    """Predictions with `event` and the number of the highest threshold they clear as `level` (0: none)."""
     # Binary search: the number of thresholds cleared grows by halving steps, the largest first.
     halving = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
     clears = lambda n: (n <= F.size("levels")) & F.coalesce(F.get("levels", n - 1) <= F.col("score"), F.lit(False))
     cleared = F.aggregate(halving, F.lit(0), lambda n, step: F.when(clears(n + step), n + step).otherwise(n))
+    event = F.coalesce(F.col("future_return") >= event_threshold, F.lit(False))
+    kept = [c for c in ("timestamp", "symbol") if c in predictions.columns]
+    return predictions.select("horizon", "score", *kept, _levels(grid).alias("levels"), event.alias("event"), "future_return") \
+        .withColumn("level", cleared).drop("levels")
+
+
+def threshold_curves(grid: DataFrame, predictions: DataFrame, event_threshold: float, top_k: int = 5) -> DataFrame:
+    """Day metrics of every (horizon, threshold): share of days with a signal, signals a day among the top k, their precision,
+    compounded return and deepest drawdown.
+
+    `predictions` has horizon, timestamp, symbol, score, future_return. A day is reduced to its `top_k` rows, each with the highest
+    threshold it clears; the first of them is the day's maximum and tells up to which threshold the day has a signal. Days, not
+    predictions, then meet the thresholds, and a curve is as long as the calendar. A day without a signal returns 0.
+    """
+    if top_k < 1:
+        raise ValueError("top_k must be positive")
+    best = Window.partitionBy("horizon", "timestamp").orderBy(F.col("score").desc(), "symbol")
+    days = (
+        _levelled(grid, predictions, event_threshold)
+        .withColumn("_n", F.row_number().over(best))
+        .filter(F.col("_n") <= top_k)  # becomes a window group limit: pruned before the shuffle
+        .groupBy("horizon", "timestamp")
+        .agg(F.collect_list(F.struct("level", "event", "future_return")).alias("_best"))
+    )
+    chosen = F.filter("_best", lambda r: r["level"] >= F.col("_pos") + 1)
+    known = F.filter(chosen, lambda r: r["future_return"].isNotNull())
+    total = F.aggregate(known, F.lit(0.0), lambda x, r: x + r["future_return"])
+    daily = days.select("horizon", "timestamp", "_best", F.posexplode(_levels(grid)).alias("_pos", "threshold")).select(
+        "horizon", "threshold", "timestamp",
+        F.size(chosen).alias("selected"),
+        F.size(F.filter(chosen, lambda r: r["event"])).alias("hits"),
+        F.when(F.size(known) > 0, total / F.size(known)).otherwise(F.lit(0.0)).alias("ret"),
+    )
+    so_far = Window.partitionBy("horizon", "threshold").orderBy("timestamp").rowsBetween(Window.unboundedPreceding, 0)
+    curve = daily.withColumn("_equity", F.product(1.0 + F.col("ret")).over(so_far)).withColumn("_peak", F.max("_equity").over(so_far))
+    return curve.groupBy("horizon", "threshold").agg(
+        ratio(F.count_if(F.col("selected") > 0), F.count(F.lit(1))).alias("daily_hit_day_rate"),
+        ratio(F.sum("selected"), F.count(F.lit(1))).alias("average_daily_hits"),
+        ratio(F.sum("hits"), F.sum("selected")).alias("top_k_precision"),
+        (F.max_by("_equity", "timestamp") - 1.0).alias("net_pnl"),
+        F.min(F.col("_equity") / F.col("_peak") - 1.0).alias("max_drawdown"),
+    )
+
+
+DAY_METRICS = ("daily_hit_day_rate", "average_daily_hits", "top_k_precision", "net_pnl", "max_drawdown")
+
+
+def sweep(grid: DataFrame, predictions: DataFrame, event_threshold: float, top_k: int = 5) -> DataFrame:
+    """Signals, hits, precision, recall and net mean return of every configuration.
+
+    Only (horizon, threshold) change which predictions are selected. Each prediction is put once into the
+    highest threshold it clears; counts are cumulated from the top; costs and the other axes are applied to the
+    resulting few rows. `predictions` has horizon, score, future_return; where it also has timestamp and symbol, the day
+    metrics of `threshold_curves` follow (0 for a horizon without predictions).
+    """
     cells = (
-        predictions.select("horizon", "score", levels.alias("levels"), event.alias("event"), "future_return")
-        .withColumn("level", cleared)
+        _levelled(grid, predictions, event_threshold)
         .groupBy("horizon", "level")
         .agg(
             F.count(F.lit(1)).alias("signals"),
@@ -295,7 +347,7 @@ def sweep(grid: DataFrame, predictions: DataFrame, event_threshold: float) -> Da
     points = (
         grid.select("horizon", "threshold")
         .distinct()
-        .withColumn("level", F.array_position(levels, F.col("threshold")).cast("int"))
+        .withColumn("level", F.array_position(_levels(grid), F.col("threshold")).cast("int"))
     )
     from_top = Window.partitionBy("horizon").orderBy(F.col("level").desc())
     # A cell may sit at a level this horizon's grid does not use; the union keeps it in the running sums.
@@ -308,6 +360,10 @@ def sweep(grid: DataFrame, predictions: DataFrame, event_threshold: float) -> Da
         *[F.coalesce(F.sum(c).over(from_top), F.lit(0)).alias(c) for c in ("signals", "hits", "total_return")],
     )
     curve = cumulative.filter(F.col("threshold").isNotNull()).join(events, "horizon", "left")
+    by_day: tuple[str, ...] = ()
+    if {"timestamp", "symbol"} <= set(predictions.columns):
+        by_day = DAY_METRICS
+        curve = curve.join(threshold_curves(grid, predictions, event_threshold, top_k), ["horizon", "threshold"], "left")
     gross = ratio(F.col("total_return"), F.col("signals"))
     return grid.join(curve, ["horizon", "threshold"], "left").select(
         "run", *GRID_AXES,
@@ -316,6 +372,7 @@ def sweep(grid: DataFrame, predictions: DataFrame, event_threshold: float) -> Da
         ratio(F.col("hits"), F.col("signals")).alias("precision"),
         ratio(F.col("hits"), F.col("events")).alias("recall"),
         F.when(F.col("signals") > 0, gross - F.col("cost_bps") / 10_000.0).otherwise(F.lit(0.0)).alias("net_return"),
+        *[F.coalesce(c, F.lit(0.0)).alias(c) for c in by_day],
     )
 
 

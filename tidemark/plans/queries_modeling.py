@@ -162,22 +162,33 @@ _LEVELS = [0.40, 0.45, 0.50, 0.55, 0.60, 0.65, 0.70, 0.80]
 
 
 @query("sweep", tables=("featured",), digits=9, sql=f"""
-, ahead AS (SELECT score / 100 AS score, unnest([1, 2, 3]) AS horizon,
+, ahead AS (SELECT symbol, timestamp, score / 100 AS score, unnest([1, 2, 3]) AS horizon,
                    unnest([lead(close, 1) OVER w / close - 1, lead(close, 2) OVER w / close - 1, lead(close, 3) OVER w / close - 1]) AS future_return
             FROM featured WINDOW w AS (PARTITION BY symbol ORDER BY timestamp)),
-   p AS (SELECT horizon, score, 0.05::DOUBLE * future_return AS future_return FROM ahead WHERE future_return IS NOT NULL),
+   p AS (SELECT symbol, timestamp, horizon, score, 0.05::DOUBLE * future_return AS future_return FROM ahead WHERE future_return IS NOT NULL),
    ev AS (SELECT horizon, count(*) FILTER (future_return >= 0.0025) AS events FROM p GROUP BY horizon),
    th AS (SELECT unnest([{', '.join(f'{v}::DOUBLE' for v in _LEVELS)}]) AS threshold),
    cell AS (SELECT p.horizon, threshold, count(*) AS signals, count(*) FILTER (future_return >= 0.0025) AS hits, sum(future_return) AS total
             FROM p JOIN th ON score >= threshold GROUP BY p.horizon, threshold),
+   top AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY horizon, timestamp ORDER BY score DESC, symbol) <= 5),
+   daily AS (SELECT horizon, threshold, timestamp, count(*) FILTER (score >= threshold) AS selected,
+                    count(*) FILTER (score >= threshold AND future_return >= 0.0025) AS hits,
+                    coalesce(avg(future_return) FILTER (score >= threshold), 0) AS ret FROM top, th GROUP BY ALL),
+   grown AS (SELECT *, product(1 + ret) OVER (PARTITION BY horizon, threshold ORDER BY timestamp) AS equity FROM daily),
+   fallen AS (SELECT *, equity / max(equity) OVER (PARTITION BY horizon, threshold ORDER BY timestamp) - 1 AS drawdown FROM grown),
+   days AS (SELECT horizon, threshold, count(*) FILTER (selected > 0) / count(*) AS daily_hit_day_rate, sum(selected) / count(*) AS average_daily_hits,
+                   coalesce(sum(hits) / nullif(sum(selected), 0), 0) AS top_k_precision, max_by(equity, timestamp) - 1 AS net_pnl, min(drawdown) AS max_drawdown
+            FROM fallen GROUP BY horizon, threshold),
    grid AS (SELECT model, feature_set, h.horizon, threshold, cost_bps, seed FROM
               (SELECT unnest(['logit', 'rules']) AS model), (SELECT unnest(['base', 'full']) AS feature_set),
               (SELECT unnest([1, 2, 3]) AS horizon) h, th, (SELECT unnest([10.0::DOUBLE, 15.0::DOUBLE]) AS cost_bps), (SELECT unnest([1, 2]) AS seed)),
    runs AS (SELECT *, row_number() OVER (ORDER BY model, feature_set, horizon, threshold, cost_bps, seed) - 1 AS run FROM grid)
 SELECT run, model, feature_set, CAST(r.horizon AS BIGINT) AS horizon, r.threshold, cost_bps, CAST(seed AS BIGINT) AS seed,
        coalesce(signals, 0) AS signals, coalesce(hits, 0) AS hits, {r6('coalesce(hits / signals, 0)', 9)} AS precision,
-       {r6('coalesce(hits / events, 0)', 9)} AS recall, {r6('CASE WHEN signals > 0 THEN total / signals - cost_bps / 10000 ELSE 0 END', 9)} AS net_return
-FROM runs r LEFT JOIN cell c ON c.horizon = r.horizon AND c.threshold = r.threshold LEFT JOIN ev ON ev.horizon = r.horizon""")
+       {r6('coalesce(hits / events, 0)', 9)} AS recall, {r6('CASE WHEN signals > 0 THEN total / signals - cost_bps / 10000 ELSE 0 END', 9)} AS net_return,
+       {', '.join(r6(f'coalesce({c}, 0)', 9) + f' AS {c}' for c in ops.DAY_METRICS)}
+FROM runs r LEFT JOIN cell c ON c.horizon = r.horizon AND c.threshold = r.threshold LEFT JOIN ev ON ev.horizon = r.horizon
+     LEFT JOIN days d ON d.horizon = r.horizon AND d.threshold = r.threshold""")
 def sweep(spark: SparkSession, d: str) -> DataFrame:
     def ahead(df: DataFrame, w: WindowSpec) -> DataFrame:
         moves = F.array(*[
@@ -187,7 +198,7 @@ def sweep(spark: SparkSession, d: str) -> DataFrame:
 
     rows = over_chunks(sample.stored_bars(spark, d), ["symbol"], ["timestamp"], F.year("timestamp"), ahead,
                        before=20, after=3, needs=["close", "high", "volume"])
-    predictions = rows.select((F.col("score") / 100).alias("score"), F.inline("moves")).filter("future_return is not null")
+    predictions = rows.select("symbol", "timestamp", (F.col("score") / 100).alias("score"), F.inline("moves")).filter("future_return is not null")
     grid = ops.parameter_grid(spark, {
         "model": ["logit", "rules"], "feature_set": ["base", "full"], "horizon": [1, 2, 3], "threshold": _LEVELS,
         "cost_bps": [10.0, 15.0], "seed": [1, 2]})
