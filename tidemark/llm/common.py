@@ -41,6 +41,18 @@ def pieces_of(total: int, each: int) -> int:
     return max(1, math.ceil(total / each))
 
 
+def sieved(df: DataFrame, keys: DataFrame, column: str, bits: int = 23) -> DataFrame:
+    """Rows of `df` whose `column` may be among that of `keys`, and all that are: most others are dropped before any shuffle.
+
+    The keys mark a table of 2^bits bits, 2^(bits - 6) rows at most whatever the data, so it may be broadcast.
+    """
+    at = F.pmod(F.xxhash64(column), F.lit(1 << bits))
+    bit = lambda word, place: F.call_function(word, place, F.pmod(F.col("_at"), F.lit(64)).cast("int"))
+    marks = keys.select(at.alias("_at")).groupBy(F.shiftright("_at", 6).alias("_word")).agg(F.bit_or(bit("shiftleft", F.lit(1).cast("long"))).alias("_bits"))
+    placed = df.withColumn("_at", at).withColumn("_word", F.shiftright("_at", 6))
+    return placed.join(F.broadcast(marks), "_word").where(bit("shiftright", F.col("_bits")).bitwiseAND(1) == 1).select(*df.columns)
+
+
 def crc_mod(column: str, divisor: int) -> Column:
     """crc32 of the column as text, modulo `divisor`; null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % divisor
