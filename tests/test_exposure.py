@@ -1,5 +1,7 @@
 import datetime as dt
+import re
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 
@@ -143,3 +145,24 @@ def test_portfolio_risk(spark):
     assert got["p"].top1_weight == pytest.approx(0.6) and got["p"].positions == 3
     assert got["p"].herfindahl == pytest.approx(0.52) and got["p"].effective_positions == pytest.approx(1 / 0.52)
     assert (got["zero"].herfindahl, got["zero"].effective_positions) == (0.0, 0.0)
+
+
+def test_asof_splits_a_fund_that_holds_all_rows(spark):
+    rng = np.random.default_rng(6)
+    day = lambda n: dt.date(2015, 1, 1) + dt.timedelta(days=int(n))
+    taken = sorted(rng.choice(3000, 40, replace=False))
+    snapshots = [n for n in taken if not 700 <= n < 1900]  # some years have flows only
+    flows = [("HOT", day(n), float(rng.integers(-99, 99))) for n in range(0, 3000, 7)]
+    held = [("HOT", day(n), f"S{k}", 0.5) for n in snapshots for k in (0, 1)]
+    got = ops.stock_flows_asof(spark.createDataFrame(flows, "fund_code string, as_of date, net_flow double"),
+                               spark.createDataFrame(held, "fund_code string, as_of date, symbol string, portfolio_weight double"))
+    want = {}
+    for _, d, x in flows:
+        known = [day(n) for n in snapshots if day(n) <= d]
+        if known:
+            want |= {(d, f"S{k}"): (x / 2, (d - known[-1]).days, 1) for k in (0, 1)}
+    assert {(r.flow_date, r.symbol): (r.estimated_flow, r.max_age_days, r.positions) for r in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    windows = re.findall(r"windowspecdefinition\((fund_code#\d+, [^)]*)\)", plan)
+    # every window over the bare fund runs over one row a year
+    assert windows and all("_chunk" in w.split("specifiedwindowframe")[0] for w in windows)

@@ -170,3 +170,57 @@ def test_sample_bars_are_valid(spark, sf_dir):
 
     bars = sample.bars(spark, sf_dir)
     assert validate_ohlcv(bars, ["timestamp"], F.year("timestamp")).count() == 0
+
+
+def test_a_replayed_batch_adds_nothing(spark, tmp_path):
+    path, facts = str(tmp_path / "ledger"), str(tmp_path / "facts")
+    shape = "signal_id string, symbol string, score double, type string"
+    assert ledger.read_batches(spark, path).count() == 0
+    write, seen = ledger.ledger_writer(path), []
+
+    def failing(batch, batch_id):
+        """The second batch fails after its facts are written, as when the driver is lost before the checkpoint."""
+        write(batch, batch_id)
+        seen.append(batch_id)
+        if seen == [0, 1]:
+            raise RuntimeError("lost")
+
+    for k in range(2):
+        spark.createDataFrame([(f"s{k}{i}", "A", 1.0, "signal" if i else "experiment") for i in range(3)], shape).coalesce(1).write.mode("append").parquet(facts)
+        stream = spark.readStream.schema(shape).parquet(facts).writeStream.foreachBatch(failing)
+        query = stream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        if k:
+            with pytest.raises(PySparkException, match="lost"):
+                query.awaitTermination(60)
+            query = stream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination(60)
+    assert seen == [0, 1, 1]
+    got = ledger.read_batches(spark, path)
+    assert sorted((r.batch, r.signal_id) for r in got.collect()) == [(k, f"s{k}{i}") for k in range(2) for i in range(3)]
+    assert tuple(ledger.ledger_summary(got).first()) == (2, 4, 0)
+    # files without a commit record are not read, and the next attempt replaces them
+    torn = ledger.as_ledger(spark.createDataFrame([("torn", "signal")], "signal_id string, type string"))
+    torn.write.partitionBy("type").json(f"{path}/batch=2")
+    assert ledger.read_batches(spark, path).count() == 6
+    whole = ledger.as_ledger(spark.createDataFrame([("whole", "signal")], "signal_id string, type string"))
+    assert ledger.append_batch(whole, path, 2) and not ledger.append_batch(torn, path, 2)
+    assert {r.signal_id for r in ledger.read_batches(spark, path).where("batch = 2").collect()} == {"whole"}
+
+
+def test_the_order_of_files_decides_under_any_split(spark, tmp_path):
+    path, day = str(tmp_path / "bars"), dt.datetime(2024, 1, 2)
+    rows = [(f" s{i % 5}", day, 1.0, 2.0, 0.5, float(i), 1.0) for i in range(4000)]
+    shape = "symbol string, timestamp timestamp, open double, high double, low double, close double, volume double"
+    for part in range(4):  # files are read in the order of their paths
+        spark.createDataFrame(rows[part * 1000 : part * 1000 + 1000], shape).coalesce(1).write.option("parquet.block.size", 4096).parquet(f"{path}/day={part}")
+    results = []
+    for split in ("1k", "128m"):
+        before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        try:
+            results.append({r.symbol: r.close for r in bar_io.normalize_ohlcv(bar_io.read_bars(spark, path, ingest_order=True)).collect()})
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert results == [{f"S{k}": 3995.0 + k for k in range(5)}] * 2
+    with pytest.raises(ValueError, match="parquet"):
+        bar_io.read_bars(spark, path, "csv", ingest_order=True)

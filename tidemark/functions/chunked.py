@@ -6,8 +6,8 @@ the calendar year of a bar) and still give exactly the unsplit result:
 
 * ``over_chunks``  - bounded row frames (lag, lead, trailing means): each chunk also receives copies of
   the last/first few rows of its neighbours.
-* ``running``      - unbounded running sum/max/min/product: per-chunk running values plus the carry of all
-  earlier chunks.
+* ``running``      - unbounded running sum/max/min/product/last known value: per-chunk running values plus the
+  carry of all earlier chunks.
 
 Only the chunk summaries, a handful of rows per key and chunk, are ever grouped by the bare key. Both helpers read
 their input twice, so give them a stored table, a plain scan, or the result of ``lineage.written``.
@@ -31,9 +31,17 @@ _RUNNING = {
     "max": (F.max, lambda own, carry: F.greatest(own, carry)),
     "min": (F.min, lambda own, carry: F.least(own, carry)),
     "product": (F.product, lambda own, carry: own * F.coalesce(carry, F.lit(1.0))),
+    "last": (lambda c: F.last(c, ignorenulls=True), lambda own, carry: F.coalesce(own, carry)),
 }
 
 
+def _total(kind: str, column: str, order: list[str]) -> Column:
+    """A chunk's own aggregate. A grouping has no order, so the last known value is picked by the order columns."""
+    if kind == "last":
+        return F.max_by(column, F.when(F.col(column).isNotNull(), F.struct(*order)))
+    return _RUNNING[kind][0](F.col(column))
+
+
 def _rim(base: DataFrame, keys: list[str], order: list[str], n: int, leading: bool) -> DataFrame:
     """Copies of the n rows that precede (leading) or follow each chunk, tagged with that chunk."""
     if n == 1:
@@ -109,7 +117,7 @@ def running(
         {name: _RUNNING[kind][0](F.col(column)).over(own) for name, (kind, column) in measures.items()}
     )
     totals = base.groupBy(*keys, CHUNK).agg(
-        *[_RUNNING[kind][0](F.col(column)).alias(f"_t_{name}") for name, (kind, column) in measures.items()]
+        *[_total(kind, column, order).alias(f"_t_{name}") for name, (kind, column) in measures.items()]
     )
     carry = totals.select(
         *keys, CHUNK,

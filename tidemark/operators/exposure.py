@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.chunked import running
+from ..functions.lineage import written
 from ..functions.numeric import rounded
 from ..schemas import require
 from .quality import refuse_empty
@@ -70,16 +72,16 @@ def sector_flows_est(
 def stock_flows_asof(flows: DataFrame, holdings: DataFrame) -> DataFrame:
     """Every flow allocated by the fund's latest known snapshot at or before the flow date, with its age in days.
 
-    The as-of match is made between distinct (fund, date) keys only, then holdings join on equality.
+    The as-of match is made between distinct (fund, date) keys only, year by year with the last known date carried over, so a
+    fund of any length is split; then holdings join on equality.
     """
-    dates = (
-        flows.select("fund_code", "as_of", F.lit(None).cast("date").alias("snapshot"))
-        .union(holdings.select("fund_code", "as_of", F.col("as_of").alias("snapshot")))
+    dates = written(
+        flows.select("fund_code", "as_of", F.lit(None).cast("date").alias("known"))
+        .union(holdings.select("fund_code", "as_of", F.col("as_of").alias("known")))
         .groupBy("fund_code", "as_of")
-        .agg(F.max("snapshot").alias("snapshot"))
+        .agg(F.max("known").alias("known"))
     )
-    past = Window.partitionBy("fund_code").orderBy("as_of").rowsBetween(Window.unboundedPreceding, 0)
-    known = dates.withColumn("snapshot", F.last("snapshot", ignorenulls=True).over(past)).filter("snapshot is not null")
+    known = running(dates, ["fund_code"], ["as_of"], F.year("as_of"), {"snapshot": ("last", "known")}).drop("known").filter("snapshot is not null")
     matched = flows.select("fund_code", F.col("as_of").alias("flow_date"), "net_flow").join(
         known.withColumnRenamed("as_of", "flow_date"), ["fund_code", "flow_date"]
     )

@@ -113,6 +113,16 @@ def normalize_ohlcv(spark: SparkSession, d: str) -> DataFrame:
     return bar_io.normalize_ohlcv(raw, ["seq"])
 
 
+@query("normalize_ohlcv_files", tables=("trades",), sql=f"""
+SELECT symbol, {day('timestamp')} AS timestamp, {', '.join(f'{r6(c)} AS {c}' for c in _PRICES)}
+FROM trades QUALIFY row_number() OVER (PARTITION BY symbol, timestamp ORDER BY seq DESC) = 1""")
+def normalize_ohlcv_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files in ingest order and rows in it inside each, without a column that tells so."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/bars/{uuid.uuid4().hex}"
+    sample.trades(spark, d).repartitionByRange(12, "seq").sortWithinPartitions("seq").drop("seq").write.parquet(path)
+    return bar_io.normalize_ohlcv(bar_io.read_bars(spark, path, ingest_order=True))
+
+
 @query("symbol_universe", sql=f"""
 , s AS (SELECT regexp_replace({strip_sql("upper(coalesce(CASE WHEN p_size % 3 = 1 THEN ' ' || p_brand || ' ' END, CASE WHEN p_size % 3 = 2 THEN p_brand || '.is ' END, p_type))")}, '\\.IS$', '') AS symbol, p_partkey
         FROM part)

@@ -12,6 +12,8 @@ from ..functions.strings import strip
 from ..operators.quality import enforce
 from ..schemas import BAR_COLUMNS, BARS, PRICE_COLUMNS, require
 
+INGEST_ORDER = "ingest_order"
+
 
 def read_bars(
     spark: SparkSession,
@@ -21,13 +23,18 @@ def read_bars(
     start: str | None = None,
     end: str | None = None,
     columns: Mapping[str, Column] | None = None,
+    ingest_order: bool = False,
     **options: str,
 ) -> DataFrame:
     """OHLCV rows of `symbols` in [start, end] from csv, json, parquet or orc files.
 
     `columns` maps the bar columns to expressions when a file uses its own names. Filters on plain columns reach
-    the scan of columnar formats.
+    the scan of columnar formats. With `ingest_order` parquet rows also get the column of that name: their file's path and their
+    number in it, by which later rows replace earlier ones where no column tells (see normalize_ohlcv). It is the same however
+    files are split; files count in the order of their paths.
     """
+    if ingest_order and fmt != "parquet":
+        raise ValueError("only parquet files number their rows")
     if fmt not in {"csv", "json", "parquet", "orc"}:
         raise ValueError(f"unsupported bar format {fmt!r}")
     reader = spark.read.format(fmt).options(**options)
@@ -36,8 +43,11 @@ def read_bars(
         if fmt == "csv":
             reader = reader.option("header", "true")
     frame = reader.load(path if isinstance(path, str) else list(path))
+    place = [F.struct("_metadata.file_path", "_metadata.row_index").alias(INGEST_ORDER)] if ingest_order else []
     if columns is not None:
-        frame = frame.select(*[columns[name].alias(name) for name in BAR_COLUMNS])
+        frame = frame.select(*[columns[name].alias(name) for name in BAR_COLUMNS], *place)
+    elif place:
+        frame = frame.select("*", *place)
     require(frame, BAR_COLUMNS, "bars")
     if symbols is not None:
         frame = frame.filter(F.col("symbol").isin(list(symbols)))
@@ -56,12 +66,12 @@ def keep_last(df: DataFrame, keys: list[str], seq: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(*[F.max_by(c, order).alias(c) for c in rest])
 
 
-def normalize_ohlcv(rows: DataFrame, seq: list[str]) -> DataFrame:
+def normalize_ohlcv(rows: DataFrame, seq: Sequence[str] = (INGEST_ORDER,)) -> DataFrame:
     """Seven typed columns, upper-case symbols, no negatives, one row per (symbol, timestamp): the last ingested.
 
-    Row order is not part of the result; operators order by timestamp themselves.
+    `seq` are the columns that tell the order; by default that of the files, which `read_bars(ingest_order=True)` adds. Row order is not part of the result; operators order by timestamp themselves.
     """
-    require(rows, BAR_COLUMNS, "bars")
+    require(rows, [*BAR_COLUMNS, *seq], "bars")
     kind = rows.schema["timestamp"].dataType.typeName()
     stamp = F.col("timestamp") if kind in {"date", "timestamp", "timestamp_ntz"} else F.col("timestamp").cast("timestamp")
     typed = rows.select(
@@ -72,7 +82,7 @@ def normalize_ohlcv(rows: DataFrame, seq: list[str]) -> DataFrame:
     )
     negative = F.coalesce(F.least(*PRICE_COLUMNS) < 0, F.lit(False))
     checked = enforce(typed, {"OHLCV values cannot be negative": negative}, "fail", "bar")
-    return keep_last(checked, ["symbol", "timestamp"], seq).select(*BAR_COLUMNS)
+    return keep_last(checked, ["symbol", "timestamp"], list(seq)).select(*BAR_COLUMNS)
 
 
 ALIASES = {"time": "timestamp", "datetime": "timestamp", "ticker": "symbol", "code": "symbol"}

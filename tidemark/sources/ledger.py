@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,6 +54,44 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LEDGER).json(path)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def append_batch(facts: DataFrame, path: str, batch_id: int) -> bool:
+    """Append the facts of a numbered batch once: False if the batch has been committed before.
+
+    A batch has a folder of its own and, when all its files are there, a commit record. A batch that failed half way has no
+    record: nobody reads its files, and the next attempt overwrites them. So a replayed micro-batch adds nothing, whatever
+    the facts it brings, and readers never see part of one.
+    """
+    spark, record = facts.sparkSession, f"{path}/_commits/batch={batch_id}"
+    if _exists(spark, f"{record}/_SUCCESS"):
+        return False
+    facts.write.mode("overwrite").partitionBy("type").json(f"{path}/batch={batch_id}")
+    spark.range(1).select(F.lit(batch_id).cast("long").alias("number"), F.current_timestamp().alias("committed_at")).write.mode("overwrite").json(record)
+    return True
+
+
+def ledger_writer(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink for a stream of facts in the ledger's schema."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        append_batch(as_ledger(batch), path, batch_id)
+
+    return write
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """The facts of all committed batches, with their number as `batch`; folders without a commit record are not scanned."""
+    if not _exists(spark, f"{path}/_commits"):
+        return spark.createDataFrame([], T.StructType([*LEDGER.fields, T.StructField("batch", T.LongType())]))
+    committed = spark.read.schema("number long").json(f"{path}/_commits")
+    facts = spark.read.schema(T.StructType([*LEDGER.fields, T.StructField("batch", T.LongType())])).json(path)
+    return facts.join(committed.select(F.col("number").alias("batch")).distinct(), "batch", "left_semi").select(*LEDGER.fieldNames(), "batch")
+
+
 def append_rows(rows: DataFrame, path: str, schema: T.StructType) -> None:
     """Append equity snapshots or experiment feedback as JSON lines in their declared columns."""
     require(rows, schema.fieldNames(), "ledger rows")
