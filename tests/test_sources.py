@@ -224,3 +224,23 @@ def test_the_order_of_files_decides_under_any_split(spark, tmp_path):
     assert results == [{f"S{k}": 3995.0 + k for k in range(5)}] * 2
     with pytest.raises(ValueError, match="parquet"):
         bar_io.read_bars(spark, path, "csv", ingest_order=True)
+
+
+def test_broken_files_are_skipped_and_counted(spark, tmp_path):
+    path, day = tmp_path / "many", dt.datetime(2024, 1, 2)
+    shape = "symbol string, timestamp timestamp, open double, high double, low double, close double, volume double"
+    rows = [(s, day + dt.timedelta(days=k), 1.0, 2.0, 0.5, 1.5, 9.0) for s in "ABC" for k in range(3)]
+    for _ in range(2):  # two files a symbol
+        spark.createDataFrame(rows, shape).repartition(1).write.mode("append").partitionBy("symbol").parquet(str(path))
+    next((path / "symbol=A").glob("part-*")).write_bytes(b"PAR1 not a parquet file PAR1")
+    for file in (path / "symbol=B").glob("part-*"):
+        file.write_bytes(b"PAR1")
+    for crc in path.glob("symbol=*/.*.crc"):
+        crc.unlink()
+    bars, report = bar_io.read_tolerant(spark, str(path))
+    assert {r.symbol: (r.files, r.failed_files, r.rows) for r in report.collect()} == {"A": (2, 1, 3), "B": (2, 2, 0), "C": (2, 0, 6)}
+    assert sorted(r.symbol for r in bars.collect()) == list("AAACCCCCC")
+    for file in path.glob("symbol=[AC]/part-*"):
+        file.write_bytes(b"x")
+    with pytest.raises(PySparkException, match="no market rows"):
+        bar_io.read_tolerant(spark, str(path))[1].collect()

@@ -114,7 +114,7 @@ def normalize_ohlcv(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("normalize_ohlcv_files", tables=("trades",), sql=f"""
-SELECT symbol, {day('timestamp')} AS timestamp, {', '.join(f'{r6(c)} AS {c}' for c in _PRICES)}
+SELECT upper(symbol) AS symbol, {day('timestamp')} AS timestamp, {', '.join(f'{r6(c)} AS {c}' for c in _PRICES)}
 FROM trades QUALIFY row_number() OVER (PARTITION BY symbol, timestamp ORDER BY seq DESC) = 1""")
 def normalize_ohlcv_files(spark: SparkSession, d: str) -> DataFrame:
     """Files in ingest order and rows in it inside each, without a column that tells so."""
@@ -123,6 +123,16 @@ def normalize_ohlcv_files(spark: SparkSession, d: str) -> DataFrame:
     return bar_io.normalize_ohlcv(bar_io.read_bars(spark, path, ingest_order=True))
 
 
+@query("read_tolerant", tables=("bars",), sql="""
+SELECT symbol, 1 AS files, 0 AS failed_files, count(*) AS rows FROM bars GROUP BY symbol UNION ALL SELECT 'BROKEN', 1, 1, 0""")
+def read_tolerant(spark: SparkSession, d: str) -> DataFrame:
+    """A file a symbol, and one that is no parquet file."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/bars/{uuid.uuid4().hex}"
+    sample.bars(spark, d).withColumn("timestamp", F.col("timestamp").cast("timestamp")).repartition("symbol").write.partitionBy("symbol").parquet(path)
+    spark.createDataFrame([("no bars",)], "value string").coalesce(1).write.text(f"{path}/symbol=BROKEN")
+    return bar_io.read_tolerant(spark, path)[1]
+
+
 @query("symbol_universe", sql=f"""
 , s AS (SELECT regexp_replace({strip_sql("upper(coalesce(CASE WHEN p_size % 3 = 1 THEN ' ' || p_brand || ' ' END, CASE WHEN p_size % 3 = 2 THEN p_brand || '.is ' END, p_type))")}, '\\.IS$', '') AS symbol, p_partkey
         FROM part)

@@ -110,3 +110,24 @@ def collect_universe(bars: DataFrame, universe: DataFrame) -> tuple[DataFrame, D
     )
     none = F.raise_error(F.lit("no market rows returned for any symbol")).cast("boolean")
     return present, coverage.filter(F.when(F.col("rows") == 0, none).otherwise(F.lit(True)))
+
+
+def read_tolerant(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(bars, report) of a folder of parquet files by symbol (`symbol=A/...`), some of which may be broken.
+
+    Files that cannot be read are skipped. The report has a row a symbol with a folder: files, failed_files (those that gave no row)
+    and rows. It lists the folder without reading any content, and takes the rest from the files the rows came from. A file
+    that breaks off gives the rows before the break and does not count as failed; one of no bytes is not a file here. No row at all is an error when the report is read.
+    """
+    file = F.col("_metadata.file_path").alias("_file")
+    bars = spark.read.schema(BARS).option("ignoreCorruptFiles", "true").parquet(path)
+    found = bars.select(file).groupBy("_file").agg(F.count(F.lit(1)).alias("_rows"))
+    listed = spark.read.format("binaryFile").load(path).select(F.col("symbol").cast("string").alias("symbol"), file)
+    report = listed.join(found, "_file", "left").groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("files"),
+        F.count_if(F.col("_rows").isNull()).alias("failed_files"),
+        F.coalesce(F.sum("_rows"), F.lit(0)).alias("rows"),
+    )
+    none = F.raise_error(F.lit("no market rows returned for any symbol")).cast("boolean")
+    some = report.agg(F.sum("rows") > 0).scalar()
+    return bars, report.filter(F.when(some, F.lit(True)).otherwise(none))
