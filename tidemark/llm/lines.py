@@ -252,12 +252,82 @@ def _near(left: str, right: str, similarity: float) -> str:
     return f"abs({left}.letters - {right}.letters) <= {1 - similarity!r}D * greatest({left}.letters, {right}.letters) + 1e-6D"
 
 
+def _profiles(texts: list[str]) -> np.ndarray:
+    """Trigrams of each text, counted in 256 bins."""
+    out = np.zeros((len(texts), 256), np.int32)
+    for k, text in enumerate(texts):
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64)
+        out[k] = np.bincount((mix(codes[:-2] * U64(1 << 42) + codes[1:-1] * U64(1 << 21) + codes[2:]) & U64(255)).astype(np.int64), minlength=256) if len(codes) > 2 else 0
+    return out
+
+
+def _compare(similarity: float) -> Callable[[pa.Table], pa.Table]:
+    def compare(table: pa.Table) -> pa.Table:
+        """Links between the left and right lines of two blocks that lie in different components: a forest of them.
+
+        An edit takes three trigrams at most and brings as many, so binned counts rule out most pairs, a line against all others
+        at a time; edits are counted for the pairs left, unless the links found so far connect them.
+        """
+        side, node, c = (table[k].to_numpy() for k in ("side", "node", "c"))
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        texts = table["normal"].to_pylist()
+        length = np.array([len(t) for t in texts])
+        profile = _profiles(texts)
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        links = []
+        for i in left.tolist():
+            to = right[(c[right] != c[i]) & ((side[right] != 2) | (right > i))]
+            most = ((1 - similarity) * np.maximum(length[to], length[i]) + 1e-9).astype(np.int64)
+            to, most = to[np.abs(length[to] - length[i]) <= most], most[np.abs(length[to] - length[i]) <= most]
+            to = to[np.abs(profile[to] - profile[i]).sum(axis=1) <= 6 * most]
+            for j in to.tolist():
+                x, y = find(int(c[i])), find(int(c[j]))
+                if x != y and similar(texts[i], texts[j], similarity):
+                    root[max(x, y)] = min(x, y)
+                    links.append((int(node[i]), int(node[j])))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return compare
+
+
+def _open_links(open_: DataFrame, normal: DataFrame, similarity: float, lines: int = 512, letters: int = 1 << 20) -> DataFrame:
+    """Links between lines of a bucket that are in different components: (block, node, letters, c, main) of buckets with several.
+
+    The bucket's commonest component and the other lines are cut into blocks of bounded size. Every block of the others meets
+    every block of the component and of the others in a task of its own, which returns a forest of links, not pairs. Buckets
+    of the same lines say the same once.
+    """
+    rest = F.col("c") != F.col("main")
+    many = lambda of: F.greatest(F.lit(1), F.ceil(F.count_if(of) / lines), F.ceil(F.sum(F.when(of, F.col("letters")).otherwise(0)) / letters)).cast("int")
+    sizes = open_.groupBy("block").agg(
+        many(~rest).alias("m"), many(rest).alias("r"), F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("sum_a"),
+        F.sum(F.xxhash64("letters", "node").cast("decimal(20,0)")).alias("sum_b"))
+    once = sizes.groupBy("members", "sum_a", "sum_b").agg(F.min_by(F.struct("block", "m", "r"), "block").alias("_")).select("_.*")
+    part = F.pmod(F.xxhash64("node"), F.when(rest, F.col("r")).otherwise(F.col("m"))).cast("int")
+    task = lambda p, q, side: F.struct(p.cast("int").alias("p"), q.cast("int").alias("q"), F.lit(side).alias("side"))
+    among = F.sequence(F.lit(0), F.col("r") - 1)
+    of_main = F.transform(among, lambda q: task(F.col("part"), q, 0))
+    of_rest = F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda p: task(p, F.col("part"), 1)),
+        F.transform(among, lambda o: F.when(o == F.col("part"), task(F.col("m") + o, o, 2)).when(o < F.col("part"), task(F.col("m") + o, F.col("part"), 1))
+                    .otherwise(task(F.col("m") + F.col("part"), o, 0))))
+    rows = open_.join(once, "block").withColumn("part", part).join(normal, "node")
+    rows = rows.select("block", "node", "c", "normal", F.inline(F.when(rest, of_rest).otherwise(of_main)))
+    return rows.groupBy("block", "p", "q").applyInArrow(_compare(similarity), "a long, b long").distinct()
+
+
 def _groups(places: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """(node, component) of all distinct normal lines that are linked with others.
 
     First each line is compared with the smallest line of each of its buckets; so groups of many alike lines become one
     component by as many comparisons. Then in every bucket the lines outside its commonest component are compared with
-    those of other components.
+    those of other components, block by block.
     """
     marks = texts.select("doc_id", "row", "text").mapInArrow(_marked(similarity), "letters long, node long, block long")
     bucket = Window.partitionBy("block")
@@ -270,14 +340,11 @@ def _groups(places: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     found = components(links)
     placed = met.join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
     mixed = placed.groupBy("block").agg(F.min("c").alias("c_min"), F.max("c").alias("c_max"), F.mode("c", True).alias("main")).where("c_min <> c_max")
-    open_ = placed.join(mixed.select("block", "main"), "block").select("block", "node", "letters", "c", "main")
-    rest = open_.where("c <> main").alias("l").join(open_.alias("r"), F.expr(
-        f"l.block = r.block and l.c <> r.c and (r.c = l.main or l.node < r.node) and {_near('l', 'r', similarity)}"))
-    rest = rest.select(F.greatest("l.node", "r.node").alias("a"), F.least("l.node", "r.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    rest = stored(rest)
-    if rest.isEmpty():
+    open_ = stored(placed.join(mixed.select("block", "main"), "block").select("block", "node", "letters", "c", "main"))
+    if open_.isEmpty():
         return found
-    more = _confirmed(rest, places, texts, similarity)
+    nodes = open_.select(F.col("node").alias("a"), F.col("node").alias("b")).distinct()
+    more = stored(_open_links(open_, stored(_fetched(nodes, places, texts)), similarity))
     return found if more.isEmpty() else joined(found, more)
 
 
