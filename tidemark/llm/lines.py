@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, counted_ranges, free_name, mix, slices, span_hashes, stored, utf8
+from .common import U64, counted_ranges, free_name, mix, pieces_of, slices, span_hashes, stored, utf8
 from .components import components, joined
 from .lexicon import edit_distance, normal_words
 from .minhash import min_max
@@ -263,16 +263,18 @@ def _profiles(texts: list[str]) -> np.ndarray:
 
 def _compare(similarity: float) -> Callable[[pa.Table], pa.Table]:
     def compare(table: pa.Table) -> pa.Table:
-        """Links between the left and right lines of two blocks that lie in different components: a forest of them.
+        """Links between the left and right lines of every task in the table that lie in different components: a forest of them.
 
         An edit takes three trigrams at most and brings as many, so binned counts rule out most pairs, a line against all others
         at a time; edits are counted for the pairs left, unless the links found so far connect them.
         """
+        table = table.sort_by([("block", "ascending"), ("p", "ascending"), ("q", "ascending")])
         side, node, c = (table[k].to_numpy() for k in ("side", "node", "c"))
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        texts = table["normal"].to_pylist()
-        length = np.array([len(t) for t in texts])
-        profile = _profiles(texts)
+        task = np.stack([table[k].to_numpy() for k in ("block", "p", "q")])
+        cuts = np.concatenate(([0], np.flatnonzero((task[:, 1:] != task[:, :-1]).any(axis=0)) + 1, [table.num_rows]))
+        _, first, text_of = np.unique(node, return_index=True, return_inverse=True)
+        texts = table["normal"].take(pa.array(first)).to_pylist()
+        length, profile = np.array([len(t) for t in texts]), _profiles(texts)
         root: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -281,16 +283,20 @@ def _compare(similarity: float) -> Callable[[pa.Table], pa.Table]:
             return x
 
         links = []
-        for i in left.tolist():
-            to = right[(c[right] != c[i]) & ((side[right] != 2) | (right > i))]
-            most = ((1 - similarity) * np.maximum(length[to], length[i]) + 1e-9).astype(np.int64)
-            to, most = to[np.abs(length[to] - length[i]) <= most], most[np.abs(length[to] - length[i]) <= most]
-            to = to[np.abs(profile[to] - profile[i]).sum(axis=1) <= 6 * most]
-            for j in to.tolist():
-                x, y = find(int(c[i])), find(int(c[j]))
-                if x != y and similar(texts[i], texts[j], similarity):
-                    root[max(x, y)] = min(x, y)
-                    links.append((int(node[i]), int(node[j])))
+        for start, stop in zip(cuts, cuts[1:]):
+            rows = np.arange(start, stop)
+            left, right = rows[side[rows] != 1], rows[side[rows] != 0]
+            right_text, right_c, both = text_of[right], c[right], side[right] == 2
+            for i in left.tolist():
+                t = text_of[i]
+                most = ((1 - similarity) * np.maximum(length[right_text], length[t]) + 1e-9).astype(np.int64)
+                near = np.flatnonzero((right_c != c[i]) & (~both | (right > i)) & (np.abs(length[right_text] - length[t]) <= most))
+                near = near[np.abs(profile[right_text[near]] - profile[t]).sum(axis=1) <= 6 * most[near]]
+                for j in near.tolist():
+                    x, y = find(int(c[i])), find(int(right_c[j]))
+                    if x != y and similar(texts[t], texts[right_text[j]], similarity):
+                        root[max(x, y)] = min(x, y)
+                        links.append((int(node[i]), int(node[right[j]])))
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return compare
@@ -300,9 +306,10 @@ def _open_links(open_: DataFrame, normal: DataFrame, similarity: float, lines: i
     """Links between lines of a bucket that are in different components: (block, node, letters, c, main) of buckets with several.
 
     The bucket's commonest component and the other lines are cut into blocks of bounded size. Every block of the others meets
-    every block of the component and of the others in a task of its own, which returns a forest of links, not pairs. Buckets
-    of the same lines say the same once.
+    every block of the component and of the others; such meetings are dealt into groups of some thousand lines, which return a
+    forest of links, not pairs. Buckets of the same lines say the same once.
     """
+    groups = pieces_of(open_.count(), 4096)
     rest = F.col("c") != F.col("main")
     many = lambda of: F.greatest(F.lit(1), F.ceil(F.count_if(of) / lines), F.ceil(F.sum(F.when(of, F.col("letters")).otherwise(0)) / letters)).cast("int")
     sizes = open_.groupBy("block").agg(
@@ -319,7 +326,8 @@ def _open_links(open_: DataFrame, normal: DataFrame, similarity: float, lines: i
                     .otherwise(task(F.col("m") + F.col("part"), o, 0))))
     rows = open_.join(once, "block").withColumn("part", part).join(normal, "node")
     rows = rows.select("block", "node", "c", "normal", F.inline(F.when(rest, of_rest).otherwise(of_main)))
-    return rows.groupBy("block", "p", "q").applyInArrow(_compare(similarity), "a long, b long").distinct()
+    dealt = rows.withColumn("dealt", F.pmod(F.xxhash64("block", "p", "q"), F.lit(groups)).cast("int"))
+    return dealt.groupBy("dealt").applyInArrow(_compare(similarity), "a long, b long").distinct()
 
 
 def _groups(places: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
