@@ -266,7 +266,7 @@ def _compare(similarity: float) -> Callable[[pa.Table], pa.Table]:
         """Links between the left and right lines of every task in the table that lie in different components: a forest of them.
 
         An edit takes three trigrams at most and brings as many, so binned counts rule out most pairs, a line against all others
-        at a time; edits are counted for the pairs left, unless the links found so far connect them.
+        at a time; edits are counted once for each of the pairs left, unless the links found so far connect them.
         """
         table = table.sort_by([("block", "ascending"), ("p", "ascending"), ("q", "ascending")])
         side, node, c = (table[k].to_numpy() for k in ("side", "node", "c"))
@@ -282,21 +282,26 @@ def _compare(similarity: float) -> Callable[[pa.Table], pa.Table]:
                 x = root[x]
             return x
 
-        links = []
+        links, apart = [], set()
         for start, stop in zip(cuts, cuts[1:]):
             rows = np.arange(start, stop)
             left, right = rows[side[rows] != 1], rows[side[rows] != 0]
             right_text, right_c, both = text_of[right], c[right], side[right] == 2
             for i in left.tolist():
-                t = text_of[i]
+                t = int(text_of[i])
                 most = ((1 - similarity) * np.maximum(length[right_text], length[t]) + 1e-9).astype(np.int64)
                 near = np.flatnonzero((right_c != c[i]) & (~both | (right > i)) & (np.abs(length[right_text] - length[t]) <= most))
                 near = near[np.abs(profile[right_text[near]] - profile[t]).sum(axis=1) <= 6 * most[near]]
                 for j in near.tolist():
-                    x, y = find(int(c[i])), find(int(right_c[j]))
-                    if x != y and similar(texts[t], texts[right_text[j]], similarity):
+                    x, y, u = find(int(c[i])), find(int(right_c[j])), int(right_text[j])
+                    pair = (min(t, u), max(t, u))
+                    if x == y or pair in apart:
+                        continue
+                    if similar(texts[t], texts[u], similarity):
                         root[max(x, y)] = min(x, y)
                         links.append((int(node[i]), int(node[right[j]])))
+                    else:
+                        apart.add(pair)
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return compare
@@ -313,9 +318,9 @@ def _open_links(open_: DataFrame, normal: DataFrame, similarity: float, lines: i
     rest = F.col("c") != F.col("main")
     many = lambda of: F.greatest(F.lit(1), F.ceil(F.count_if(of) / lines), F.ceil(F.sum(F.when(of, F.col("letters")).otherwise(0)) / letters)).cast("int")
     sizes = open_.groupBy("block").agg(
-        many(~rest).alias("m"), many(rest).alias("r"), F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("sum_a"),
+        many(~rest).alias("m"), many(rest).alias("r"), F.min("node").alias("lowest"), F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("sum_a"),
         F.sum(F.xxhash64("letters", "node").cast("decimal(20,0)")).alias("sum_b"))
-    once = sizes.groupBy("members", "sum_a", "sum_b").agg(F.min_by(F.struct("block", "m", "r"), "block").alias("_")).select("_.*")
+    once = sizes.groupBy("members", "sum_a", "sum_b").agg(F.min_by(F.struct("block", "m", "r", "lowest"), "block").alias("_")).select("_.*")
     part = F.pmod(F.xxhash64("node"), F.when(rest, F.col("r")).otherwise(F.col("m"))).cast("int")
     task = lambda p, q, side: F.struct(p.cast("int").alias("p"), q.cast("int").alias("q"), F.lit(side).alias("side"))
     among = F.sequence(F.lit(0), F.col("r") - 1)
@@ -325,8 +330,9 @@ def _open_links(open_: DataFrame, normal: DataFrame, similarity: float, lines: i
         F.transform(among, lambda o: F.when(o == F.col("part"), task(F.col("m") + o, o, 2)).when(o < F.col("part"), task(F.col("m") + o, F.col("part"), 1))
                     .otherwise(task(F.col("m") + F.col("part"), o, 0))))
     rows = open_.join(once, "block").withColumn("part", part).join(normal, "node")
-    rows = rows.select("block", "node", "c", "normal", F.inline(F.when(rest, of_rest).otherwise(of_main)))
-    dealt = rows.withColumn("dealt", F.pmod(F.xxhash64("block", "p", "q"), F.lit(groups)).cast("int"))
+    rows = rows.select("block", "lowest", "node", "c", "normal", F.inline(F.when(rest, of_rest).otherwise(of_main)))
+    # Buckets that share their lowest line share most others: they meet in one group, which counts a pair's edits once.
+    dealt = rows.withColumn("dealt", F.pmod(F.xxhash64("lowest", "p", "q"), F.lit(groups)).cast("int")).drop("lowest")
     return dealt.groupBy("dealt").applyInArrow(_compare(similarity), "a long, b long").distinct()
 
 
