@@ -44,7 +44,8 @@ def pieces_of(total: int, each: int) -> int:
 def sieved(df: DataFrame, keys: DataFrame, column: str, bits: int = 23) -> DataFrame:
     """Rows of `df` whose `column` may be among that of `keys`, and all that are: most others are dropped before any shuffle.
 
-    The keys mark a table of 2^bits bits, 2^(bits - 6) rows at most whatever the data, so it may be broadcast.
+    The keys mark a table of 2^bits bits, 2^(bits - 6) rows at most whatever the data, so it may be broadcast. Follow it with an
+    inner join: Spark pushes a semi join below it, to where the rows have not been dropped yet.
     """
     at = F.pmod(F.xxhash64(column), F.lit(1 << bits))
     bit = lambda word, place: F.call_function(word, place, F.pmod(F.col("_at"), F.lit(64)).cast("int"))

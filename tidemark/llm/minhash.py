@@ -187,7 +187,8 @@ def minhash_groups(docs: DataFrame, percent: int = 85, width: int = 5, bands: in
     hot = marks.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("least")).where("members > 1")
     met = stored(marks.join(hot, "band").select("band", "members", "least", F.col("doc_id").alias("a"), F.col("n_shingles").alias("n")))
     needed = met.select(F.col("a").alias("doc_id")).distinct()
-    sets = stored(sieved(texts, needed, "doc_id").join(needed, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, shingles binary").dropDuplicates(["doc_id", "shingles"]))
+    # An inner join: a semi join would be pushed below the sieve. The needed ids are distinct.
+    sets = stored(sieved(texts, needed, "doc_id").join(needed, "doc_id").select("doc_id", "text").mapInArrow(_sets(width), "doc_id long, shingles binary").dropDuplicates(["doc_id", "shingles"]))
     star = met.where("a <> least").select("a", F.col("least").alias("b")).distinct()
     links = stored(_confirmed(star, sets, percent))
     found = components(links)
