@@ -344,6 +344,30 @@ def test_vectors_of_a_dense_group_are_counted_in_full(spark):
     assert {(r.n_links, r.component_id) for r in near_duplicate_vectors(df, trees=4, leaf_rows=50).collect()} == {(399, 0)}
 
 
+def test_vectors_linked_only_through_a_later_one(spark):
+    """Three at steps of 20 degrees, the middle one in every order: both its links count, and all are one component."""
+    for turns in itertools.permutations((0, 20, 40)):
+        vectors = [(k, [float(np.cos(np.radians(t))), float(np.sin(np.radians(t)))]) for k, t in enumerate(turns)]
+        got = near_duplicate_vectors(spark.createDataFrame(vectors, "vec_id long, embedding array<double>").coalesce(1)).collect()
+        assert {(r.vec_id, r.n_links, r.component_id) for r in got} == {(k, 2 if t == 20 else 1, 0) for k, t in enumerate(turns)}
+
+
+def test_links_of_a_loose_and_of_a_bridged_group_are_counted_in_full(spark):
+    """Groups of many leaves: one at cosines on both sides of the limit, one tight with an outlier that links with a part of it."""
+    draw = np.random.default_rng(6)
+    centre, side = np.eye(32)[0], np.eye(32)[1]
+    loose = centre + draw.normal(size=(1500, 32)) * 0.055
+    tight = -centre + draw.normal(size=(900, 32)) * 0.01
+    x = np.concatenate((loose, tight, [-centre + 0.483 * side], draw.normal(size=(200, 32))))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.9
+    df = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in near_duplicate_vectors(df, leaf_rows=100).collect()}
+    assert [got[k].n_links for k in range(len(x))] == (near.sum(axis=1) - 1).tolist()
+    assert 0 < near[2400, 1500:2400].sum() < 900 and near[:1500, :1500].mean() < 0.99
+    assert {got[k].component_id for k in range(1500)} == {0} and {got[k].component_id for k in range(1500, 2401)} == {1500}
+
+
 # 8: language model
 
 
