@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import re
 
 import pytest
 from pyspark.errors import PySparkException
@@ -244,3 +245,21 @@ def test_broken_files_are_skipped_and_counted(spark, tmp_path):
         file.write_bytes(b"x")
     with pytest.raises(PySparkException, match="no market rows"):
         bar_io.read_tolerant(spark, str(path))[1].collect()
+
+
+def test_files_in_ingest_order_grow_in_number_with_the_rows(spark, sf_dir, monkeypatch):
+    """A task sorts one file's rows, so more rows are more files; the bars are the same."""
+    from tidemark.plans import queries_ingest
+    plain = sorted(map(tuple, queries_ingest.normalize_ohlcv_files(spark, sf_dir).collect()))
+    monkeypatch.setattr(queries_ingest, "_FILE_ROWS", 200)
+    bars = queries_ingest.normalize_ohlcv_files(spark, sf_dir)
+    assert len(bars.inputFiles()) >= spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // 200
+    assert sorted(map(tuple, bars.collect())) == plain
+
+
+def test_rows_with_file_paths_are_reduced_before_they_are_sorted(spark, tmp_path):
+    path = str(tmp_path / "ordered")
+    spark.sql("select 'A' symbol, date'2024-01-02' timestamp, 1D open, 1D high, 1D low, double(id) close, 1D volume from range(100)").write.parquet(path)
+    plan = bar_io.normalize_ohlcv(bar_io.read_bars(spark, path, ingest_order=True))._jdf.queryExecution().sparkPlan().toString()
+    kinds = re.findall(r"(\w+Aggregate)\(", plan)
+    assert kinds[-1] == "HashAggregate" and "SortAggregate" in kinds

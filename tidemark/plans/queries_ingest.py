@@ -14,6 +14,7 @@ from .domain_sql import day, moment, r6, strip_sql
 from .registry import query
 
 _PRICES = "open high low close volume".split()
+_FILES, _FILE_ROWS = 12, 1_000_000  # ingest files: so many at least, and no more rows in one, which a task sorts
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
@@ -119,7 +120,8 @@ FROM trades QUALIFY row_number() OVER (PARTITION BY symbol, timestamp ORDER BY s
 def normalize_ohlcv_files(spark: SparkSession, d: str) -> DataFrame:
     """Files in ingest order and rows in it inside each, without a column that tells so."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/bars/{uuid.uuid4().hex}"
-    sample.trades(spark, d).repartitionByRange(12, "seq").sortWithinPartitions("seq").drop("seq").write.parquet(path)
+    files = max(_FILES, -(-_lines(spark, d).count() // _FILE_ROWS))
+    sample.trades(spark, d).repartitionByRange(files, "seq").sortWithinPartitions("seq").drop("seq").write.parquet(path)
     return bar_io.normalize_ohlcv(bar_io.read_bars(spark, path, ingest_order=True))
 
 

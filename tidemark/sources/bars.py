@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numeric import known, number
 from ..functions.strings import strip
@@ -63,6 +64,10 @@ def keep_last(df: DataFrame, keys: list[str], seq: list[str]) -> DataFrame:
     """Last row per key in ingest order, as an aggregate that combines before the shuffle; `seq` must be unique."""
     order = F.col(seq[0]) if len(seq) == 1 else F.struct(*seq)
     rest = [c for c in df.columns if c not in {*keys, *seq}]
+    if list(seq) == [INGEST_ORDER] and isinstance(df.schema[INGEST_ORDER].dataType, T.StructType):  # numbers alone decide inside a file, in fixed-width buffers; then a row a file is left
+        numbered = df.select(*keys, *rest, F.col(f"{INGEST_ORDER}.file_path").alias("_file"), F.col(f"{INGEST_ORDER}.row_index").alias("_row"))
+        df = numbered.groupBy(*keys, "_file").agg(*[F.max_by(c, "_row").alias(c) for c in rest])
+        order = F.col("_file")
     return df.groupBy(*keys).agg(*[F.max_by(c, order).alias(c) for c in rest])
 
 
