@@ -6,7 +6,9 @@ import sys
 import unicodedata
 from functools import cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,10 +76,13 @@ def ticker(c: str | Column, suffix: bool = True) -> Column:
     return F.regexp_replace(text, TICKER_SUFFIX, "") if suffix else text
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Compatibility normal form; Spark has no builtin for it. Arrow batches, one vector per batch."""
-    return text.map(lambda value: unicodedata.normalize("NFKC", value), na_action="ignore")
+@F.arrow_udf(T.StringType())
+def nfkc(text: pa.Array) -> pa.Array:
+    """Compatibility normal form; Spark has no builtin for it. About a MB of an Arrow batch (a longer text alone) at a time becomes Python strings."""
+    megabyte = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False), dtype=np.int64) >> 20
+    cuts = [0, *(np.flatnonzero(np.diff(megabyte)) + 1).tolist(), len(text)]
+    normal = lambda value: None if value is None else unicodedata.normalize("NFKC", value)
+    return pa.concat_arrays([pa.array([normal(value) for value in text.slice(a, b - a).to_pylist()], pa.string()) for a, b in zip(cuts, cuts[1:])])
 
 
 def headline(c: str | Column, unicode_form: bool = True) -> Column:
