@@ -578,3 +578,18 @@ def test_edited_counts_of_all_rows(spark, sf_dir, awkward, empty, byte_counter):
 def test_release_masks_the_first_address(spark):
     df = spark.createDataFrame([(1, "write to a.b@c.org or d@e.com\nlast x@y.org", "s"), (2, "only\nx@y.org", "s")], "doc_id long, text string, source string")
     assert {r.doc_id: r.edited for r in edited_token_counts(release_edits(df)).collect()} == {1: "s: write to [email] or d@e.com", 2: "s: only"}
+
+
+def test_copies_of_a_string_are_in_order_without_sorting(monkeypatch):
+    """300 copies of one string and one that differs at its end: only suffixes that may differ are sorted, and the order is the plain one."""
+    from tidemark.llm import suffixes
+
+    draw = np.random.default_rng(8)
+    one = bytes(draw.integers(97, 123, 120).tolist())
+    text = np.frombuffer(b"\0".join([one] * 300 + [one[:-1] + b"~"]) + b"\0", np.uint8)
+    at, sizes, plain = np.flatnonzero(text), [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: sizes.append(len(keys[0])) or plain(keys))
+    order = suffixes._sorted_directly(at, suffixes._eights(text), 100)
+    raw = text.tobytes()
+    assert order.tolist() == sorted(at.tolist(), key=lambda k: (raw[k : k + 104].split(b"\0")[0], k))
+    assert sum(sizes) < 2 * len(at)

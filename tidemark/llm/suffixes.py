@@ -44,9 +44,11 @@ def _sorted_directly(at: np.ndarray, eights: np.ndarray, depth: int) -> np.ndarr
         if not len(slots):
             break
         key = eights[order[slots] + passed]
-        inner = np.lexsort((key, group))
-        order[slots] = order[slots][inner]
-        key, group = key[inner], group[inner]
+        mixed = np.zeros(int(group[-1]) + 1, bool)
+        mixed[group[1:][(key[1:] != key[:-1]) & (group[1:] == group[:-1])]] = True
+        at = np.flatnonzero(mixed[group])  # most groups are copies of one string, in order already
+        inner = at[np.lexsort((key[at], group[at]))]
+        order[slots[at]], key[at] = order[slots[inner]], key[inner]
         group = np.cumsum(np.concatenate(([0], (group[1:] != group[:-1]) | (key[1:] != key[:-1]))))
     return order
 
