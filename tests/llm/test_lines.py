@@ -1,11 +1,15 @@
 """Lines of one bucket that the first comparison left apart: blocks must link what all pairs link, by a forest."""
 
+import itertools
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm.components import components
-from tidemark.llm.lines import _open_links, similar
+from tidemark.llm.lexicon import edit_distance
+from tidemark.llm.lines import _MARK, _Lines, _meet, _open_links, budget, few_edits, similar
 
 
 def reached(links, start):
@@ -38,3 +42,50 @@ def test_open_lines_of_a_bucket(spark, lines, letters):
     assert all(similar(texts[a], texts[b], 0.9) for a, b in got) and len(pairs) > 20
     if lines == 512 and letters > 1000:
         assert len(got) < len(texts)  # a forest, and equal buckets once
+
+
+def test_edits_of_many_pairs_at_a_time():
+    rng = random.Random(1)
+    a, b, most = [], [], []
+    for n in range(600):
+        letters = rng.choice(["ab", "abcdefgh", "aé中", "a\U0001f600b"])
+        x = "".join(rng.choice(letters) for _ in range(rng.randint(0, 40) if n else 2000))
+        y = list(x)
+        for _ in range(rng.randint(0, 9)):
+            k = rng.randint(0, len(y))
+            y[k : k + rng.randint(0, 1)] = rng.choice(["", *letters])
+        a.append(x)
+        b.append("".join(y))
+        most.append(rng.randint(0, 9) if n else 200)
+    want = [edit_distance(list(x), list(y))[0] <= k for x, y, k in zip(a, b, most)]
+    assert 100 < sum(want) < 550
+    for room in (1 << 19, 50):
+        assert few_edits(a, b, np.array(most), room).tolist() == want
+    assert few_edits([], [], np.array([], int)).tolist() == []
+
+
+def test_lines_of_a_bucket_meet_once():
+    """Two to four lines are compared in all pairs and not opened again; of more, all but the smallest may be."""
+    buckets = {7: range(2), 8: range(10, 14), 9: range(20, 26), 10: [30], 11: [40, 41]}
+    marks = np.array([(key, node, 900 if node == 41 else 100 + node) for key, nodes in buckets.items() for node in [*nodes, *nodes][::-1]], _MARK)
+    parts = [m.tobytes() for m in np.array_split(marks, 3)]
+    met = _meet(0.9)(pa.table({"part": pa.array([5, 5, 5], pa.int32()), "marks": pa.array(parts, pa.binary())})).to_pylist()
+    pairs = sorted((r["b"], r["a"]) for r in met if r["block"] is None)
+    assert pairs == [(0, 1), *itertools.combinations(range(10, 14), 2), *((20, n) for n in range(21, 26))]
+    assert sorted((r["block"], r["a"], r["letters"]) for r in met if r["block"] is not None) == [((5 << 32) + 9, n, 100 + n) for n in range(21, 26)]
+    assert _meet(0.9)(pa.table({"part": pa.array([5], pa.int32()), "marks": pa.array([marks[:0].tobytes()], pa.binary())})).num_rows == 0
+
+
+def test_segments_meet_within_five_edits():
+    """Lines of up to 59 letters at similarity 0.9 share a segment key."""
+    rng = random.Random(2)
+    for _ in range(300):
+        x = "".join(rng.choice("abcdeé ") for _ in range(rng.randint(12, 57))).strip() or "a"
+        x = " ".join(x.split())
+        y = list(x)
+        for _ in range(budget(len(x), 0.9)):
+            y[rng.randrange(len(y))] = rng.choice("xyz")
+        y = " ".join("".join(y).split())
+        if x != y and similar(x, y, 0.9) and budget(max(len(x), len(y)), 0.9):
+            keys, whose = _Lines(pa.array([f"{x}!\n\n{y}", "other"])).segment_keys(np.arange(2), 0.9)
+            assert set(keys[whose == 0]) & set(keys[whose == 1]), (x, y)

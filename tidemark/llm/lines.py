@@ -5,12 +5,10 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, counted_ranges, free_name, mix, pieces_of, slices, span_hashes, stored, utf8
@@ -21,7 +19,12 @@ from .minhash import min_max
 _BANDS, _ROWS = 16, 3  # MinHash bands of long lines
 _FEW = 5  # pairs with at most so many edits to spare meet by their segments, with certainty
 _SEEN = 1 << 18  # forms a task remembers
-_SIEVE = 23  # bits of the index into the fixed-size sieve of documents whose lines are to be fetched
+_HELD = 1 << 19  # marks a task holds before it deals them out
+_MANY = 120  # edits up to which pairs are taken together
+_ALL = 4  # lines of a bucket that are all compared at once
+_SIEVE = 23  # bits of the index into the fixed-size sieve of lines to be fetched
+_BASE = U64(0x9E3779B97F4A7C15)
+_MARK = np.dtype([("key", "<u4"), ("node", "<i8"), ("letters", "<u2")])  # 32 bits of the key beside its part; letters up to 65,535
 
 
 def _line_cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,130 +49,210 @@ def _segments(length: int, edits: int) -> list[tuple[int, int]]:
 
 
 @lru_cache(4096)
-def _spans(length: int, similarity: float) -> list[tuple[bytes, int, int]]:
-    """(tag, start, end) of the parts by which a line of so many letters meets those within `_FEW` edits.
+def _spans(length: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tags, starts and ends of the parts by which a line of so many letters meets those within `_FEW` edits.
 
     As the shorter of a pair it shows its edits + 1 segments, of which one is whole in the longer; as the longer it shows, for
     every shorter length, the places at which a segment can then stand (Pass-Join, with multi-match-aware places).
     """
     spans = {}
+    tag = lambda shorter, k, i: shorter << 16 | k << 8 | i
     longer = length
     while longer - budget(longer, similarity) <= length and budget(longer, similarity) <= _FEW:
         k = budget(longer, similarity)
         for i, (at, size) in enumerate(_segments(length, k) if 0 < k < length else []):
-            spans[b"%d,%d,%d," % (length, k, i), at, at + size] = None
+            spans[tag(length, k, i), at, at + size] = None
         longer += 1
     k = budget(length, similarity)
     for shorter in range(max(k + 1, length - k), length + 1) if 0 < k <= _FEW else []:
         more = length - shorter
         for i, (at, size) in enumerate(_segments(shorter, k)):
             for start in range(max(0, at - i, at + more - (k - i)), min(length - size, at + i, at + more + (k - i)) + 1):
-                spans[b"%d,%d,%d," % (shorter, k, i), start, start + size] = None
-    return list(spans)
-
-
-@lru_cache(16384)
-def _segment_keys(normal: str, similarity: float) -> list[int]:
-    return sorted({int.from_bytes(blake2b(tag + normal[a:b].encode(), digest_size=8).digest(), "little") for tag, a, b in _spans(len(normal), similarity)})
-
-
-def _band_keys(hashes: np.ndarray, length: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """`_BANDS` keys of each line by the minimum and maximum, under each permutation, of its set of words; words of less than five bytes count together with the next."""
-    after = np.append(hashes[1:], U64(0))
-    after[at[1:] - 1] = 0
-    values = np.where(length < 5, mix(hashes * U64(0x2545F4914F6CDD1D) + after), hashes)
-    signature = min_max(values, at, _BANDS * _ROWS // 2, 11)
-    keys = np.zeros((len(at), _BANDS), U64)
-    for band in range(_BANDS):
-        key = np.full(len(at), U64(band + 1))
-        for value in signature[band * _ROWS : (band + 1) * _ROWS]:
-            key = mix(key ^ value) + U64(band)
-        keys[:, band] = key
-    return keys
-
-
-def _described(similarity: float, keyed: bool = True) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A row for every line with a word: two hashes of its normal words, its letters and, if `keyed`, the keys of the buckets in which it meets others."""
+                spans[tag(shorter, k, i), start, start + size] = None
+    tags, starts, ends = np.array(list(spans), np.int64).reshape(-1, 3).T
+    return mix(tags.astype(U64)), starts, ends
+
+
+def _codes(data: np.ndarray) -> np.ndarray:
+    """A number for every letter of UTF-8 bytes: its bytes, the first lowest."""
+    head = (data & 0xC0) != 0x80
+    first = np.flatnonzero(head)
+    if not len(first):
+        return np.zeros(0, U64)
+    inner = np.arange(len(data)) - first[np.maximum(np.cumsum(head) - 1, 0)]
+    return np.add.reduceat(data.astype(U64) << (8 * np.maximum(inner, 0)).astype(U64), first)
+
+
+def _normal_bytes(data: np.ndarray, word_a: np.ndarray, word_b: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words joined by a space, so many (one at least) a line: the bytes of all lines, and their n + 1 offsets."""
+    last = np.cumsum(size) - 1
+    length = word_b - word_a + 1
+    length[last] -= 1
+    ends = np.cumsum(length)
+    out = np.append(data, np.uint8(32))[counted_ranges(word_a, length)]
+    inner = np.ones(len(length), bool)
+    inner[last] = False
+    out[ends[inner] - 1] = 32
+    return out, np.concatenate(([0], ends[last]))
+
+
+class _Lines:
+    """The lines with a word of a column of texts: two hashes of their normal words, and their letters."""
+
+    def __init__(self, texts: pa.Array) -> None:
+        self.data, offsets = utf8(texts)
+        starts, ends, counts = _line_cuts(self.data, offsets)
+        self.word_a, self.word_b, _ = normal_words(self.data, np.unique(np.concatenate((starts, ends)))) if len(self.data) else (starts[:0], starts[:0], None)
+        self.hashes = span_hashes(self.data, self.word_a, self.word_b)
+        first, last = np.searchsorted(self.word_a, starts), np.searchsorted(self.word_a, ends)
+        full = np.flatnonzero(last > first)
+        self.at, self.size = first[full], (last - first)[full]
+        self.doc = np.repeat(np.arange(len(counts)), counts)[full]
+        self.number = counted_ranges(np.zeros(len(counts), np.int64), counts)[full]
+        self.form, self.check, self.letters = np.zeros(len(full), U64), np.zeros(len(full), U64), np.zeros(len(full), np.int64)
+        if len(full):
+            place = counted_ranges(np.zeros(len(full), np.int64), self.size).astype(U64)
+            self.form = np.add.reduceat(mix(self.hashes + place * U64(0x2545F4914F6CDD1D)), self.at)
+            self.check = np.add.reduceat(mix((self.hashes ^ U64(0xA0761D6478BD642F)) + place * U64(0x9FB21C651E98DF25)), self.at)
+            heads = np.concatenate(([0], np.cumsum((self.data & 0xC0) != 0x80)))  # letters before every byte
+            self.letters = np.add.reduceat(heads[self.word_b] - heads[self.word_a], self.at) + self.size - 1
+
+    def band_keys(self, of: np.ndarray) -> np.ndarray:
+        """`_BANDS` keys of each line by the minimum and maximum, under each permutation, of its set of words; words of less than five bytes count together with the next."""
+        if not len(of):
+            return np.zeros((0, _BANDS), U64)
+        size = self.size[of]
+        words = counted_ranges(self.at[of], size)
+        at = np.cumsum(size) - size
+        hashes = self.hashes[words]
+        after = np.append(hashes[1:], U64(0))
+        after[at[1:] - 1] = 0
+        values = np.where(self.word_b[words] - self.word_a[words] < 5, mix(hashes * U64(0x2545F4914F6CDD1D) + after), hashes)
+        signature = min_max(values, at, _BANDS * _ROWS // 2, 11)
+        keys = np.zeros((len(of), _BANDS), U64)
+        for band in range(_BANDS):
+            key = np.full(len(of), U64(band + 1))
+            for value in signature[band * _ROWS : (band + 1) * _ROWS]:
+                key = mix(key ^ value) + U64(band)
+            keys[:, band] = mix(key)
+        return keys
+
+    def segment_keys(self, of: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+        """The keys of the parts (`_spans`) of each line, and whose they are: lines of one length together, by hashes of their beginnings."""
+        if not len(of):
+            return np.zeros(0, U64), of
+        words = counted_ranges(self.at[of], self.size[of])
+        raw, cuts = _normal_bytes(self.data, self.word_a[words], self.word_b[words], self.size[of])
+        codes, letters = _codes(raw), self.letters[of]
+        start = np.cumsum(letters) - letters
+        keys, whose = [np.zeros(0, U64)], [of[:0]]
+        for length in np.unique(letters).tolist():
+            tags, a, b = _spans(length, similarity)
+            if len(tags):
+                mine = np.flatnonzero(letters == length)
+                head = np.zeros((length + 1, len(mine)), U64)
+                for k in range(length):
+                    head[k + 1] = head[k] * _BASE + codes[start[mine] + k] + U64(1)
+                power = np.multiply.accumulate(np.concatenate(([U64(1)], np.full(length, _BASE))))
+                keys.append(mix(head[b] - head[a] * power[b - a][:, None] ^ tags[:, None]).ravel())
+                whose.append(np.tile(of[mine], len(tags)))
+        return np.concatenate(keys), np.concatenate(whose)
+
+
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for every line with a word: its place, two hashes of its normal words and its letters."""
+    for batch in slices(batches, "text", 1 << 20):
+        lines = _Lines(batch.column("text"))
+        doc = pa.array(lines.doc)
+        columns = [batch.column("doc_id").take(doc), batch.column("row").take(doc), *map(pa.array, (lines.number, lines.form.view(np.int64), lines.check.view(np.int64), lines.letters))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "line", "form", "check", "letters"])
+
+
+def _marked(similarity: float, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(part, marks): the keys of the buckets in which every line meets others, dealt by key into `parts`, as packed `_MARK`s.
+
+    Copies within a task are left out as far as a bounded memory tells.
+    """
 
-    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
-            data, offsets = utf8(batch.column("text"))
-            starts, ends, counts = _line_cuts(data, offsets)
-            word_a, word_b, _ = normal_words(data, np.unique(np.concatenate((starts, ends)))) if len(data) else (starts[:0], starts[:0], None)
-            hashes = span_hashes(data, word_a, word_b)
-            first, last = np.searchsorted(word_a, starts), np.searchsorted(word_a, ends)
-            full = np.flatnonzero(last > first)
-            at, size = first[full], (last - first)[full]
-            place = counted_ranges(np.zeros(len(full), np.int64), size).astype(U64)
-            out, letters, lists = np.zeros((len(full), 2), U64), np.zeros(len(full), np.int64), []
-            if len(full):
-                out[:, 0] = np.add.reduceat(mix(hashes + place * U64(0x2545F4914F6CDD1D)), at)
-                out[:, 1] = np.add.reduceat(mix((hashes ^ U64(0xA0761D6478BD642F)) + place * U64(0x9FB21C651E98DF25)), at)
-                heads = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))  # letters before every byte
-                letters = np.add.reduceat(heads[word_b] - heads[word_a], at) + size - 1
-            if len(full) and keyed:
-                bands = _band_keys(hashes, word_b - word_a, at)
-                raw = data.tobytes()
-                for k, n in enumerate(letters.tolist()):
-                    keys = bands[k] if budget(int(n / similarity) + 1, similarity) > _FEW else bands[k, :0]
-                    if budget(n, similarity) <= _FEW:
-                        spans = range(at[k], at[k] + size[k])
-                        short = _segment_keys(b" ".join(raw[word_a[w] : word_b[w]] for w in spans).decode("utf-8", "replace"), similarity)
-                        keys = np.concatenate((keys, np.array(short, U64)))
-                    lists.append(keys)
-            doc = np.repeat(np.arange(batch.num_rows), counts)[full]
-            number = counted_ranges(np.zeros(len(counts), np.int64), counts)[full]
-            signed = out.view(np.int64)
-            columns = [batch.column("doc_id").take(pa.array(doc)), batch.column("row").take(pa.array(doc)), pa.array(number), pa.array(signed[:, 0]), pa.array(signed[:, 1]), pa.array(letters)]
-            names = ["doc_id", "row", "line", "form", "check", "letters"]
-            if keyed:
-                blocks = (np.concatenate([np.zeros(0, U64), *lists]) >> U64(24)).view(np.int64)
-                columns.append(pa.ListArray.from_arrays(np.cumsum([0, *map(len, lists)]).astype(np.int32), blocks))
-                names.append("keys")
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    return described
-
-
-def _marked(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(letters, node, block) of every line; copies within a task are left out as far as a bounded memory tells."""
+    def dealt(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        key, node, letters = (np.concatenate(x) for x in zip(*held))
+        part = ((key >> U64(32)) * U64(parts) >> U64(32)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        marks = np.empty(len(key), _MARK)
+        marks["key"], marks["node"], marks["letters"] = key[order] & U64(0xFFFFFFFF), node[order], letters[order]
+        part = part[order]
+        cuts = np.flatnonzero(np.concatenate((part[1:] != part[:-1], [True]))) + 1
+        offsets = np.concatenate(([0], cuts)) * _MARK.itemsize
+        blobs = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(marks)])
+        return pa.RecordBatch.from_arrays([pa.array(part[cuts - 1]), blobs], ["part", "marks"])
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in _described(similarity)(batches):
-            fresh = []
-            for k, form in enumerate(batch.column("form").to_pylist()):
-                if form not in seen:
-                    seen.add(form)
-                    fresh.append(k)
+        held, count = [], 0
+        for batch in slices(batches, "text", 1 << 20):
+            lines = _Lines(batch.column("text"))
+            fresh = np.array([k for k, form in enumerate(lines.form.tolist()) if form not in seen and not seen.add(form)], np.int64)
             if len(seen) > _SEEN:
                 seen.clear()
-            batch = batch.take(pa.array(fresh, pa.int64()))
-            keys = batch.column("keys")
-            size = pc.list_value_length(keys).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("letters").to_numpy(), size)), pa.array(np.repeat(batch.column("form").to_numpy(), size)), keys.flatten()],
-                                             ["letters", "node", "block"])
+            most = np.array([(budget(n, similarity), budget(int(n / similarity) + 1, similarity)) for n in lines.letters[fresh].tolist()], np.int64).reshape(-1, 2)
+            long = fresh[most[:, 1] > _FEW]
+            segments, whose = lines.segment_keys(fresh[most[:, 0] <= _FEW], similarity)
+            key, whose = np.concatenate((lines.band_keys(long).ravel(), segments)), np.concatenate((np.repeat(long, _BANDS), whose))
+            held.append((key, lines.form[whose].view(np.int64), np.minimum(lines.letters[whose], 65535).astype(np.uint16)))
+            count += len(key)
+            if count > _HELD:
+                yield dealt(held)
+                held, count = [], 0
+        if count:
+            yield dealt(held)
 
     return marked
 
 
-def _normal_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Normal texts (words joined by a space) of the listed lines of each document."""
-    for batch in batches:
-        for text, lines, nodes in zip(batch.column("text"), batch.column("lines"), batch.column("nodes")):
-            data, offsets = utf8(pa.array([text.as_py()], pa.string()))
-            starts, ends, _ = _line_cuts(data, offsets)
-            raw = data.tobytes()
-            texts = []
-            for k in lines.as_py():
-                a, b = int(starts[k]), int(ends[k])
-                word_a, word_b, _ = normal_words(data[a:b], np.array([0, b - a]))
-                texts.append(b" ".join(raw[a + x : a + y] for x, y in zip(word_a, word_b)).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes.as_py(), pa.int64()), pa.array(texts, pa.string())], ["node", "normal"])
+def _meet(similarity: float) -> Callable[[pa.Table], pa.Table]:
+    """Lines that share a bucket and whose lengths allow a link: (a, b) of all pairs of up to `_ALL` lines, or of each line and the smallest.
+
+    What remains of larger buckets, (block, a, letters) of the lines but the smallest, is compared later.
+    """
+
+    def meet(table: pa.Table) -> pa.Table:
+        marks = np.frombuffer(b"".join(x.as_py() for x in table["marks"]), _MARK)
+        order = np.argsort(marks["key"])
+        key = marks["key"][order]
+        same, several = key[1:] == key[:-1], np.zeros(len(key), bool)
+        several[1:] |= same
+        several[:-1] |= same
+        marks = marks[order[several]]
+        marks = marks[np.lexsort((marks["node"], marks["key"]))]
+        key, node = marks["key"], marks["node"]
+        marks = marks[np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))[: len(key)]]
+        key, node, letters = marks["key"].astype(np.int64), marks["node"], marks["letters"].astype(np.int64)
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))[: len(key)])
+        size = np.diff(np.concatenate((starts, [len(key)])))
+        near = lambda x, y: np.abs(letters[x] - letters[y]) <= (1 - similarity) * np.maximum(letters[x], letters[y]) + 1e-6
+        bucket = np.repeat(np.arange(len(starts)), size)
+        pairs = [np.stack((np.arange(len(key)), starts[bucket]))[:, np.arange(len(key)) != starts[bucket]]]
+        for i in range(1, _ALL):
+            for j in range(i + 1, _ALL):
+                few = starts[(size > j) & (size <= _ALL)]
+                pairs.append(np.stack((few + j, few + i)))
+        a, b = np.concatenate(pairs, axis=1)
+        close = near(a, b)
+        a, b = a[close], b[close]
+        rest = np.flatnonzero((size[bucket] > _ALL) & (np.arange(len(key)) != starts[bucket]))
+        rest = rest[np.lexsort((letters[rest], bucket[rest]))]  # next to each other, those of like length
+        close = (bucket[rest[1:]] == bucket[rest[:-1]]) & near(rest[1:], rest[:-1])
+        rest = rest[(np.concatenate((close, [False])) | np.concatenate(([False], close)))[: len(rest)]]
+        block = (int(table["part"][0].as_py()) << 32) + key[rest]
+        none = pa.nulls(len(a), pa.int64())
+        return pa.table({"a": np.concatenate((node[a], node[rest])), "b": pa.chunked_array([pa.array(node[b]), pa.nulls(len(rest), pa.int64())]),
+                         "block": pa.chunked_array([none, pa.array(block)]), "letters": pa.chunked_array([none, pa.array(letters[rest])])})
+
+    return meet
 
 
 def similar(a: str, b: str, similarity: float) -> bool:
-    """Is 1 - edits / longer length at least `similarity`? Common ends are left out of the bit-parallel count."""
+    """Is 1 - edits / longer length at least `similarity`?"""
     longer = max(len(a), len(b))
     most = budget(longer, similarity)
     if abs(len(a) - len(b)) > most:
@@ -181,6 +264,11 @@ def similar(a: str, b: str, similarity: float) -> bool:
         mine, other = Counter(map(hash, zip(a, a[1:], a[2:]))), Counter(map(hash, zip(b, b[1:], b[2:])))
         if len(a) + len(b) - 4 - 2 * sum(min(n, other[t]) for t, n in mine.items() if t in other) > 6 * most:
             return False
+    return within(a, b, most)
+
+
+def within(a: str, b: str, most: int) -> bool:
+    """Are at most so many edits between them? Common ends are left out of the bit-parallel count."""
     short = min(len(a), len(b))
     head = next((k for k in range(short) if a[k] != b[k]), short)
     a, b = a[head:], b[head:]
@@ -192,11 +280,102 @@ def similar(a: str, b: str, similarity: float) -> bool:
     return edit_distance(list(a), list(b))[0] <= most
 
 
+def _ahead(codes: np.ndarray, size: np.ndarray, fill: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """The next `step` letters from every place of all texts as one number, and each text's first place; `fill` follows a text."""
+    start = np.cumsum(size + step) - size - step
+    out = np.full(int((size + step).sum()), fill, U64)
+    out[counted_ranges(start, size)] = codes
+    done = 1
+    while done < step:
+        out[:-done] |= out[done:] << U64(64 // step * done)
+        done *= 2
+    return out, start
+
+
+def few_edits(a: list[str], b: list[str], most: np.ndarray, room: int = 1 << 19) -> np.ndarray:
+    """For every pair: is it at most so many edits apart?
+
+    Edit by edit, the furthest place reached on each diagonal (Ukkonen), for many pairs at a time; so the work follows the
+    edits, not the letters. Diagonals from which the end cannot be reached any more are left; pairs take about `room` of them.
+    Where more than `_MANY` edits are allowed, bit vectors count them pair by pair.
+    """
+    size_a, size_b = (np.array([len(t) for t in texts], np.int64) for texts in (a, b))
+    codes = np.frombuffer("".join((*a, *b)).encode("utf-32-le", "surrogatepass"), np.uint32)
+    used = np.zeros(int(codes.max(initial=0)) + 1, bool)
+    used[codes] = True
+    step = 8 if used.sum() < 254 else 4 if used.sum() < 65534 else 2  # letters a number holds
+    codes = (np.cumsum(used) + 1)[codes].astype(U64)  # 0 and 1 are none: they follow the texts
+    cut = int(size_a.sum())
+    (ahead_a, start_a), (ahead_b, start_b) = _ahead(codes[:cut], size_a, 0, step), _ahead(codes[cut:], size_b, 1, step)
+    each = 64 // step
+    out = np.zeros(len(a), bool)
+    order = np.argsort(most, kind="stable")
+    order = order[np.abs(size_a - size_b)[order] <= most[order]]
+    for k in order[most[order] > _MANY].tolist():
+        out[k] = within(a[k], b[k], int(most[k]))
+    order = order[most[order] <= _MANY]
+    at = 0
+    while at < len(order):
+        width = 2 * most[order[at:]] + 3
+        pair = order[at : at + max(1, int(np.searchsorted(width * np.arange(1, len(width) + 1), room, "right")))]
+        at += len(pair)
+        top = int(most[pair[-1]])
+        far = np.full((len(pair), 2 * top + 3), -(1 << 40))
+        for edits in range(top + 1):
+            low, high = top + 1 - edits, top + 2 + edits
+            diagonal = np.arange(low, high) - top - 1
+            if edits:
+                now = np.maximum(np.maximum(far[:, low:high] + 1, far[:, low - 1 : high - 1]), far[:, low + 1 : high + 1] + 1)
+            else:
+                now = np.zeros((len(pair), 1), np.int64)
+            la, lb = size_a[pair][:, None], size_b[pair][:, None]
+            now = np.minimum(now, np.minimum(la, lb - diagonal))
+            now[(now < 0) | (now + diagonal < 0) | (np.abs(diagonal - (lb - la)) > most[pair][:, None] - edits)] = -(1 << 40)
+            flat = now.ravel()
+            going = np.flatnonzero(flat >= 0)
+            row, column = np.divmod(going, high - low)
+            i = start_a[pair[row]] + flat[going]
+            j = start_b[pair[row]] + flat[going] + diagonal[column]
+            while len(going):
+                x = ahead_a[i] ^ ahead_b[j]
+                lowest = np.frexp((x & (~x + U64(1))).astype(float))[1] - 1  # bit of the first difference
+                flat[going] += np.where(x == 0, step, lowest // each)
+                on = np.flatnonzero(x == 0)
+                going, i, j = going[on], i[on] + step, j[on] + step
+            far[:, low:high] = now
+            done = far[np.arange(len(pair)), (lb - la)[:, 0] + top + 1] >= la[:, 0]
+            out[pair[done]] = True
+            left = ~done & (most[pair] > edits)
+            pair, far = pair[left], far[left]
+            if not len(pair):
+                break
+    return out
+
+
+def _profiles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Letters of each text, and its trigrams counted in 256 bins."""
+    data, offsets = utf8(texts)
+    codes = _codes(data)
+    ends = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offsets]
+    length = np.diff(ends)
+    hashed = (mix(codes[:-2] * U64(0x9E3779B97F4A7C15) + codes[1:-1] * U64(0xC2B2AE3D27D4EB4F) + codes[2:] * U64(0x165667B19E3779F9)) & U64(255)).astype(np.int64)
+    inner = np.maximum(length - 2, 0)
+    bins = hashed[counted_ranges(ends[:-1], inner)] + 256 * np.repeat(np.arange(len(length)), inner)
+    return length, np.bincount(bins, minlength=256 * len(length)).astype(np.int32).reshape(-1, 256)
+
+
 def _verify(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = [similar(x.as_py(), y.as_py(), similarity) for x, y in zip(batch.column("normal_a"), batch.column("normal_b"))]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+        """Pairs whose edits are few enough; as an edit takes three trigrams at most and brings as many, binned counts rule out most others."""
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                (long_x, x), (long_y, y) = _profiles(batch.column("normal_a")), _profiles(batch.column("normal_b"))
+                most = ((1 - similarity) * np.maximum(long_x, long_y) + 1e-9).astype(np.int64)
+                near_at = np.flatnonzero((np.abs(long_x - long_y) <= most) & (np.abs(x - y).sum(axis=1) <= 6 * most))
+                near = batch.take(pa.array(near_at))
+                linked = few_edits(near.column("normal_a").to_pylist(), near.column("normal_b").to_pylist(), most[near_at])
+                yield near.select(["a", "b"]).filter(pa.array(linked))
 
     return verify
 
@@ -214,67 +393,66 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          ["doc_id", "row", "n_lines", "n_removed", "kept"])
 
 
-def _through(sieve: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column("row").to_numpy() & ((1 << _SIEVE) - 1)
-            yield batch.filter(pa.array((sieve[at >> 6] >> (at & 63).astype(U64)) & U64(1) != 0))
-
-    return through
-
+def _picked(sieve: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(row, line, normal) of the lines with a word that the sieve lets through."""
 
-def _fetched(pairs: DataFrame, places: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, normal) of all lines of the pairs.
-
-    Their documents are found by a shuffle join; before it a sieve of 2^23 bits, whose size does not depend on the data,
-    drops most documents that have none of the lines.
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            data, offsets = utf8(batch.column("text"))
+            starts, ends, counts = _line_cuts(data, offsets)
+            row = np.repeat(batch.column("row").to_numpy(), counts)
+            line = counted_ranges(np.zeros(len(counts), np.int64), counts)
+            at = (row ^ line) & ((1 << _SIEVE) - 1)
+            pick = np.flatnonzero((sieve[at >> 6] >> (at & 63).astype(U64)) & U64(1))
+            size = ends[pick] - starts[pick] + 1
+            cuts = np.cumsum(size) - size
+            data = np.append(data, np.uint8(10))[counted_ranges(starts[pick], size)]  # a line feed or the next text's first byte after each
+            data[cuts + size - 1] = 10
+            word_a, word_b, first = normal_words(data, np.append(cuts, len(data))) if len(data) else (cuts, cuts, np.zeros(1, np.int64))
+            full = np.flatnonzero(np.diff(first))
+            raw, offsets = _normal_bytes(data, word_a, word_b, np.diff(first)[full])
+            normal = pa.Array.from_buffers(pa.string(), len(full), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw)])
+            yield pa.RecordBatch.from_arrays([pa.array(row[pick[full]]), pa.array(line[pick[full]]), normal], ["row", "line", "normal"])
+
+    return picked
+
+
+def _fetched(nodes: DataFrame, places: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, normal) of all nodes.
+
+    Their lines are found by a shuffle join; before it a sieve of 2^23 bits, whose size does not depend on the data, drops
+    most lines that are not wanted.
     """
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = stored(nodes.join(places, "node").groupBy("row").agg(F.collect_list("line").alias("lines"), F.collect_list("node").alias("nodes")))
-    at = F.col("row").bitwiseAND(F.lit((1 << _SIEVE) - 1))
-    marks = wanted.select(F.shiftright(at, 6).alias("word"), F.expr("shiftleft(1L, int(row & 63))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
+    wanted = stored(nodes.join(places, "node").select("node", "row", "line"))
+    at = F.col("row").bitwiseXOR(F.col("line")).bitwiseAND(F.lit((1 << _SIEVE) - 1))
+    marks = wanted.select(F.shiftright(at, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int")).alias("bit"))
     sieve = np.zeros(1 << (_SIEVE - 6), np.int64)
-    for word, bits in marks:
+    for word, bits in marks.groupBy("word").agg(F.bit_or("bit")).collect():
         sieve[word] = bits
-    likely = texts.select("row", "text").mapInArrow(_through(sieve.view(U64)), "row long, text string").dropDuplicates(["row"])
-    return likely.join(wanted, "row").mapInArrow(_normal_texts, "node long, normal string")
+    likely = texts.select("row", "text").mapInArrow(_picked(sieve.view(U64)), "row long, line long, normal string").dropDuplicates(["row", "line"])
+    return likely.join(wanted, ["row", "line"]).select("node", "normal")
 
 
-def _confirmed(pairs: DataFrame, places: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    normal = stored(_fetched(pairs, places, texts))
+def _confirmed(pairs: DataFrame, normal: DataFrame, similarity: float) -> DataFrame:
     both = pairs.join(normal.select(F.col("node").alias("a"), F.col("normal").alias("normal_a")), "a")
     both = both.join(normal.select(F.col("node").alias("b"), F.col("normal").alias("normal_b")), "b").select("a", "b", "normal_a", "normal_b")
-    return stored(both.mapInArrow(_verify(similarity), "a long, b long, linked boolean").where("linked").drop("linked"))
-
-
-def _near(left: str, right: str, similarity: float) -> str:
-    """Do the lengths allow it? Edits are as many as letters more, at least."""
-    return f"abs({left}.letters - {right}.letters) <= {1 - similarity!r}D * greatest({left}.letters, {right}.letters) + 1e-6D"
+    return stored(both.mapInArrow(_verify(similarity), "a long, b long"))
 
 
-def _profiles(texts: list[str]) -> np.ndarray:
-    """Trigrams of each text, counted in 256 bins."""
-    out = np.zeros((len(texts), 256), np.int32)
-    for k, text in enumerate(texts):
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64)
-        out[k] = np.bincount((mix(codes[:-2] * U64(1 << 42) + codes[1:-1] * U64(1 << 21) + codes[2:]) & U64(255)).astype(np.int64), minlength=256) if len(codes) > 2 else 0
-    return out
-
-
-def _compare(similarity: float) -> Callable[[pa.Table], pa.Table]:
+def _compare(similarity: float, lines: int) -> Callable[[pa.Table], pa.Table]:
     def compare(table: pa.Table) -> pa.Table:
         """Links between the left and right lines of every task in the table that lie in different components: a forest of them.
 
         An edit takes three trigrams at most and brings as many, so binned counts rule out most pairs, a line against all others
-        at a time; edits are counted once for each of the pairs left, unless the links found so far connect them.
+        at a time; edits are counted once for each of the pairs left, some `lines` at a time, unless the links found so far connect them.
         """
         table = table.sort_by([("block", "ascending"), ("p", "ascending"), ("q", "ascending")])
         side, node, c = (table[k].to_numpy() for k in ("side", "node", "c"))
         task = np.stack([table[k].to_numpy() for k in ("block", "p", "q")])
         cuts = np.concatenate(([0], np.flatnonzero((task[:, 1:] != task[:, :-1]).any(axis=0)) + 1, [table.num_rows]))
         _, first, text_of = np.unique(node, return_index=True, return_inverse=True)
-        texts = table["normal"].take(pa.array(first)).to_pylist()
-        length, profile = np.array([len(t) for t in texts]), _profiles(texts)
+        normal = table["normal"].take(pa.array(first)).combine_chunks()
+        texts, (length, profile) = normal.to_pylist(), _profiles(normal)
         root: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -283,6 +461,22 @@ def _compare(similarity: float) -> Callable[[pa.Table], pa.Table]:
             return x
 
         links, apart = [], set()
+        held: dict[tuple[int, int], tuple[int, int]] = {}
+
+        def compared() -> None:
+            pairs = np.array(list(held), np.int64).reshape(-1, 2)
+            most = ((1 - similarity) * length[pairs].max(axis=1, initial=0) + 1e-9).astype(np.int64)
+            alike = few_edits([texts[t] for t in pairs[:, 0]], [texts[u] for u in pairs[:, 1]], most)
+            for (pair, (i, j)), linked in zip(held.items(), alike.tolist()):
+                if not linked:
+                    apart.add(pair)
+                    continue
+                x, y = find(int(c[i])), find(int(c[j]))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    links.append((int(node[i]), int(node[j])))
+            held.clear()
+
         for start, stop in zip(cuts, cuts[1:]):
             rows = np.arange(start, stop)
             left, right = rows[side[rows] != 1], rows[side[rows] != 0]
@@ -293,15 +487,13 @@ def _compare(similarity: float) -> Callable[[pa.Table], pa.Table]:
                 near = np.flatnonzero((right_c != c[i]) & (~both | (right > i)) & (np.abs(length[right_text] - length[t]) <= most))
                 near = near[np.abs(profile[right_text[near]] - profile[t]).sum(axis=1) <= 6 * most[near]]
                 for j in near.tolist():
-                    x, y, u = find(int(c[i])), find(int(right_c[j])), int(right_text[j])
+                    u = int(right_text[j])
                     pair = (min(t, u), max(t, u))
-                    if x == y or pair in apart:
-                        continue
-                    if similar(texts[t], texts[u], similarity):
-                        root[max(x, y)] = min(x, y)
-                        links.append((int(node[i]), int(node[right[j]])))
-                    else:
-                        apart.add(pair)
+                    if pair not in apart and find(int(c[i])) != find(int(right_c[j])):
+                        held.setdefault(pair, (i, int(right[j])))
+                if len(held) > lines:
+                    compared()
+        compared()
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return compare
@@ -333,32 +525,30 @@ def _open_links(open_: DataFrame, normal: DataFrame, similarity: float, lines: i
     rows = rows.select("block", "lowest", "node", "c", "normal", F.inline(F.when(rest, of_rest).otherwise(of_main)))
     # Buckets that share their lowest line share most others: they meet in one group, which counts a pair's edits once.
     dealt = rows.withColumn("dealt", F.pmod(F.xxhash64("lowest", "p", "q"), F.lit(groups)).cast("int")).drop("lowest")
-    return dealt.groupBy("dealt").applyInArrow(_compare(similarity), "a long, b long").distinct()
+    return dealt.groupBy("dealt").applyInArrow(_compare(similarity, lines), "a long, b long").distinct()
 
 
 def _groups(places: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """(node, component) of all distinct normal lines that are linked with others.
 
-    First each line is compared with the smallest line of each of its buckets; so groups of many alike lines become one
-    component by as many comparisons. Then in every bucket the lines outside its commonest component are compared with
-    those of other components, block by block.
+    First each line is compared with the smallest line of each of its buckets, in small buckets with all lines; so groups of
+    many alike lines become one component by as many comparisons. Then in every larger bucket the lines outside its commonest
+    component are compared with those of other components, block by block.
     """
-    marks = texts.select("doc_id", "row", "text").mapInArrow(_marked(similarity), "letters long, node long, block long")
-    bucket = Window.partitionBy("block")
-    marks = marks.withColumns({"low": F.min("node").over(bucket), "high": F.max("node").over(bucket)})
-    met = stored(marks.where("low <> high").select("letters", "node", "block").distinct())
-    least = met.groupBy("block").agg(F.min(F.struct("node", "letters")).alias("least"))
-    star = met.alias("t").join(least, "block").where(f"t.node <> least.node and {_near('t', 'least', similarity)}")
-    star = stored(star.select(F.col("t.node").alias("a"), F.col("least.node").alias("b")).distinct())
-    links = _confirmed(star, places, texts, similarity)
-    found = components(links)
-    placed = met.join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    parts = pieces_of(places.count() * _BANDS, 1 << 19)
+    marks = texts.select("text").mapInArrow(_marked(similarity, parts), "part int, marks binary")
+    met = stored(marks.groupBy("part").applyInArrow(_meet(similarity), "a long, b long, block long, letters long"))
+    pairs = stored(met.where("block is null").select("a", "b").distinct())
+    rest = met.where("block is not null").select("block", F.col("a").alias("node"), "letters")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(rest.select("node")).distinct()
+    normal = stored(_fetched(nodes, places, texts))
+    found = components(_confirmed(pairs, normal, similarity))
+    placed = rest.join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
     mixed = placed.groupBy("block").agg(F.min("c").alias("c_min"), F.max("c").alias("c_max"), F.mode("c", True).alias("main")).where("c_min <> c_max")
     open_ = stored(placed.join(mixed.select("block", "main"), "block").select("block", "node", "letters", "c", "main"))
     if open_.isEmpty():
         return found
-    nodes = open_.select(F.col("node").alias("a"), F.col("node").alias("b")).distinct()
-    more = stored(_open_links(open_, stored(_fetched(nodes, places, texts)), similarity))
+    more = stored(_open_links(open_, normal, similarity))
     return found if more.isEmpty() else joined(found, more)
 
 
@@ -384,7 +574,7 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.9, within: int = 12, i
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), _row(id_col, text).alias("row"), F.col(text).alias("text"))
     lower = texts.select("doc_id", "row", F.lower("text").alias("text"))
     schema = "doc_id long, row long, line long, form long, check long, letters long"
-    lines = stored(lower.mapInArrow(_described(similarity, False), schema))
+    lines = stored(lower.mapInArrow(_described, schema))
     first = F.min(F.struct("doc_id", "line", "row"))
     forms = lines.groupBy("form", "check").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
     forms = stored(forms.select(F.col("form").alias("node"), "form", "check", "first", "n", F.col("first.row").alias("row"), F.col("first.line").alias("line")))
