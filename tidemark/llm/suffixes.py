@@ -144,9 +144,21 @@ def _least_in_window(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(keys[: max(0, len(keys) - rest)], keys[rest:]) if rest else keys
 
 
+def _laid_out(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """The bytes of all strings one after another; the places of about `most` of them, eight bytes each and more, are held at a time."""
+    total = np.concatenate(([0], np.cumsum(sizes)))
+    out = np.empty(int(total[-1]), np.uint8)
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(total, total[a] + most, "right")) - 1)
+        out[total[a] : total[b]] = data[counted_ranges(starts[a:b], sizes[a:b])]
+        a = b
+    return out
+
+
 def _strings(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
     offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
-    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[counted_ranges(starts, sizes)])])
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(_laid_out(data, starts, sizes))])
 
 
 def _distinct(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most: int = 16 << 20) -> tuple[np.ndarray, pa.Array]:
@@ -303,7 +315,7 @@ def _ask_strings(length: int, gram: int, buckets: int) -> Callable[[pa.Table, pa
                 if x < y:
                     of = first[x:y]
                     size = windows[of] + length - 1
-                    rows.append((int(bucket[x]), number, chunk.data[counted_ranges(start[of], size)].tobytes(), size.astype(np.int32).tobytes(),
+                    rows.append((int(bucket[x]), number, _laid_out(chunk.data, start[of], size).tobytes(), size.astype(np.int32).tobytes(),
                                  ids[of].tobytes(), place[of].astype(np.int32).tobytes()))
         columns = list(zip(*rows)) or [[]] * 6
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
