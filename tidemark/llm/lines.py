@@ -20,7 +20,9 @@ _BANDS, _ROWS = 16, 3  # MinHash bands of long lines
 _FEW = 5  # pairs with at most so many edits to spare meet by their segments, with certainty
 _SEEN = 1 << 18  # forms a task remembers
 _HELD = 1 << 19  # marks a task holds before it deals them out
-_MANY = 120  # edits up to which pairs are taken together
+_MANY = 500  # edits up to which pairs are taken together
+_LITTLE = 32  # fewer pairs are not worth it
+_HELD_LETTERS = 1 << 23  # letters of pairs that a task holds before it counts their edits
 _ALL = 4  # lines of a bucket that are all compared at once
 _SIEVE = 23  # bits of the index into the fixed-size sieve of lines to be fetched
 _BASE = U64(0x9E3779B97F4A7C15)
@@ -280,102 +282,174 @@ def within(a: str, b: str, most: int) -> bool:
     return edit_distance(list(a), list(b))[0] <= most
 
 
-def _ahead(codes: np.ndarray, size: np.ndarray, fill: int, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """The next `step` letters from every place of all texts as one number, and each text's first place; `fill` follows a text."""
-    start = np.cumsum(size + step) - size - step
-    out = np.full(int((size + step).sum()), fill, U64)
-    out[counted_ranges(start, size)] = codes
-    done = 1
-    while done < step:
-        out[:-done] |= out[done:] << U64(64 // step * done)
-        done *= 2
-    return out, start
+def _laid(codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The letters of texts that start at these places, one text after another."""
+    return codes[counted_ranges(start, size)].astype(np.int64)
 
 
-def few_edits(a: list[str], b: list[str], most: np.ndarray, room: int = 1 << 19) -> np.ndarray:
+def _banded(codes: np.ndarray, start: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, top: int) -> np.ndarray:
+    """The edits between texts a and b of every pair, if `top` at most; else more than `top`. Texts b stand longest first.
+
+    Hyyro's band of bit vectors: the `top` places on either side of the diagonal are the bits of a few words, moved on letter by
+    letter of b for all pairs at a time; so the work follows the letters times the words of a band. Letters are numbered from 1; what
+    is looked up of a text is made once for all its pairs.
+    """
+    (of_a, a), (of_b, b) = np.unique(a, return_inverse=True), np.unique(b, return_inverse=True)
+    letters_a, letters_b = _laid(codes, start[of_a], size[of_a]), _laid(codes, start[of_b], size[of_b])
+    size_a, size_b = size[of_a][a], size[of_b][b]
+    pairs, wide, letters = len(a), top // 32 + 1, int(max(letters_a.max(initial=0), letters_b.max(initial=0))) + 1
+    bits, last, one = 64 * wide, U64(63), U64(1)
+    longest = int(size_b[0])
+    words = (max(int(size_a.max()), longest + top + 1) >> 6) + 2 * wide + 1
+    table = np.zeros((words, len(of_a) * letters), U64)  # where in a text, after a band's room, each letter stands
+    place = counted_ranges(np.full(len(of_a), bits), size[of_a])
+    at = (place >> 6) * (len(of_a) * letters) + np.repeat(np.arange(len(of_a)) * letters, size[of_a]) + letters_a
+    np.add.at(table.reshape(-1), at, one << (place & 63).astype(U64))
+    column = np.zeros((longest, len(of_b)), np.int64)  # letter 0 stands nowhere
+    column[counted_ranges(np.zeros(len(of_b), np.int64), size[of_b]), np.repeat(np.arange(len(of_b)), size[of_b])] = letters_b
+    a *= letters
+    ones = [min(max(64 * (k + 1) - (bits - top - 1), 0), 64) for k in range(wide)]
+    up = np.repeat(np.array([(1 << 64) - (1 << (64 - n)) for n in ones], U64)[:, None], pairs, axis=1)
+    down, score, whole = np.zeros((wide, pairs), U64), np.full(pairs, top), [up, *(np.empty((wide, pairs), U64) for _ in range(4))]
+    whole, scores, width = [*whole, down], score, 0
+    longer = np.searchsorted(-size_b, -np.arange(longest), "left").tolist()  # texts longer than so many letters
+    for k in range(longest):
+        if longer[k] != width:  # a text that has ended keeps its bits
+            width = longer[k]
+            up, same, more, keep, right, down = (x[:, :width] for x in whole)
+            scores = score[:width]
+        word, shift = divmod(k + top + 1, 64)
+        at = column[k].take(b[:width])
+        at += a[:width]
+        for w in range(wide):
+            table[word + w].take(at, out=same[w], mode="clip")
+        if shift:
+            more[:-1] = same[1:]
+            table[word + wide].take(at, out=more[-1], mode="clip")
+            same >>= U64(shift)
+            more <<= U64(64 - shift)
+            same |= more
+        np.bitwise_and(same, up, out=keep)
+        keep += up
+        if wide > 1:
+            carry = keep < up
+            for w in range(1, wide):
+                keep[w] += carry[w - 1]
+                carry[w] |= carry[w - 1] & (keep[w] == 0)
+        keep ^= up
+        keep |= same
+        keep |= down
+        np.bitwise_or(keep, up, out=right)
+        np.invert(right, out=right)
+        right |= down
+        np.bitwise_and(keep, up, out=more)
+        scores += keep[-1].view(np.int64) >> 63
+        np.right_shift(keep, one, out=same)
+        if wide > 1:
+            keep <<= last
+            same[:-1] |= keep[1:]
+        np.bitwise_and(same, right, out=down)
+        same |= right
+        np.invert(same, out=up)
+        up |= more
+    # What lies between a band's lowest place and the end of the first text is taken off.
+    bit = np.arange(bits)
+    inside = (bit < bits - 1) & (bit >= (bits - 1 - top + size_a - size_b)[:, None])
+    steps = [np.unpackbits(np.ascontiguousarray(x.T).view(np.uint8), axis=1, bitorder="little") & inside for x in (whole[0], whole[-1])]
+    return score + size_b - steps[0].sum(axis=1, dtype=np.int64) + steps[1].sum(axis=1, dtype=np.int64)
+
+
+def few_edits(a: list[str], b: list[str], most: np.ndarray, room: int = 1 << 21) -> np.ndarray:
     """For every pair: is it at most so many edits apart?
 
-    Edit by edit, the furthest place reached on each diagonal (Ukkonen), for many pairs at a time; so the work follows the
-    edits, not the letters. Diagonals from which the end cannot be reached any more are left; pairs take about `room` of them.
-    Where more than `_MANY` edits are allowed, bit vectors count them pair by pair.
+    Bit vectors count them in a band along the diagonal (`_banded`), for many pairs at a time whose tables take about `room`
+    words; where more than `_MANY` edits are allowed, or for few pairs, pair by pair.
     """
-    size_a, size_b = (np.array([len(t) for t in texts], np.int64) for texts in (a, b))
-    codes = np.frombuffer("".join((*a, *b)).encode("utf-32-le", "surrogatepass"), np.uint32)
+    number: dict[str, int] = {}
+    of_a, of_b = (np.array([number.setdefault(t, len(number)) for t in texts], np.int64) for texts in (a, b))
+    if len(np.unique(of_b)) < len(np.unique(of_a)):
+        of_a, of_b = of_b, of_a
+    size = np.array([len(t) for t in number], np.int64)
+    start = np.cumsum(size) - size
+    codes = np.frombuffer("".join(number).encode("utf-32-le", "surrogatepass"), np.uint32)
     used = np.zeros(int(codes.max(initial=0)) + 1, bool)
     used[codes] = True
-    step = 8 if used.sum() < 254 else 4 if used.sum() < 65534 else 2  # letters a number holds
-    codes = (np.cumsum(used) + 1)[codes].astype(U64)  # 0 and 1 are none: they follow the texts
-    cut = int(size_a.sum())
-    (ahead_a, start_a), (ahead_b, start_b) = _ahead(codes[:cut], size_a, 0, step), _ahead(codes[cut:], size_b, 1, step)
-    each = 64 // step
+    letters = int(used.sum()) + 1
+    codes = np.cumsum(used, dtype=np.uint32)[codes]
     out = np.zeros(len(a), bool)
-    order = np.argsort(most, kind="stable")
-    order = order[np.abs(size_a - size_b)[order] <= most[order]]
+    order = np.flatnonzero(np.abs(size[of_a] - size[of_b]) <= most)
+    order = order[np.lexsort((of_a[order], most[order] // 32))]
     for k in order[most[order] > _MANY].tolist():
         out[k] = within(a[k], b[k], int(most[k]))
     order = order[most[order] <= _MANY]
     at = 0
     while at < len(order):
-        width = 2 * most[order[at:]] + 3
-        pair = order[at : at + max(1, int(np.searchsorted(width * np.arange(1, len(width) + 1), room, "right")))]
-        at += len(pair)
-        top = int(most[pair[-1]])
-        far = np.full((len(pair), 2 * top + 3), -(1 << 40))
-        for edits in range(top + 1):
-            low, high = top + 1 - edits, top + 2 + edits
-            diagonal = np.arange(low, high) - top - 1
-            if edits:
-                now = np.maximum(np.maximum(far[:, low:high] + 1, far[:, low - 1 : high - 1]), far[:, low + 1 : high + 1] + 1)
-            else:
-                now = np.zeros((len(pair), 1), np.int64)
-            la, lb = size_a[pair][:, None], size_b[pair][:, None]
-            now = np.minimum(now, np.minimum(la, lb - diagonal))
-            now[(now < 0) | (now + diagonal < 0) | (np.abs(diagonal - (lb - la)) > most[pair][:, None] - edits)] = -(1 << 40)
-            flat = now.ravel()
-            going = np.flatnonzero(flat >= 0)
-            row, column = np.divmod(going, high - low)
-            i = start_a[pair[row]] + flat[going]
-            j = start_b[pair[row]] + flat[going] + diagonal[column]
-            while len(going):
-                x = ahead_a[i] ^ ahead_b[j]
-                lowest = np.frexp((x & (~x + U64(1))).astype(float))[1] - 1  # bit of the first difference
-                flat[going] += np.where(x == 0, step, lowest // each)
-                on = np.flatnonzero(x == 0)
-                going, i, j = going[on], i[on] + step, j[on] + step
-            far[:, low:high] = now
-            done = far[np.arange(len(pair)), (lb - la)[:, 0] + top + 1] >= la[:, 0]
-            out[pair[done]] = True
-            left = ~done & (most[pair] > edits)
-            pair, far = pair[left], far[left]
-            if not len(pair):
-                break
+        wide = (int(most[order[at]]) // 32 + 1) * 5 // 4
+        some = order[at : np.searchsorted(most[order] // 32, wide)][: (1 << 13) // wide]
+        words = np.maximum.accumulate(np.maximum(size[of_a[some]], size[of_b[some]])) // 64 + 3 * wide + 2
+        tables = np.cumsum(np.concatenate(([True], of_a[some[1:]] != of_a[some[:-1]])))
+        some = some[: max(1, int(np.searchsorted(words * letters * tables, room, "right")))]
+        at += len(some)
+        if len(some) < _LITTLE:
+            out[some] = [within(a[k], b[k], int(most[k])) for k in some]
+            continue
+        some = some[np.argsort(-size[of_b[some]], kind="stable")]
+        out[some] = _banded(codes, start, size, of_a[some], of_b[some], int(most[some].max())) <= most[some]
     return out
 
 
-def _profiles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Letters of each text, and its trigrams counted in 256 bins."""
+def _profiles(texts: pa.Array) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Letters of each text, and its counts, with the letters of one counted: single letters in 64 bins, trigrams in 256 and in 1,024 (32,767 at most in a bin, so counts differ by less at most)."""
     data, offsets = utf8(texts)
     codes = _codes(data)
     ends = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offsets]
     length = np.diff(ends)
-    hashed = (mix(codes[:-2] * U64(0x9E3779B97F4A7C15) + codes[1:-1] * U64(0xC2B2AE3D27D4EB4F) + codes[2:] * U64(0x165667B19E3779F9)) & U64(255)).astype(np.int64)
+    binned = lambda bins, n, many: np.bincount(bins.astype(np.int64) + many * np.repeat(np.arange(len(length)), n), minlength=many * len(length)).clip(max=32767).astype(np.int16).reshape(-1, many)
+    letters = binned(codes * U64(0x9E3779B97F4A7C15) >> U64(58), length, 64)
+    hashed = mix(codes[:-2] * U64(0x9E3779B97F4A7C15) + codes[1:-1] * U64(0xC2B2AE3D27D4EB4F) + codes[2:] * U64(0x165667B19E3779F9)) & U64(1023)
     inner = np.maximum(length - 2, 0)
-    bins = hashed[counted_ranges(ends[:-1], inner)] + 256 * np.repeat(np.arange(len(length)), inner)
-    return length, np.bincount(bins, minlength=256 * len(length)).astype(np.int32).reshape(-1, 256)
+    trigrams = binned(hashed[counted_ranges(ends[:-1], inner)], inner, 1024)
+    return length, [(1, letters), (3, trigrams.reshape(-1, 4, 256).sum(axis=1, dtype=np.int32).clip(max=32767).astype(np.int16)), (3, trigrams)]
+
+
+def _may_link(x: tuple, y: tuple, i: np.ndarray, j: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs (i, j) of profiled texts may be similar, and the most edits these may be apart.
+
+    An edit takes three trigrams at most and brings as many, and one letter: it bounds half of the counts that differ and of what one text has more.
+    """
+    (long_x, counts_x), (long_y, counts_y) = x, y
+    most = ((1 - similarity) * np.maximum(long_x[i], long_y[j]) + 1e-9).astype(np.int64)
+    ok = np.flatnonzero(np.abs(long_x[i] - long_y[j]) <= most)
+    for (size, of_x), (_, of_y) in zip(counts_x, counts_y):
+        more = np.abs(np.maximum(long_x[i[ok]] - size + 1, 0) - np.maximum(long_y[j[ok]] - size + 1, 0))
+        differ = [np.abs(of_x[i[some]] - of_y[j[some]]).sum(axis=1, dtype=np.int32) for some in np.split(ok, range(2048, len(ok), 2048))]
+        ok = ok[np.concatenate(differ) + more <= 2 * size * most[ok]]
+    return ok, most[ok]
 
 
 def _verify(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs whose edits are few enough; as an edit takes three trigrams at most and brings as many, binned counts rule out most others."""
+        """Pairs whose edits are few enough; `_may_link` rules out most others."""
+        held, letters = [], 0
+
+        def counted() -> pa.Table:
+            near, most = pa.Table.from_batches([x for x, _ in held]), np.concatenate([x for _, x in held])
+            linked = few_edits(near["normal_a"].to_pylist(), near["normal_b"].to_pylist(), most)
+            held.clear()
+            return near.select(["a", "b"]).filter(pa.array(linked)).combine_chunks()
+
         for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                batch = whole.slice(at, 4096)
-                (long_x, x), (long_y, y) = _profiles(batch.column("normal_a")), _profiles(batch.column("normal_b"))
-                most = ((1 - similarity) * np.maximum(long_x, long_y) + 1e-9).astype(np.int64)
-                near_at = np.flatnonzero((np.abs(long_x - long_y) <= most) & (np.abs(x - y).sum(axis=1) <= 6 * most))
-                near = batch.take(pa.array(near_at))
-                linked = few_edits(near.column("normal_a").to_pylist(), near.column("normal_b").to_pylist(), most[near_at])
-                yield near.select(["a", "b"]).filter(pa.array(linked))
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                x, y, row = _profiles(batch.column("normal_a")), _profiles(batch.column("normal_b")), np.arange(batch.num_rows)
+                near, most = _may_link(x, y, row, row, similarity)
+                held.append((batch.take(pa.array(near)), most))
+                letters += int((x[0] + y[0])[near].sum())
+                if letters > _HELD_LETTERS:
+                    yield from counted().to_batches()
+                    letters = 0
+        if held:
+            yield from counted().to_batches()
 
     return verify
 
@@ -443,57 +517,64 @@ def _compare(similarity: float, lines: int) -> Callable[[pa.Table], pa.Table]:
     def compare(table: pa.Table) -> pa.Table:
         """Links between the left and right lines of every task in the table that lie in different components: a forest of them.
 
-        An edit takes three trigrams at most and brings as many, so binned counts rule out most pairs, a line against all others
-        at a time; edits are counted once for each of the pairs left, some `lines` at a time, unless the links found so far connect them.
+        `_may_link` rules out most pairs; edits are counted once for each of the pairs left, many at a time (32 for each of the `lines`
+        of a block), unless the links found so far connect them.
         """
         table = table.sort_by([("block", "ascending"), ("p", "ascending"), ("q", "ascending")])
-        side, node, c = (table[k].to_numpy() for k in ("side", "node", "c"))
+        side, node = (table[k].to_numpy() for k in ("side", "node"))
         task = np.stack([table[k].to_numpy() for k in ("block", "p", "q")])
-        cuts = np.concatenate(([0], np.flatnonzero((task[:, 1:] != task[:, :-1]).any(axis=0)) + 1, [table.num_rows]))
+        task = np.cumsum(np.concatenate(([False], (task[:, 1:] != task[:, :-1]).any(axis=0)))[: table.num_rows]) << 32
         _, first, text_of = np.unique(node, return_index=True, return_inverse=True)
         normal = table["normal"].take(pa.array(first)).combine_chunks()
-        texts, (length, profile) = normal.to_pylist(), _profiles(normal)
-        root: dict[int, int] = {}
+        profile = _profiles(normal)
+        length = profile[0]
+        of, c = np.unique(table["c"].to_numpy(), return_inverse=True)
+        root = np.arange(len(of))  # of every component; all of a group have the same
 
-        def find(x: int) -> int:
-            while root.get(x, x) != x:
-                x = root[x]
-            return x
-
-        links, apart = [], set()
-        held: dict[tuple[int, int], tuple[int, int]] = {}
+        links: list[tuple[int, int]] = []
+        apart = np.zeros(0, np.int64)  # pairs counted and not linked
+        held: list[np.ndarray] = []
+        count = letters = 0
 
         def compared() -> None:
-            pairs = np.array(list(held), np.int64).reshape(-1, 2)
-            most = ((1 - similarity) * length[pairs].max(axis=1, initial=0) + 1e-9).astype(np.int64)
-            alike = few_edits([texts[t] for t in pairs[:, 0]], [texts[u] for u in pairs[:, 1]], most)
-            for (pair, (i, j)), linked in zip(held.items(), alike.tolist()):
-                if not linked:
-                    apart.add(pair)
-                    continue
-                x, y = find(int(c[i])), find(int(c[j]))
+            nonlocal apart, count, letters
+            i, j = np.concatenate(held, axis=1)
+            held.clear()
+            count = letters = 0
+            t, u = np.minimum(text_of[i], text_of[j]), np.maximum(text_of[i], text_of[j])
+            pair, once = np.unique(t * len(first) + u, return_index=True)
+            new = (root[c[i[once]]] != root[c[j[once]]]) & ~np.isin(pair, apart, assume_unique=True)
+            pair, once = pair[new], once[new]
+            i, j, t, u = i[once], j[once], t[once], u[once]
+            most = ((1 - similarity) * np.maximum(length[t], length[u]) + 1e-9).astype(np.int64)
+            linked = few_edits(normal.take(pa.array(t)).to_pylist(), normal.take(pa.array(u)).to_pylist(), most)
+            apart = np.union1d(apart, pair[~linked])
+            for i, j in zip(i[linked].tolist(), j[linked].tolist()):
+                x, y = int(root[c[i]]), int(root[c[j]])
                 if x != y:
-                    root[max(x, y)] = min(x, y)
+                    root[root == max(x, y)] = min(x, y)
                     links.append((int(node[i]), int(node[j])))
-            held.clear()
 
-        for start, stop in zip(cuts, cuts[1:]):
-            rows = np.arange(start, stop)
-            left, right = rows[side[rows] != 1], rows[side[rows] != 0]
-            right_text, right_c, both = text_of[right], c[right], side[right] == 2
-            for i in left.tolist():
-                t = int(text_of[i])
-                most = ((1 - similarity) * np.maximum(length[right_text], length[t]) + 1e-9).astype(np.int64)
-                near = np.flatnonzero((right_c != c[i]) & (~both | (right > i)) & (np.abs(length[right_text] - length[t]) <= most))
-                near = near[np.abs(profile[right_text[near]] - profile[t]).sum(axis=1) <= 6 * most[near]]
-                for j in near.tolist():
-                    u = int(right_text[j])
-                    pair = (min(t, u), max(t, u))
-                    if pair not in apart and find(int(c[i])) != find(int(right_c[j])):
-                        held.setdefault(pair, (i, int(right[j])))
-                if len(held) > lines:
-                    compared()
-        compared()
+        # The lines of a task whose length is close enough to a left line's stand next to each other.
+        left, right, size = np.flatnonzero(side != 1), np.flatnonzero(side != 0), length[text_of]
+        right = right[np.argsort(task[right] + size[right], kind="stable")]
+        low = np.searchsorted(task[right] + size[right], task[left] + np.floor(size[left] * similarity - 1e-6).astype(np.int64), "left")
+        many = np.searchsorted(task[right] + size[right], task[left] + np.ceil(size[left] / similarity + 1e-6).astype(np.int64), "right") - low
+        at, done = 0, np.cumsum(many)
+        while at < len(left):
+            to = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + (1 << 15), "right")))
+            i, j = np.repeat(left[at:to], many[at:to]), right[counted_ranges(low[at:to], many[at:to])]
+            at = to
+            near = np.flatnonzero((root[c[i]] != root[c[j]]) & ((side[j] != 2) | (j > i)))
+            near = near[_may_link(profile, profile, text_of[i[near]], text_of[j[near]], similarity)[0]]
+            i, j = i[near], j[near]
+            held.append(np.stack((i, j)))
+            count += len(i)
+            letters += int((size[i] + size[j]).sum())
+            if count > 32 * lines or letters > _HELD_LETTERS:
+                compared()
+        if held:
+            compared()
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return compare
@@ -506,7 +587,7 @@ def _open_links(open_: DataFrame, normal: DataFrame, similarity: float, lines: i
     every block of the component and of the others; such meetings are dealt into groups of some thousand lines, which return a
     forest of links, not pairs. Buckets of the same lines say the same once.
     """
-    groups = pieces_of(open_.count(), 4096)
+    groups = pieces_of(open_.count(), 1 << 13)
     rest = F.col("c") != F.col("main")
     many = lambda of: F.greatest(F.lit(1), F.ceil(F.count_if(of) / lines), F.ceil(F.sum(F.when(of, F.col("letters")).otherwise(0)) / letters)).cast("int")
     sizes = open_.groupBy("block").agg(
