@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, counted_ranges, free_name, mix, pieces_of, slices, span_hashes, stored, utf8
 from .components import components, joined
-from .lexicon import edit_distance, normal_words
+from .lexicon import normal_words
 from .minhash import min_max
 
 _BANDS, _ROWS = 16, 3  # MinHash bands of long lines
@@ -270,16 +270,34 @@ def similar(a: str, b: str, similarity: float) -> bool:
 
 
 def within(a: str, b: str, most: int) -> bool:
-    """Are at most so many edits between them? Common ends are left out of the bit-parallel count."""
-    short = min(len(a), len(b))
-    head = next((k for k in range(short) if a[k] != b[k]), short)
-    a, b = a[head:], b[head:]
-    short = min(len(a), len(b))
-    tail = next((k for k in range(short) if a[-1 - k] != b[-1 - k]), short)
-    a, b = a[: len(a) - tail], b[: len(b) - tail]
-    if len(a) > len(b):
-        a, b = b, a
-    return edit_distance(list(a), list(b))[0] <= most
+    """Are at most so many edits between them? Common ends are left out; then whole numbers are the band of bits that `_banded` has in words."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (a, b))
+    short = min(len(x), len(y))
+    apart = np.flatnonzero(x[:short] != y[:short])
+    head = int(apart[0]) if len(apart) else short
+    apart = np.flatnonzero(x[head:][::-1][: short - head] != y[head:][::-1][: short - head])
+    tail = int(apart[0]) if len(apart) else short - head
+    x, y = x[head : len(x) - tail], y[head : len(y) - tail]
+    bits = 2 * most + 2
+    full = (1 << bits) - 1
+    masks = {c: int.from_bytes(np.packbits(x == c, bitorder="little").tobytes(), "little") << bits for c in np.unique(x).tolist()}
+    up, down, score, low = full ^ ((1 << bits - most - 1) - 1), 0, most, bits - 1
+    for k, c in enumerate(y.tolist(), most + 1):
+        same = masks.get(c, 0) >> k & full
+        keep = ((same & up) + up & full ^ up) | same | down
+        right = down | full ^ (keep | up)
+        left = keep & up
+        score += not keep >> low
+        keep >>= 1
+        up = left | full ^ (keep | right)
+        down = keep & right
+        if score > 2 * most + len(y) - len(x):
+            return False
+    first = low - most + len(x) - len(y)
+    inside = (1 << low) - 1 >> first << first
+    return score - (up & inside).bit_count() + (down & inside).bit_count() <= most
 
 
 def _laid(codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -439,8 +457,8 @@ def _verify(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
             return near.select(["a", "b"]).filter(pa.array(linked)).combine_chunks()
 
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
                 x, y, row = _profiles(batch.column("normal_a")), _profiles(batch.column("normal_b")), np.arange(batch.num_rows)
                 near, most = _may_link(x, y, row, row, similarity)
                 held.append((batch.take(pa.array(near)), most))
