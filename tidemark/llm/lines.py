@@ -27,6 +27,7 @@ _ALL = 4  # lines of a bucket that are all compared at once
 _SIEVE = 23  # bits of the index into the fixed-size sieve of lines to be fetched
 _BASE = U64(0x9E3779B97F4A7C15)
 _MARK = np.dtype([("key", "<u4"), ("node", "<i8"), ("letters", "<u2")])  # 32 bits of the key beside its part; letters up to 65,535
+_LINE = pa.schema([(name, pa.int64()) for name in ("doc_id", "row", "line", "form", "check")])
 
 
 def _line_cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,19 +162,11 @@ class _Lines:
         return np.concatenate(keys), np.concatenate(whose)
 
 
-def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for every line with a word: its place, two hashes of its normal words and its letters."""
-    for batch in slices(batches, "text", 1 << 20):
-        lines = _Lines(batch.column("text"))
-        doc = pa.array(lines.doc)
-        columns = [batch.column("doc_id").take(doc), batch.column("row").take(doc), *map(pa.array, (lines.number, lines.form.view(np.int64), lines.check.view(np.int64), lines.letters))]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "line", "form", "check", "letters"])
-
-
 def _marked(similarity: float, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(part, marks): the keys of the buckets in which every line meets others, dealt by key into `parts`, as packed `_MARK`s.
+    """(part, marks, lines): the keys of the buckets in which every line meets others, dealt by key into `parts`, as packed `_MARK`s.
 
-    Copies within a task are left out as far as a bounded memory tells.
+    Copies within a task are left out as far as a bounded memory tells. Beside them, in any part, a row for some thousand lines with
+    a word: a stream of their places and the two hashes of their normal words (`_LINE`).
     """
 
     def dealt(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
@@ -186,13 +179,23 @@ def _marked(similarity: float, parts: int) -> Callable[[Iterator[pa.RecordBatch]
         cuts = np.flatnonzero(np.concatenate((part[1:] != part[:-1], [True]))) + 1
         offsets = np.concatenate(([0], cuts)) * _MARK.itemsize
         blobs = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(marks)])
-        return pa.RecordBatch.from_arrays([pa.array(part[cuts - 1]), blobs], ["part", "marks"])
+        return pa.RecordBatch.from_arrays([pa.array(part[cuts - 1]), blobs, pa.nulls(len(cuts), pa.binary())], ["part", "marks", "lines"])
+
+    def described(batch: pa.RecordBatch, lines: _Lines) -> pa.RecordBatch:
+        doc, sink = pa.array(lines.doc), pa.BufferOutputStream()
+        columns = [batch.column("doc_id").take(doc), batch.column("row").take(doc), *map(pa.array, (lines.number, lines.form.view(np.int64), lines.check.view(np.int64)))]
+        with pa.ipc.new_stream(sink, _LINE) as stream:
+            stream.write_batch(pa.RecordBatch.from_arrays(columns, schema=_LINE))
+        part = pa.array([int(lines.form[0] % U64(parts))], pa.int32())
+        return pa.RecordBatch.from_arrays([part, pa.nulls(1, pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["part", "marks", "lines"])
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         held, count = [], 0
         for batch in slices(batches, "text", 1 << 20):
             lines = _Lines(batch.column("text"))
+            if len(lines.form):
+                yield described(batch, lines)
             fresh = np.array([k for k, form in enumerate(lines.form.tolist()) if form not in seen and not seen.add(form)], np.int64)
             if len(seen) > _SEEN:
                 seen.clear()
@@ -245,7 +248,7 @@ def _meet(similarity: float) -> Callable[[pa.Table], pa.Table]:
         rest = rest[np.lexsort((letters[rest], bucket[rest]))]  # next to each other, those of like length
         close = (bucket[rest[1:]] == bucket[rest[:-1]]) & near(rest[1:], rest[:-1])
         rest = rest[(np.concatenate((close, [False])) | np.concatenate(([False], close)))[: len(rest)]]
-        block = (int(table["part"][0].as_py()) << 32) + key[rest]
+        block = (int(table["part"][0].as_py()) << 32 if len(rest) else 0) + key[rest]
         none = pa.nulls(len(a), pa.int64())
         return pa.table({"a": np.concatenate((node[a], node[rest])), "b": pa.chunked_array([pa.array(node[b]), pa.nulls(len(rest), pa.int64())]),
                          "block": pa.chunked_array([none, pa.array(block)]), "letters": pa.chunked_array([none, pa.array(letters[rest])])})
@@ -253,6 +256,18 @@ def _meet(similarity: float) -> Callable[[pa.Table], pa.Table]:
     return meet
 
 
+def _met(similarity: float) -> Callable[[pa.Table], pa.Table]:
+    """`_meet` of a part's marks, and the part's lines."""
+    meet = _meet(similarity)
+
+    def met(table: pa.Table) -> pa.Table:
+        found = meet(table.select(["part", "marks"]).filter(table["marks"].is_valid()))
+        lines = pa.concat_tables([_LINE.empty_table(), *(pa.ipc.open_stream(x.as_buffer()).read_all() for x in table["lines"].drop_null())])
+        return pa.concat_tables([found, lines], promote_options="default").select([*found.column_names, *_LINE.names])
+
+    return met
+
+
 def similar(a: str, b: str, similarity: float) -> bool:
     """Is 1 - edits / longer length at least `similarity`?"""
     longer = max(len(a), len(b))
@@ -418,6 +433,9 @@ def few_edits(a: list[str], b: list[str], most: np.ndarray, room: int = 1 << 21)
 
 def _profiles(texts: pa.Array) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
     """Letters of each text, and its counts, with the letters of one counted: single letters in 64 bins, trigrams in 256 and in 1,024 (32,767 at most in a bin, so counts differ by less at most)."""
+    if len(texts) > 512:
+        some = [_profiles(texts.slice(k, 512)) for k in range(0, len(texts), 512)]
+        return np.concatenate([x for x, _ in some]), [(each[0][0], np.concatenate([x for _, x in each])) for each in zip(*(counts for _, counts in some))]
     data, offsets = utf8(texts)
     codes = _codes(data)
     ends = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offsets]
@@ -457,8 +475,8 @@ def _verify(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
             return near.select(["a", "b"]).filter(pa.array(linked)).combine_chunks()
 
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
                 x, y, row = _profiles(batch.column("normal_a")), _profiles(batch.column("normal_b")), np.arange(batch.num_rows)
                 near, most = _may_link(x, y, row, row, similarity)
                 held.append((batch.take(pa.array(near)), most))
@@ -627,17 +645,14 @@ def _open_links(open_: DataFrame, normal: DataFrame, similarity: float, lines: i
     return dealt.groupBy("dealt").applyInArrow(_compare(similarity, lines), "a long, b long").distinct()
 
 
-def _groups(places: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def _groups(met: DataFrame, places: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """(node, component) of all distinct normal lines that are linked with others.
 
     First each line is compared with the smallest line of each of its buckets, in small buckets with all lines; so groups of
     many alike lines become one component by as many comparisons. Then in every larger bucket the lines outside its commonest
     component are compared with those of other components, block by block.
     """
-    parts = pieces_of(places.count() * _BANDS, 1 << 19)
-    marks = texts.select("text").mapInArrow(_marked(similarity, parts), "part int, marks binary")
-    met = stored(marks.groupBy("part").applyInArrow(_meet(similarity), "a long, b long, block long, letters long"))
-    pairs = stored(met.where("block is null").select("a", "b").distinct())
+    pairs = stored(met.where("b is not null").select("a", "b").distinct())
     rest = met.where("block is not null").select("block", F.col("a").alias("node"), "letters")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(rest.select("node")).distinct()
     normal = stored(_fetched(nodes, places, texts))
@@ -672,12 +687,16 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.9, within: int = 12, i
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), _row(id_col, text).alias("row"), F.col(text).alias("text"))
     lower = texts.select("doc_id", "row", F.lower("text").alias("text"))
-    schema = "doc_id long, row long, line long, form long, check long, letters long"
-    lines = stored(lower.mapInArrow(_described, schema))
+    # One pass over the texts: their lines travel with the marks of the buckets and are stored with what meets there.
+    parts = pieces_of(int(texts.agg(F.sum(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0) * _BANDS, 1 << 19)
+    marks = lower.mapInArrow(_marked(similarity, parts), "part int, marks binary, lines binary")
+    schema = "a long, b long, block long, letters long, doc_id long, row long, line long, form long, check long"
+    met = stored(marks.groupBy("part").applyInArrow(_met(similarity), schema))
+    lines = met.where("form is not null").select("doc_id", "row", "line", "form", "check")
     first = F.min(F.struct("doc_id", "line", "row"))
     forms = lines.groupBy("form", "check").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
     forms = stored(forms.select(F.col("form").alias("node"), "form", "check", "first", "n", F.col("first.row").alias("row"), F.col("first.line").alias("line")))
-    found = _groups(forms, lower, similarity)
+    found = _groups(met, forms, lower, similarity)
     named = forms.join(found, "node", "left")
     several = named.where("component is not null").groupBy("component").agg(F.min("first").alias("keep"))
     grouped = named.join(several, "component").select("form", "check", "keep")
