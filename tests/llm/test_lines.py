@@ -9,7 +9,8 @@ import pytest
 
 from tidemark.llm.components import components
 from tidemark.llm.lexicon import edit_distance
-from tidemark.llm.lines import _MARK, _Lines, _meet, _open_links, budget, few_edits, similar
+from tidemark.llm import lines as module
+from tidemark.llm.lines import _LINE, _MARK, _Lines, _marked, _may_link, _meet, _met, _open_links, _profiles, budget, few_edits, similar, within
 
 
 def reached(links, start):
@@ -89,3 +90,49 @@ def test_segments_meet_within_five_edits():
         if x != y and similar(x, y, 0.9) and budget(max(len(x), len(y)), 0.9):
             keys, whose = _Lines(pa.array([f"{x}!\n\n{y}", "other"])).segment_keys(np.arange(2), 0.9)
             assert set(keys[whose == 0]) & set(keys[whose == 1]), (x, y)
+
+
+def _edited(rng, text, edits):
+    out = list(text)
+    for _ in range(edits):
+        k = rng.randint(0, len(out))
+        out[k : k + rng.randint(0, 1)] = rng.choice(["", "a", "é", " "])
+    return "".join(out)
+
+
+def test_long_pairs_are_counted_together(monkeypatch):
+    """Lines of over 1,200 letters allow over 120 edits; many of them share one band instead of being counted pair by pair."""
+    rng = random.Random(4)
+    a = ["".join(rng.choice("abcdefg é") for _ in range(rng.randint(1300, 1700))) for _ in range(40)]
+    b = [_edited(rng, x, rng.randint(100, 300)) for x in a]
+    most = np.array([budget(max(len(x), len(y)), 0.9) for x, y in zip(a, b)])
+    want = [edit_distance(list(x), list(y))[0] <= k for x, y, k in zip(a, b, most.tolist())]
+    assert 5 < sum(want) < 35 and [within(x, y, k) for x, y, k in zip(a, b, most.tolist())] == want
+    monkeypatch.setattr(module, "within", lambda *_: pytest.fail("counted alone"))
+    assert few_edits(a, b, most).tolist() == want
+
+
+def test_counts_rule_out_unlike_lines_and_no_like_ones():
+    rng = random.Random(6)
+    words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 7))) for _ in range(3000)]
+    texts = [" ".join(rng.sample(words, 100)) for _ in range(40)]
+    unlike = [" ".join(rng.sample(words, 100)) for _ in range(40)]
+    like = [_edited(rng, t, rng.randint(0, budget(len(t), 0.9) - 20)) for t in texts] + [_edited(rng, t[:40], 3) for t in texts]
+    row = np.arange(40)
+    assert not len(_may_link(_profiles(pa.array(texts)), _profiles(pa.array(unlike)), row, row, 0.9)[0])
+    mine, other = texts + [t[:40] for t in texts], like
+    linked = [k for k in range(80) if similar(mine[k], other[k], 0.9)]
+    assert len(linked) > 60
+    assert set(linked) <= set(_may_link(_profiles(pa.array(mine)), _profiles(pa.array(other)), np.arange(80), np.arange(80), 0.9)[0].tolist())
+
+
+def test_one_pass_gives_marks_and_lines():
+    batch = pa.RecordBatch.from_arrays([pa.array([None, 2], pa.int64()), pa.array([10, 20]), pa.array(["one two three\n\n--\nfour", "one two thrxe\none two three"])], ["doc_id", "row", "text"])
+    table = pa.Table.from_batches(list(_marked(0.9, 1)(iter([batch]))))
+    rows = _met(0.9)(table).to_pylist()
+    lines = [(r["doc_id"], r["row"], r["line"]) for r in rows if r["form"] is not None]
+    assert lines == [(None, 10, 0), (None, 10, 3), (2, 20, 0), (2, 20, 1)]
+    forms = {(r["row"], r["line"]): r["form"] for r in rows if r["form"] is not None}
+    assert forms[10, 0] == forms[20, 1] != forms[20, 0]
+    assert {frozenset((r["a"], r["b"])) for r in rows if r["b"] is not None} == {frozenset((forms[10, 0], forms[20, 0]))}
+    assert all(r["form"] is None or r["a"] is None for r in rows) and set(_LINE.names) < set(rows[0])
